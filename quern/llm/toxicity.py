@@ -181,7 +181,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = LEX
     return {r["part"]: float(r["bound"]) for r in top}
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.004, rounds: int = 60) -> np.ndarray:
     """Newton steps; the last coefficient is the intercept. Features only ever add: negative weights are dropped."""
     use = np.ones(x.shape[1], bool)
     while True:
