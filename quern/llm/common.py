@@ -37,8 +37,3 @@ def crc_mod(c: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as empty text."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
-
-def volume_partitions(df: DataFrame, text_col: str, bytes_each: int, least: int = 1) -> int:
-    """Partition count that grows with the bytes of text_col (one cheap aggregate), never below least."""
-    total = df.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    return max(least, -(-int(total) // bytes_each))

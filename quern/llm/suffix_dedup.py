@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpointed, read_table
 
 LENGTH, GRAM, MOST_STRINGS = 50, 20, 64
-BITMAP_LOG2 = 28
+#: A bitmap has as many bits as its expected entries ask for, and 2**BITMAP_LOG2 at most.
+BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT = 28, 16, 8
 SEGMENT_BITS = 10
 HOT = 4096
 FLUSH = 2_000_000
@@ -65,7 +66,8 @@ def string_keys(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarr
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    return np.minimum(low[: low.size - (width - span)], low[width - span:]) if width > span else low
+    low = np.minimum(low[: low.size - (width - span)], low[width - span:]) if width > span else low
+    return _mix(low * _U(_BASE))  # least hashes are small numbers; spread them over the key space again
 
 
 def runs_of(keys: np.ndarray, most: int = MOST_STRINGS) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _count_keys(batches: Iterator[pa.RecordBatch], first: np.ndarray, length: int, gram: int, id_log2: int) -> Iterator[pa.RecordBatch]:
     """Documents per key, summed within the task: per segment of the key space the low 32 of 42 key bits."""
     held: list[np.ndarray] = []
     n = 0
@@ -108,7 +110,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> It
         })
 
     for batch in batches:
-        for text in batch.column("_text").to_pylist():
+        for text in batch.filter(_among(batch, first, id_log2)).column("_text").to_pylist():
             keys = string_keys(_raw(text), length, gram)
             if keys.size:
                 held.append(np.unique(keys[runs_of(keys, keys.size)[0]] >> _U(64 - 32 - SEGMENT_BITS)))
@@ -119,10 +121,37 @@ def _count_keys(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> It
     yield from flush()
 
 
-def key_bitmaps(docs: DataFrame, length: int, gram: int, hot: int, log2: int) -> tuple[bytes, bytes]:
+def _among(batch: pa.RecordBatch, bits: np.ndarray, log2: int) -> pa.Array:
+    """Which rows' ids may be in an id bitmap."""
+    return pa.array(_probe(bits, batch.column("_place").to_numpy().view(np.uint64), log2))
+
+
+def bits_for(entries: float, most: int = BITMAP_LOG2) -> int:
+    """log2 of a bitmap's bits: at least a byte for each segment."""
+    return min(most, max(SEGMENT_BITS + 3, int(np.ceil(np.log2(max(entries, 1))))))
+
+
+def id_bitmap(ids: DataFrame, log2: int) -> bytes:
+    """Bitmap of ids (column id) under their hash; its size is fixed, and a false hit must do no harm."""
+    size = (1 << log2) >> SEGMENT_BITS
+    at = F.shiftrightunsigned(F.xxhash64("id"), 64 - log2)
+    placed = ids.select(F.shiftright(at, log2 - SEGMENT_BITS).cast("int").alias("segment"), at.bitwiseAND(size - 1).cast("int").alias("bit")).distinct()
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(size, bool)
+        bits[table["bit"].to_numpy()] = True
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << log2) // 8, np.uint8)
+    for row in placed.groupBy("segment").applyInArrow(build, "segment int, bits binary").toLocalIterator():
+        out[row["segment"] * size // 8:(row["segment"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out.tobytes()
+
+
+def key_bitmaps(docs: DataFrame, first, length: int, gram: int, hot: int, log2: int, id_log2: int) -> tuple[bytes, bytes]:
     """Bitmaps over the top bits of a key: found in two documents or more; found in hot documents or more."""
-    size = (1 << log2) >> SEGMENT_BITS  # bits of a segment
-    counted = docs.select("_text").mapInArrow(lambda it: _count_keys(it, length, gram), "segment int, once binary, more binary, counts binary")
+    hot_log2 = hot_bits(log2)
+    counted = docs.select("_text", "_place").mapInArrow(lambda it: _count_keys(it, np.frombuffer(first.value, np.uint8), length, gram, id_log2), "segment int, once binary, more binary, counts binary")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         once, more, counts = (b"".join(table[c].to_pylist()) for c in ("once", "more", "counts"))
@@ -131,19 +160,23 @@ def key_bitmaps(docs: DataFrame, length: int, gram: int, hot: int, log2: int) ->
         keys, back = np.unique(keys, return_inverse=True)
         n = np.bincount(back, weights=n, minlength=keys.size)
         out = []
-        for least in (2, hot):
-            bits = np.zeros(size, bool)
-            bits[keys[n >= least] >> np.uint32(32 - log2 + SEGMENT_BITS)] = True
+        for least, width in ((2, log2), (hot, hot_log2)):
+            bits = np.zeros(1 << width - SEGMENT_BITS, bool)
+            bits[keys[n >= least] >> np.uint32(32 - width + SEGMENT_BITS)] = True
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "shared": pa.array(out[:1], pa.binary()), "hot": pa.array(out[1:], pa.binary())})
 
-    shared, many = (np.zeros((1 << log2) // 8, np.uint8) for _ in range(2))
+    shared, many = (np.zeros((1 << width) // 8, np.uint8) for width in (log2, hot_log2))
     for row in counted.groupBy("segment").applyInArrow(build, "segment int, shared binary, hot binary").toLocalIterator():
-        at = slice(row["segment"] * size // 8, (row["segment"] + 1) * size // 8)
-        shared[at], many[at] = np.frombuffer(row["shared"], np.uint8), np.frombuffer(row["hot"], np.uint8)
+        for whole, part in ((shared, row["shared"]), (many, row["hot"])):
+            whole[row["segment"] * len(part):(row["segment"] + 1) * len(part)] = np.frombuffer(part, np.uint8)
     return shared.tobytes(), many.tobytes()
 
 
+def hot_bits(log2: int) -> int:
+    return max(SEGMENT_BITS + 3, log2 - 5)
+
+
 def _probe(bits: np.ndarray, keys: np.ndarray, log2: int) -> np.ndarray:
     at = (keys >> _U(64 - log2)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -162,7 +195,7 @@ def segments_of(data: bytes, shared: np.ndarray, hot: np.ndarray, length: int, g
     if not keep.any():
         return
     starts, ends, own = starts[keep], ends[keep], own[keep]
-    for a, b, k, single in zip(starts.tolist(), ends.tolist(), own.view(np.int64).tolist(), _probe(hot, own, log2).tolist(), strict=True):
+    for a, b, k, single in zip(starts.tolist(), ends.tolist(), own.view(np.int64).tolist(), _probe(hot, own, hot_bits(log2)).tolist(), strict=True):
         if single:
             for i in range(a, b):
                 piece = data[i:i + length]
@@ -258,16 +291,25 @@ def _solve(group: list[tuple[int, bytes, int, int]], length: int) -> list[tuple[
     return [(g[0], g[1], [r for r in runs if r[2] < g[3]]) for g, runs in zip(group, out, strict=True)]
 
 
-def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int) -> DataFrame:
-    """docs (id, _text, _hash) -> (id, _hash, ranges): byte ranges to remove, as (start, end), end exclusive."""
+def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int, id_log2: int) -> DataFrame:
+    """docs (id, _text, _hash, _place) -> (id, _hash, ranges): merged byte ranges to remove, end exclusive.
+
+    Of equal texts only the one with the smallest id is searched, as the others lose all of their bytes to it and
+    never decide what a third text loses. Which ids those are is held in a bitmap; a false hit searches a copy too.
+    """
     spark = docs.sparkSession
-    shared, many = (spark.sparkContext.broadcast(b) for b in key_bitmaps(docs, length, gram, hot, log2))
+    whole = checkpointed(docs.filter(F.octet_length("_text") >= length).select("id", "_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"), F.octet_length("_text").alias("n")))
+    groups = whole.groupBy("sha").agg(F.min("id").alias("first"))
+    first = spark.sparkContext.broadcast(id_bitmap(groups.select(F.col("first").alias("id")), id_log2))
+    copies = whole.join(groups, "sha").filter("id > first").select("id", "_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("lost"))
+    shared, many = (spark.sparkContext.broadcast(b) for b in key_bitmaps(docs, first, length, gram, hot, log2, id_log2))
 
     def cut(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        bits, often = np.frombuffer(shared.value, np.uint8), np.frombuffer(many.value, np.uint8)
+        bits, often, searched = (np.frombuffer(b.value, np.uint8) for b in (shared, many, first))
         for batch in batches:
+            batch = batch.filter(_among(batch, searched, id_log2))
             ids, hashes = batch.column("id").to_pylist(), batch.column("_hash").to_pylist()
             rows: list[tuple] = []
             best: dict[tuple[int, bytes], tuple[int, int]] = {}
@@ -324,7 +366,14 @@ def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int)
     places = docs.mapInArrow(lambda it: cut(it, True), "key long, seg long, id long, _hash long, at long")
     lost = F.transform(F.filter("runs", lambda r: r["least"] < F.col("id")), lambda r: F.struct((F.col("at") + r["offset"]).cast("int").alias("start"), (F.col("at") + r["offset"] + r["strings"] + length - 1).cast("int").alias("end")))
     hit = places.join(runs, ["key", "seg"]).select("id", "_hash", lost.alias("lost")).filter(F.size("lost") > 0)
-    return hit.groupBy("id", "_hash").agg(F.flatten(F.collect_list("lost")).alias("ranges"))
+    found = hit.unionByName(copies).groupBy("id", "_hash").agg(F.flatten(F.collect_list("lost")).alias("ranges"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[{"start": a, "end": b} for a, b in merged_ranges([(r["start"], r["end"]) for r in row])] for row in batch.column("ranges").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_hash"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "_hash", "ranges"])
+
+    return found.mapInArrow(merge, "id long, _hash long, ranges array<struct<start:int,end:int>>")
 
 
 def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,26 +391,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs as byte ranges), kept (the remaining bytes)."""
     if not gram <= length <= 250 - MOST_STRINGS:
         raise ValueError(f"length must be from {gram} to {250 - MOST_STRINGS}")  # columns of one byte hold prefixes
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
-    ranges = removed_ranges(slim.filter("id IS NOT NULL").withColumn("id", F.col("id").cast("long")), length, gram, hot, bitmap_log2)
-    both = slim.join(ranges, ["id", "_hash"], "left").select("id", "_text", "ranges")
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).withColumn("_place", F.xxhash64("id"))
+    volume = slim.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
+    id_log2, key_log2 = bits_for(BITS_PER_ID * volume["rows"], bitmap_log2), bits_for(volume["bytes"] / BYTES_PER_BIT, bitmap_log2)
+    ranges = checkpointed(removed_ranges(slim.filter("id IS NOT NULL"), length, gram, hot, key_log2, id_log2))
+    # only texts that may lose something are shuffled to meet their ranges
+    losing = spark.sparkContext.broadcast(id_bitmap(ranges.select("id"), id_log2))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(slim.schema["id"].dataType.simpleString(), pa.int64())
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+
+    def split(batches: Iterator[pa.RecordBatch], lose: bool) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(losing.value, np.uint8)
+        for batch in batches:
+            held = _among(batch, bits, id_log2)
+            yield batch.filter(held if lose else pa.compute.invert(held))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, kept = [], [], [], []
-            for text, got in zip(batch.column("_text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            told = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * batch.num_rows
+            for text, got in zip(batch.column("_text").to_pylist(), told, strict=True):
                 data = _raw(text)
-                gone = merged_ranges([(r["start"], r["end"]) for r in got or []])
+                gone = [(r["start"], r["end"]) for r in got or []]
                 edges = [0, *(x for r in gone for x in r), len(data)]
                 sizes.append(len(data))
                 removed.append(sum(b - a for a, b in gone))
                 spans.append([{"start": a, "end": b} for a, b in gone])
                 kept.append(b"".join(data[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return both.mapInArrow(cut, f"doc_id {slim.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    whole = slim.mapInArrow(lambda it: cut(split(it, False)), schema)
+    shape = "id long, _text string, _hash long, _place long"
+    cut_down = slim.mapInArrow(lambda it: split(it, True), shape).join(ranges, ["id", "_hash"], "left").select("id", "_text", "ranges").mapInArrow(cut, schema)
+    return whole.unionByName(cut_down)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
