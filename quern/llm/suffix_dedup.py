@@ -37,7 +37,7 @@ BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT = 28, 16, 8
 SEGMENT_BITS = 10
 HOT = 4096
 FLUSH = 2_000_000
-COLLECTION = 40_000
+COLLECTION = 4_000  # strings: the columns then stay in a core's cache
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -216,7 +216,8 @@ class Collection:
         columns = np.zeros((most + 1, n), np.uint8)
         nth = np.arange(flat.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         columns[(np.repeat(lengths, lengths) - nth - 1), np.repeat(np.arange(n), lengths)] = flat + np.uint8(1)
-        bwt, lcp, owner, size = columns[0].copy(), np.zeros(n, np.uint8), np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
+        # tag: owner * 256 + size of the suffix
+        bwt, lcp, tag = columns[0].copy(), np.zeros(n, np.uint8), np.arange(n, dtype=np.int64) << 8
         place = np.arange(n)  # of each unfinished string's newest suffix
         who = np.arange(n)
         for j in range(1, most + 1):
@@ -225,7 +226,7 @@ class Collection:
             if not who.size:
                 break
             order = np.argsort(bwt, kind="stable")
-            ended = int((bwt == 0).sum())
+            ended = bwt.size - int(np.count_nonzero(bwt))
             rank = np.empty(order.size, np.int64)
             rank[order] = np.arange(order.size)
             # all suffixes of the next state stand behind the n empty ones, in the order of (symbol, place)
@@ -236,13 +237,19 @@ class Collection:
             low = np.append(lcp, np.uint8(0))
             before = self._common(bwt, low, grown, new - n, -1)
             after = self._common(bwt, low, grown, new - n, 1)
-            at = new - np.arange(new.size)  # places in the present arrays
-            bwt, lcp = np.insert(bwt, at, columns[j][who]), np.insert(lcp, at, before)
-            owner, size = np.insert(owner, at, who.astype(np.int32)), np.insert(size, at, np.uint8(j))
+            old = np.ones(bwt.size + new.size, bool)
+            old[new] = False
+            bwt, lcp, tag = (self._insert(old, new, a, b) for a, b in ((bwt, columns[j][who]), (lcp, before), (tag, (who << 8) + j)))
             follow = new + 1 < lcp.size
             lcp[new[follow] + 1] = after[follow]
             place = new
-        self.bwt, self.lcp, self.owner, self.size = bwt, lcp, owner, size
+        self.bwt, self.lcp, self.owner, self.size = bwt, lcp, tag >> 8, tag & 255
+
+    @staticmethod
+    def _insert(old: np.ndarray, new: np.ndarray, column: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.empty(old.size, column.dtype)
+        out[old], out[new] = column, values
+        return out
 
     @staticmethod
     def _common(bwt: np.ndarray, low: np.ndarray, grown: np.ndarray, i: np.ndarray, step: int) -> np.ndarray:
