@@ -6,12 +6,13 @@ read at COORDS circular shifts. Coordinates are banded by ROWS, and texts that s
 similarity of 0.75 a pair misses all 32 bands of 4 with probability 5e-6, at 0.8 with 5e-8.
 
 Equal sets form a class first, and classes stand for their members. Candidates are never expanded into all pairs:
-1. Star rounds: each bucket (band and value) has a pivot with which the members in other components are compared on
-   their full sets; confirmed links are united; another pivot follows in the next round for buckets still in several
+1. Star rounds: each bucket (band and value) has a pivot; each text is compared with one pivot of its buckets, on the
+   full sets; confirmed links are united; other pivots follow in the next round for buckets still in several
    components. A pivot's members are compared in slices, in a stream that holds one set besides the pivot's.
-2. The rest, exactly: of buckets still in several components, pairs of members in different components are compared
-   in blocks of BLOCK by BLOCK, by signatures (ESTIMATE is 4 standard deviations below 0.75), and what remains on
-   full sets. So a link inside a bucket is lost only where its two texts are already in one component.
+2. The rest, exactly: texts joined by buckets still in several components form clusters. Within a cluster all members
+   of different components are compared on their full sets in blocks of BLOCK by BLOCK, as bit sets. Only confirmed
+   links leave a task, at most one for each component.
+   So a link is lost only where its two texts are already in one component.
 
 Null text is empty; an empty set is linked with nothing. Rows that share an id count as one document, whose links are
 united; a null id is never linked. Extra columns are ignored.
@@ -30,9 +31,8 @@ from .common import checkpointed, read_table
 
 SHINGLE, COORDS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
-STAR_ROUNDS = 3
-BLOCK = 1024
-ESTIMATE = 0.6
+STAR_ROUNDS = 2
+BLOCK, VOCABULARY = 512, 1 << 15
 SLICES = 64
 _U64, _U32 = np.uint64, np.uint32
 
@@ -169,29 +169,64 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _cross_pairs(rows: DataFrame, estimate: float, block: int) -> DataFrame:
-    """rows (band, id, comp, sig): pairs (id, head) in different components whose signatures agree well enough."""
-    counts = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    cut = rows.join(counts, "band").withColumn("_k", blocks).withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
-    # a row goes to the block pairs (i, j), i <= j, that hold its own block
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = VOCABULARY) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets: bit sets over the items that two sets or more hold,
+    width items at a time."""
+    every = left + right
+    items = np.concatenate(every) if every else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(every)), [x.size for x in every])
+    known, back, times = np.unique(items, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[back] > 1
+    owner, at = owner[shared], number[back][shared]
+    out = np.zeros((len(left), len(right)), np.int32)
+    for begin in range(0, int(number[-1]) + 1 if number.size else 0, width):
+        here = (at >= begin) & (at < begin + width)
+        bits = np.zeros((len(every), width), bool)
+        bits[owner[here], at[here] - begin] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for i in range(len(left)):
+            out[i] += np.bitwise_count(packed[i] & packed[len(left):]).sum(axis=1, dtype=np.int32)
+    return out
+
+
+def _cross_links(rows: DataFrame, block: int, shingle: int, numerator: int, denominator: int) -> DataFrame:
+    """rows (cluster, id, comp, _text): confirmed links (id, head) that unite components of a cluster.
+
+    A cluster of k blocks goes to its block pairs (i, j), i <= j, so every pair of its members meets once; all pairs
+    of a block pair are measured on their full sets, and only links that unite something leave the task.
+    """
+    counts = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
+    cut = rows.join(counts, "cluster").withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     others = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    placed = others.select("band", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "id", "comp", "sig")
+    placed = others.select("cluster", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "id", "comp", "_text")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         own, ids, comps = (table[c].to_numpy() for c in ("_c", "id", "comp"))
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(ids), -1)
+        sets = [shingles(t, shingle) for t in table["_text"].to_pylist()]
+        sizes, lead = np.array([x.size for x in sets]), {}
+
+        def top(c: int) -> int:
+            while lead.get(c, c) != c:
+                c = lead[c]
+            return c
+
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        both = overlaps([sets[x] for x in left], [sets[x] for x in right])
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        linked = (denominator * both >= numerator * union) & (union > 0) & (comps[left][:, None] != comps[right][None, :])
         a, b = [], []
-        for x in left:
-            y = right[(comps[right] != comps[x]) & (ids[right] < ids[x])] if i == j else right[comps[right] != comps[x]]
-            y = y[(sigs[y] == sigs[x]).mean(axis=1) >= estimate] if y.size else y
-            a += [max(ids[x], ids[z]) for z in y]
-            b += [min(ids[x], ids[z]) for z in y]
+        for x, y in np.argwhere(linked):
+            x, y = left[x], right[y]
+            p, q = top(int(comps[x])), top(int(comps[y]))
+            if p != q:
+                lead[max(p, q)] = min(p, q)
+                a.append(max(ids[x], ids[y]))
+                b.append(min(ids[x], ids[y]))
         return pa.table({"id": pa.array(a, pa.int64()), "head": pa.array(b, pa.int64())})
 
-    return placed.groupBy("band", "i", "j").applyInArrow(compare, "id long, head long").distinct()
+    return placed.groupBy("cluster", "i", "j").applyInArrow(compare, "id long, head long")
 
 
 def near_groups(
@@ -219,7 +254,8 @@ def near_groups(
     buckets = checkpointed(bands.join(full, "band").select("band", "id", "head"))
     involved = buckets.select("id").distinct()
     held = checkpointed(texts.join(involved, "id", "left_semi"))
-    pairs = buckets.filter("id <> head").select("id", "head").distinct()
+    # one candidate per text and round: the smallest pivot among its buckets
+    pairs = buckets.filter("id <> head").groupBy("id").agg(F.min("head").alias("head"))
     links = checkpointed(_verified(held, pairs, shingle, numerator, denominator))
     tried = 1
     while True:
@@ -230,14 +266,17 @@ def near_groups(
         still = checkpointed(here.join(open_bands, "band"))
         if tried >= star_rounds or not still.limit(1).count():
             break
-        draw = F.xxhash64(F.lit(tried), F.col("id"))
-        pivot = still.groupBy("band").agg(F.min(F.struct(draw.alias("d"), F.col("id"), F.col("comp"))).alias("p")).select("band", F.col("p.id").alias("head"), F.col("p.comp").alias("head_comp"))
-        pairs = still.join(pivot, "band").filter("comp <> head_comp").select(F.greatest("id", "head").alias("id"), F.least("id", "head").alias("head")).distinct()
-        links = checkpointed(links.unionByName(_verified(held, pairs, shingle, numerator, denominator)).distinct())
+        draw = F.xxhash64(F.lit(tried), F.col("comp"))
+        pivot = still.groupBy("band").agg(F.min(F.struct(draw.alias("d"), F.col("comp"), F.col("id"))).alias("p")).select("band", F.col("p.id").alias("head"), F.col("p.comp").alias("head_comp"))
+        pairs = still.join(pivot, "band").filter("comp <> head_comp").groupBy("id").agg(F.min("head").alias("head"))
+        links = checkpointed(links.unionByName(_verified(held, pairs, shingle, numerator, denominator)))
         tried += 1
     if still.limit(1).count():
-        rest = _cross_pairs(still.join(nodes, "id"), ESTIMATE, BLOCK)
-        more = _verified(held, rest, shingle, numerator, denominator)
+        # texts joined by open buckets form clusters; each text is sent once to each block pair of its cluster
+        heads = still.groupBy("band").agg(F.min("id").alias("head"))
+        cluster = components(checkpointed(still.select("band", "id").join(heads, "band").select("id", "head").distinct())).withColumnRenamed("comp", "cluster")
+        members = still.select("id", "comp").distinct().join(cluster, "id").join(held, "id")
+        more = _cross_links(members, BLOCK, shingle, numerator, denominator)
         label = components(checkpointed(links.unionByName(more)))
     united = same_id.filter("k > 1").select("id", "head")
     if united.limit(1).count():
