@@ -31,7 +31,7 @@ from .common import checkpointed, read_table
 
 SHINGLE, COORDS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 BLOCK, VOCABULARY = 512, 1 << 15
 SLICES = 64
 _U64, _U32 = np.uint64, np.uint32
