@@ -155,17 +155,26 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, numerator: int,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for the ids in edges (id, head): comp is the smallest id reachable. Minimum labels with jumps."""
-    both = checkpointed(edges.select(F.col("id").alias("a"), F.col("head").alias("b")).union(edges.select(F.col("head").alias("a"), F.col("id").alias("b"))).filter("a <> b").distinct())
-    label = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("id"), "comp"))
+    """(id, comp) for the ids in edges (id, head): comp is the smallest id reachable.
+
+    Every id points to its smallest neighbour or itself, pointers are followed twice, and the edges are contracted to
+    the ids pointed to; what is left shrinks from round to round until no edge is.
+    """
+    left = checkpointed(edges.filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct())
+    label = None
     while True:
-        near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("comp").alias("near"))
-        step = label.join(near, label.id == near.a).select("id", "comp", F.least("comp", "near").alias("low"))
-        jump = step.alias("s").join(step.select(F.col("id").alias("_to"), F.col("low").alias("_low")), F.col("s.low") == F.col("_to"), "left")
-        new = checkpointed(jump.select("id", F.least("low", F.coalesce("_low", "low")).alias("new"), F.col("comp").alias("old")))
-        changed = new.filter("new <> old").limit(1).count()
-        label = new.select("id", F.col("new").alias("comp"))
-        if not changed:
+        point = left.select(F.col("a").alias("id"), F.col("b").alias("low")).union(left.select("b", "b")).groupBy("id").agg(F.min("low").alias("low"))
+        for _ in range(2):
+            point = point.join(point.select(F.col("id").alias("_to"), F.col("low").alias("_low")), F.col("low") == F.col("_to")).select("id", F.col("_low").alias("low"))
+        point = checkpointed(point)
+        to = point.select(F.col("id").alias("_to"), F.col("low").alias("_low"))
+        if label is None:
+            label = point.withColumnRenamed("low", "comp")
+        else:
+            label = checkpointed(label.join(to, F.col("comp") == F.col("_to"), "left").select("id", F.coalesce("_low", "comp").alias("comp")))
+        moved = left.join(to, F.col("a") == F.col("_to")).select(F.col("_low").alias("p"), "b").join(to, F.col("b") == F.col("_to")).select("p", F.col("_low").alias("q"))
+        left = checkpointed(moved.filter("p <> q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct())
+        if not left.limit(1).count():
             return label
 
 
