@@ -20,8 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    jdf = df.checkpoint(eager=True)._jdf
+    # checkpoint() keeps the plan's size estimate, a product over its joins that in a loop outgrows the driver's memory;
+    # over the bare rows Spark starts from its default estimate again
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
