@@ -37,7 +37,7 @@ BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT = 28, 16, 8
 SEGMENT_BITS = 10
 HOT = 4096
 FLUSH = 2_000_000
-COLLECTION = 4_000  # strings: the columns then stay in a core's cache
+COLLECTION = 1_000  # strings: the columns then stay in a core's cache
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
