@@ -1,13 +1,14 @@
-"""LM scoring: a log-frequency Bloom filter holds quantised n-gram counts and is broadcast to the workers.
+"""LM scoring: a log-frequency Bloom filter holds quantised n-gram counts, cut by hash into segments that probes are joined to.
 
 Training: n-grams (words and pairs of adjacent words) of the training rows are hashed and counted over all documents.
-Each n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c) of the filter; a pair seen fewer than
-MIN_PAIR times has no entry (a cut-off of the model, not of the data). The filter has FILTER_BITS bits at most, which
-is the proven bound of the broadcast, cut into SEGMENTS by hash so that each segment is built by a reducer of its own.
-With more entries than the bits carry well, the false positive rate of a probe rises; the counts stay complete.
-
-Scoring: the count of an n-gram is found by probing level after level until a probe misses, and read back as the mean
-count of its level under a 1/c^2 law. P(w | v) = LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * P1(w), P1(w) = (c(w) + ALPHA) / (N + ALPHA * (V + 1)); c(v w) is
+Each n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c) of the filter, pairs seen once as well. A
+segment is built by a reducer of its own and has BITS_PER_ENTRY bits for each of its measured entries, so that a probe
+of an absent entry hits with probability 0.012 at every size of input; no segment is ever gathered with the others. The
+number of segments grows with the text, one for SEGMENT_BYTES.
+
+Scoring: each chunk of documents sends its distinct keys to their segments and gets one level for each. The count of an
+n-gram is found by probing level after level until a probe misses or the segment's highest level is reached, and read
+back as the mean count of its level under a 1/c^2 law. P(w | v) = LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * P1(w), P1(w) = (c(w) + ALPHA) / (N + ALPHA * (V + 1)); c(v w) is
 held to min(c(v), c(w)), as false positives could exceed it. A history without count leaves P1 alone. score is the sum of log10 P over the text's words and its
 end, base_score the same with P1 of exact counts, which come from a shuffle of word counts per chunk of documents.
 
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table
+from .common import checkpointed, crc_mod, read_table
 
-ALPHA, LAMBDA, MIN_PAIR = 0.1, 0.2, 2
-FILTER_BITS = 1 << 28
-SEGMENT_BITS = 10  # log2 of the number of segments
+ALPHA, LAMBDA, MIN_PAIR = 0.1, 0.2, 1
+BITS_PER_ENTRY = 10
+SEGMENT_BITS = 10  # log2 of the least number of segments
+SEGMENT_BYTES = 4 << 20  # text of a segment
 PROBES = 4
 CHUNK_BYTES = 16 << 20
 FLUSH = 4_000_000
@@ -50,9 +52,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def _key(h: np.ndarray) -> np.ndarray:
+def segment_bits_for(volume: int) -> int:
+    """log2 of the number of segments for so many bytes of text; keys have room for 16 bits of it."""
+    return min(64 - 8 * KEY_BYTES, max(SEGMENT_BITS, (volume // SEGMENT_BYTES).bit_length()))
+
+
+def _key(h: np.ndarray, segment_bits: int) -> np.ndarray:
     """Keys have the top segment bits and the low KEY_BYTES of a hash; what lies between is 0."""
-    return h & _U((1 << 64) - (1 << 64 - SEGMENT_BITS) | (1 << 8 * KEY_BYTES) - 1)
+    return h & _U((1 << 64) - (1 << 64 - segment_bits) | (1 << 8 * KEY_BYTES) - 1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -61,15 +68,15 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def pair_hashes(h: np.ndarray) -> np.ndarray:
+def pair_hashes(h: np.ndarray, segment_bits: int) -> np.ndarray:
     """For each token of consecutive texts, the key of it with the token before; a text's first word follows an end."""
     before = np.empty_like(h)
     before[:1], before[1:] = word_hashes([END]), h[:-1]
-    return _key(_mix(before * _U(0xD6E8FEB86659FD93) + h))
+    return _key(_mix(before * _U(0xD6E8FEB86659FD93) + h), segment_bits)
 
 
-def unigram_keys(h: np.ndarray) -> np.ndarray:
-    return _key(_mix(h + _U(0xA0761D6478BD642F)))
+def unigram_keys(h: np.ndarray, segment_bits: int) -> np.ndarray:
+    return _key(_mix(h + _U(0xA0761D6478BD642F)), segment_bits)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -86,39 +93,41 @@ LEVEL_MEAN = np.array([0.0] + [_level_mean(j) for j in range(1, 65)])
 
 
 class LogFrequencyFilter:
-    """Bits of segment s (top bits of the key) hold the n-grams of that segment under (key, level)."""
+    """Bits of one segment hold its n-grams under (key, level); top is the highest level stored."""
 
-    def __init__(self, bits: np.ndarray, segment_bits: int = SEGMENT_BITS):
-        self.bits, self.segment_bits = bits, segment_bits
-        self.size = bits.size * 8 >> segment_bits  # bits of a segment, a power of two
+    def __init__(self, bits: np.ndarray, top: int):
+        self.bits, self.top = bits, top
 
     @staticmethod
-    def places(keys: np.ndarray, level: int | np.ndarray, size: int) -> list[np.ndarray]:
+    def places(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
         a = _mix(keys + np.asarray(level).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
         b = (a >> _U(32)) | _U(1)
-        return [((a + _U(i) * b) & _U(size - 1)) for i in range(PROBES)]
+        return [(a + _U(i) * b) % _U(size) for i in range(PROBES)]
 
     @classmethod
-    def segment(cls, keys: np.ndarray, counts: np.ndarray, size: int) -> bytes:
-        out, top = np.zeros(size, bool), levels(counts)
-        for j in range(1, int(top.max(initial=0)) + 1):
-            for p in cls.places(keys[top >= j], j, size):
+    def build(cls, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
+        tops = levels(counts)
+        out, top = np.zeros(8 * max(8, -(-BITS_PER_ENTRY * int(tops.sum()) // 8)), bool), int(tops.max(initial=0))
+        for j in range(1, top + 1):
+            for p in cls.places(keys[tops >= j], j, out.size):
                 out[p] = True
-        return np.packbits(out, bitorder="little").tobytes()
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Mean count of the highest level whose probes, and those of all levels below, hit; 0 if level 1 misses."""
-        found, left, j = np.zeros(keys.size, np.int64), np.arange(keys.size), 0
-        segment = (keys >> _U(64 - self.segment_bits)) * _U(self.size)
-        while left.size:
-            j += 1
+        return cls(np.packbits(out, bitorder="little"), top)
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Highest level whose probes, and those of all levels below, hit; 0 if level 1 misses."""
+        found, left = np.zeros(keys.size, np.uint8), np.arange(keys.size)
+        for j in range(1, self.top + 1):
             hit = np.ones(left.size, bool)
-            for p in self.places(keys[left], j, self.size):
-                at = p + segment[left]
-                hit &= (self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+            for p in self.places(keys[left], j, 8 * self.bits.size):
+                hit &= (self.bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
             left = left[hit]
             found[left] = j
-        return LEVEL_MEAN[found]
+        return found
+
+
+def _cuts(keys: np.ndarray, segment_bits: int) -> np.ndarray:
+    """Where each segment begins in sorted keys, and the end."""
+    return np.searchsorted(keys >> _U(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
 
 
 def _count_keys(batches: Iterator[pa.RecordBatch], segment_bits: int) -> Iterator[pa.RecordBatch]:
@@ -131,17 +140,17 @@ def _count_keys(batches: Iterator[pa.RecordBatch], segment_bits: int) -> Iterato
     def flush() -> Iterator[pa.RecordBatch]:
         got = []
         if waiting:
-            pairs.append(pair_hashes(word_hashes(waiting)))
+            pairs.append(pair_hashes(word_hashes(waiting), segment_bits))
             waiting.clear()
         if words:
-            h = unigram_keys(word_hashes(list(words)))
+            h = unigram_keys(word_hashes(list(words)), segment_bits)
             got.append((1, h, np.fromiter(words.values(), np.int64, len(words))))
         if pairs:
             got.append((2, *np.unique(np.concatenate(pairs), return_counts=True)))
         for kind, keys, counts in got:
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order].astype(np.uint32)
-            cuts = np.searchsorted(keys >> _U(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
+            cuts = _cuts(keys, segment_bits)
             some = np.flatnonzero(np.diff(cuts))
             packed = [(_pack(keys[cuts[s]:cuts[s + 1]]), counts[cuts[s]:cuts[s + 1]]) for s in some]
             yield pa.RecordBatch.from_pydict({
@@ -161,7 +170,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch], segment_bits: int) -> Iterato
             held += len(tokens)
             waiting += tokens
             if len(waiting) >= STEP:
-                pairs.append(pair_hashes(word_hashes(waiting)))
+                pairs.append(pair_hashes(word_hashes(waiting), segment_bits))
                 waiting.clear()
             if held >= FLUSH:
                 yield from flush()
@@ -189,9 +198,8 @@ def _merged(segment: int, segment_bits: int, once: list[bytes], more: list[bytes
     return keys[first], np.add.reduceat(n, first) if keys.size else n
 
 
-def train(texts: DataFrame, filter_bits: int = FILTER_BITS, min_pair: int = MIN_PAIR, segment_bits: int = SEGMENT_BITS) -> tuple[np.ndarray, int, int]:
-    """From a one-column DataFrame of training texts: the filter's bytes, N and V."""
-    size = filter_bits >> segment_bits
+def train(texts: DataFrame, segment_bits: int = SEGMENT_BITS, min_pair: int = MIN_PAIR) -> DataFrame:
+    """From a one-column DataFrame of training texts: the filter's bits and highest level by segment, with the segment's tokens n and words v."""
     parts = texts.select(F.col(texts.columns[0]).alias("_text")).mapInArrow(
         lambda it: _count_keys(it, segment_bits), "segment int, kind int, once binary, more binary, counts binary"
     )
@@ -207,15 +215,57 @@ def train(texts: DataFrame, filter_bits: int = FILTER_BITS, min_pair: int = MIN_
                 k, c = k[c >= min_pair], c[c >= min_pair]
             keys.append(k)
             counts.append(c)
-        bits = LogFrequencyFilter.segment(np.concatenate(keys), np.concatenate(counts), size)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary()), "n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())})
-
-    built = parts.groupBy("segment").applyInArrow(build, "segment int, bits binary, n long, v long")
-    out, n, v = np.zeros(filter_bits // 8, np.uint8), 0, 0
-    for row in built.toLocalIterator():
-        out[row["segment"] * (size // 8):(row["segment"] + 1) * (size // 8)] = np.frombuffer(row["bits"], np.uint8)
-        n, v = n + row["n"], v + row["v"]
-    return out, n, v
+        got = LogFrequencyFilter.build(np.concatenate(keys), np.concatenate(counts))
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([got.bits.tobytes()], pa.binary()), "top": pa.array([got.top], pa.int32()), "n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())})
+
+    return parts.groupBy("segment").applyInArrow(build, "segment int, bits binary, top int, n long, v long")
+
+
+def _steps(texts: pa.ChunkedArray, number: dict[bytes, int]) -> Iterator[list[np.ndarray]]:
+    """Word numbers of each text, about STEP tokens at a time; new words get the next number."""
+    held: list[np.ndarray] = []
+    waiting = 0
+    for text in texts:
+        tokens = tokens_of(text.as_py())
+        held.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int32, len(tokens)))
+        waiting += len(tokens)
+        if waiting >= STEP:
+            yield held
+            held, waiting = [], 0
+    if held:
+        yield held
+
+
+def _chunk_keys(h: np.ndarray, steps: list[list[np.ndarray]], segment_bits: int) -> np.ndarray:
+    """The distinct keys of a chunk's words and pairs, in order."""
+    pairs = [np.unique(pair_hashes(h[np.concatenate(held)], segment_bits)) for held in steps]
+    return np.unique(np.concatenate([unigram_keys(h, segment_bits), *pairs]))
+
+
+def probed(dealt: DataFrame, filters: DataFrame, segment_bits: int) -> DataFrame:
+    """Rows (_chunk, segment, found): the levels of the chunk's keys of that segment, in the order of the keys."""
+
+    def probe(table: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = {}
+        steps = list(_steps(table["_text"], number))
+        keys = _chunk_keys(word_hashes(list(number)), steps, segment_bits)
+        cuts = _cuts(keys, segment_bits)
+        some = np.flatnonzero(np.diff(cuts))
+        packed = _pack(keys)
+        return pa.table({"_chunk": pa.array([table["_chunk"][0].as_py()] * some.size, pa.int32()), "segment": pa.array(some, pa.int32()), "keys": pa.array([packed[cuts[s]:cuts[s + 1]].tobytes() for s in some], pa.binary())})
+
+    def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        sent = left["keys"].to_pylist()
+        keys = _unpack(b"".join(sent), key[0].as_py(), segment_bits)
+        found = np.zeros(keys.size, np.uint8)  # nothing was stored in a segment without a filter
+        if right.num_rows:
+            found = LogFrequencyFilter(np.frombuffer(right["bits"][0].as_py(), np.uint8), right["top"][0].as_py()).level(keys)
+        at = np.cumsum([0, *(len(x) // KEY_BYTES for x in sent)])
+        return pa.table({"_chunk": left["_chunk"].cast(pa.int32()), "segment": left["segment"].cast(pa.int32()), "found": pa.array([found[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+
+    # all columns of dealt, so that its exchange is used again
+    probes = dealt.groupBy("_chunk").applyInArrow(probe, "_chunk int, segment int, keys binary")
+    return probes.groupBy("segment").cogroup(filters.select("segment", "bits", "top").groupBy("segment")).applyInArrow(look_up, "_chunk int, segment int, found binary")
 
 
 def _chunk_words(table: pa.Table) -> pa.Table:
@@ -237,7 +287,6 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     held_out_mod: int = 10,
-    filter_bits: int = FILTER_BITS,
     min_pair: int = MIN_PAIR,
     weight: float = LAMBDA,
     alpha: float = ALPHA,
@@ -246,61 +295,55 @@ def score(
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), (crc_mod(F.col(id_col), held_out_mod) == 0).alias("held_out"))
-    # small inputs need no full filter; filter_bits is the bound
-    volume = base.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
-    filter_bits = min(filter_bits, 1 << max(20, (4 * int(volume)).bit_length()))
-    bits, n_all, v_all = train(base.filter(~F.col("held_out")).select("_text"), filter_bits, min_pair)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-    chunks = max(spark.sparkContext.defaultParallelism, -(-int(volume) // chunk_bytes))
+    volume = int(base.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0)
+    segment_bits = segment_bits_for(volume)
+    filters = checkpointed(train(base.filter(~F.col("held_out")).select("_text"), segment_bits, min_pair))
+    n_all, v_all = filters.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    chunks = max(spark.sparkContext.defaultParallelism, -(-volume // chunk_bytes))
     dealt = base.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("_text")), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
     counted = (
         dealt.groupBy("_chunk")
         .applyInArrow(_chunk_words, "_chunk int, word binary, n long")
         .withColumn("n", F.sum("n").over(Window.partitionBy("word")))
     )
+    answers = probed(dealt, filters, segment_bits)
+    both_sides = counted.withColumns({"segment": F.lit(None).cast("int"), "found": F.lit(None).cast("binary")}).unionByName(answers, allowMissingColumns=True)
     schema = dealt.select("doc_id", "held_out").withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
     space = float(n_all) + alpha * (v_all + 1)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = LogFrequencyFilter(np.frombuffer(shared.value, np.uint8))
+        told = right.filter(pa.compute.is_valid(right["found"])).sort_by("segment")
+        right = right.filter(pa.compute.is_null(right["found"]))
         words = right["word"].to_pylist()
         exact = right["n"].to_numpy()
         number = {w: i for i, w in enumerate(words)}
         h = word_hashes(words)
+        steps = list(_steps(left["_text"], number))
+        keys = _chunk_keys(h, steps, segment_bits)
+        level = np.frombuffer(b"".join(told["found"].to_pylist()), np.uint8)
+        if level.size != keys.size:
+            raise ValueError(f"{keys.size} keys and {level.size} levels")
+        count = lambda k: LEVEL_MEAN[level[np.searchsorted(keys, k)]]
         base_log = np.log10((exact + alpha) / space)
-        uni = np.minimum(table.count(unigram_keys(h)), n_all) if words else np.zeros(0)
+        uni = np.minimum(count(unigram_keys(h, segment_bits)), n_all) if words else np.zeros(0)
         end = number.get(END, 0)
         tokens, known, bases, scores = ([] for _ in range(4))
-        held: list[np.ndarray] = []
-
-        def flush() -> None:
+        for held in steps:
             i = np.concatenate(held)
             at = np.cumsum([0, *(x.size for x in held[:-1])])
-            keys, back = np.unique(pair_hashes(h[i]), return_inverse=True)
+            some, back = np.unique(pair_hashes(h[i], segment_bits), return_inverse=True)
             before = uni[np.concatenate([[end], i[:-1]])]
-            both = np.minimum(table.count(keys)[back], np.minimum(before, uni[i]))
+            both = np.minimum(count(some)[back], np.minimum(before, uni[i]))
             lam = np.where(before > 0, weight, 0.0)
             p = lam * both / np.maximum(before, 1) + (1 - lam) * (uni[i] + alpha) / space
             tokens.extend(x.size for x in held)
             known.extend(np.add.reduceat((exact[i] > 0).astype(np.int64), at).tolist())
             bases.extend(np.add.reduceat(base_log[i], at).tolist())
             scores.extend(np.add.reduceat(np.log10(p), at).tolist())
-            held.clear()
-
-        waiting = 0
-        for text in left["_text"].to_pylist():
-            toks = tokens_of(text)
-            held.append(np.fromiter(map(number.__getitem__, toks), np.int64, len(toks)))
-            waiting += len(toks)
-            if waiting >= STEP:
-                flush()
-                waiting = 0
-        if held:
-            flush()
         n = len(tokens)
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_all] * n, pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
 
-    return dealt.groupBy("_chunk").cogroup(counted.groupBy("_chunk")).applyInArrow(rate, schema)
+    return dealt.groupBy("_chunk").cogroup(both_sides.groupBy("_chunk")).applyInArrow(rate, schema)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

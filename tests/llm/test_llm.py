@@ -58,6 +58,46 @@ def test_lm(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_filter_holds_every_entry():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    keys = lm._key(rng.integers(0, 1 << 64, 400_000, np.uint64), lm.SEGMENT_BITS)
+    counts = np.where(np.arange(200_000) % 4 == 0, 9, 1)
+    table = lm.LogFrequencyFilter.build(keys[:200_000], counts)
+    found = table.level(keys)
+    assert (found[:200_000] >= lm.levels(counts)).all()  # pairs seen once have an entry
+    # the size follows the entries, and a full filter ends at the highest level stored
+    assert (found[200_000:] > 0).mean() < 0.02 and (found[:200_000] > lm.levels(counts)).mean() < 0.02
+    assert lm.LogFrequencyFilter(np.full(8, 255, np.uint8), 4).level(keys[:5]).tolist() == [4] * 5
+    assert lm.segment_bits_for(30 << 30) > lm.segment_bits_for(1 << 20) == lm.SEGMENT_BITS
+
+
+def test_lm_score_against_counts(docs):
+    """score in plain Python, with counts quantised by level."""
+    import math
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    words, pairs = Counter(), Counter()
+    for i, t in enumerate(TEXTS):
+        if not held(i):
+            toks = lm.tokens_of(t)
+            words.update(toks)
+            pairs.update(zip([lm.END, *toks], toks))
+    n, space = sum(words.values()), sum(words.values()) + 0.1 * (len(words) + 1)
+    mean = lambda c: lm.LEVEL_MEAN[c.bit_length()]
+    close = 0
+    for r in lm.score(docs, chunk_bytes=300).collect():
+        toks = lm.tokens_of(TEXTS[r.doc_id])
+        want = 0.0
+        for v, w in zip([lm.END, *toks], toks):
+            a, b = min(mean(words[v]), n), min(mean(words[w]), n)
+            lam = 0.2 if a else 0.0
+            want += math.log10(lam * min(mean(pairs[v, w]), a, b) / max(a, 1) + (1 - lam) * (b + 0.1) / space)
+        close += r.score == pytest.approx(want)
+    assert close >= len(TEXTS) - 2  # a false hit of the filter may move one
+
+
 def test_suffix_dedup(docs, empty):
     first = {}
     for r in sorted(suffix_dedup.remove_repeats(docs).collect(), key=lambda r: r.doc_id):
