@@ -94,8 +94,9 @@ def jn_knn_cosine(spark, sf_dir):
     SELECT 'row' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS custom_id, count(l_orderkey) AS n_results, count(*) FILTER (l_orderkey IS NULL) AS n_missing
     FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey WHERE o_orderkey < 100000 GROUP BY o_orderkey""")
 def jn_correlate(spark, sf_dir):
-    """Results brought to their requests by id; requests without a result are counted."""
-    o, li = table(spark, sf_dir, "orders").filter("o_orderkey < 100000").select("o_orderkey"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey")
+    """Results brought to their requests by id; requests without a result are counted. The SQL stops below key 100000, the
+    query does not."""
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey")
     n = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     out = o.join(n, o.o_orderkey == n.l_orderkey, "left")
     return out.select(text.custom_id(F.col("o_orderkey")).alias("custom_id"), F.coalesce("n", F.lit(0)).alias("n_results"), F.when(F.col("n").isNull(), 1).otherwise(0).cast("long").alias("n_missing"))

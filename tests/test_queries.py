@@ -39,6 +39,17 @@ def test_funnel_conserves_rows(spark):
         assert r.n_rows == r.dropped_empty + r.dropped_meta + r.dropped_short + r.n_kept
 
 
+def test_custom_ids_of_large_keys(spark, tmp_path):
+    keys = [7, 99999, 100000, 1234567]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(100000, "R"), (100000, "R"), (7, "N")], "l_orderkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "a b", "n", "b", 1.5) for k in keys], "p_partkey long, p_type string, p_name string, p_brand string, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    want = {k: f"row{k:05d}" for k in keys}
+    got = {r.custom_id: (r.n_results, r.n_missing) for r in registry.QUERIES["jn_correlate"](spark, str(tmp_path)).collect()}
+    assert got == {want[k]: (2, 0) if k == 100000 else (0, 1) for k in keys}
+    assert {r.p_partkey: r.custom_id for r in registry.QUERIES["fn_names"](spark, str(tmp_path)).collect()} == want
+
+
 def test_stream(spark, tmp_path):
     from quern.streaming.clean import run_available
 
