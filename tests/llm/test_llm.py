@@ -163,6 +163,17 @@ def test_wrapper(spark):
     assert got == {**{i: f"T {i}\na & b c{i}\nd" for i in range(4)}, 9: "", 10: "bare text"}
 
 
+def test_wrapper_class_words(spark):
+    pages = [
+        ("<div class='has-sidebar'><div class='no-sidebar content'><article><p>a</article></div></div>", "a"),
+        ("<div class='sidebar'><article><p>a</article></div>", "a"),
+        ("<article><header><p>h</header><div class='article-header'><h1>b</h1></div><section id='discussion'><p>c</section><h2 id='search'>d</h2><p class='legal'>e<div class='ad'>no</div></article>", "h\nb\nc\nd\ne"),
+        ("<body><div id='menu'>no</div><div class='main'><p>f</div><div class='main'><p>g</div></body>", "f\ng"),
+    ]
+    rows = spark.createDataFrame([(i, f"http://h{i}/", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrapper.extract(rows).collect()} == {i: t for i, (_, t) in enumerate(pages)}
+
+
 def test_chat_round_trip(spark):
     turns = [("system", "<<SYS>> \\ x"), ("user", "</s>[INST] ok [/INST]"), ("assistant", None), ("odd>\\role", "a\nb"), (None, "")]
     whole, spans, valid = chat.format_conversation(turns)
