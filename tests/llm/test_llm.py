@@ -174,6 +174,17 @@ def test_wrapper_class_words(spark):
     assert {r.page_id: r.text for r in wrapper.extract(rows).collect()} == {i: t for i, (_, t) in enumerate(pages)}
 
 
+def test_wrapper_mixed_hosts(spark):
+    one, two = "<body><h1>T{0}</h1><p>x{0}</p></body>", "<body><table><tr><td>y{0}</td></tr></table><section><div>Same notice</div></section></body>"
+    mixed = [(i, "http://h/", (two if i % 2 else one).format(i)) for i in range(40)]
+    few = [(100 + i, "http://few/", two.format(i)) for i in range(7)]
+    copies = [(200 + i, "http://copies/", (two if i < 20 else one).format(0 if i < 20 else i)) for i in range(40)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(mixed + few + copies, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"y{i}" if i % 2 else f"T{i}\nx{i}") for i in range(40))
+    assert all(got[100 + i] == f"y{i}\nSame notice" for i in range(7))
+    assert all(got[200 + i] == ("y0\nSame notice" if i < 20 else f"T{i}\nx{i}") for i in range(40))
+
+
 def test_chat_round_trip(spark):
     turns = [("system", "<<SYS>> \\ x"), ("user", "</s>[INST] ok [/INST]"), ("assistant", None), ("odd>\\role", "a\nb"), (None, "")]
     whole, spans, valid = chat.format_conversation(turns)
