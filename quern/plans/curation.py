@@ -254,11 +254,11 @@ def fn_preprocess(spark, sf_dir):
 
 @query()
 def fn_sentence_frames(spark, sf_dir):
-    """Captions made of each document's first words, put into sentence form and polished; golden tests hold it."""
+    """Captions made of each document's whole text, put into sentence form and polished; golden tests hold it."""
     docs = table(spark, sf_dir, "documents")
     names = ["Profumo", "Aroma", "Sapore", "Texture", "Spessore della Crosta", "Struttura della Pasta", "Colore della Pasta"]
     openings = ["Note olfattive di ", "Note di ", "Al palato, ", "Texture dalla ", "Crosta con ", "Pasta con ", "Pasta dal colore "]
     i = (F.col("doc_id") % len(names) + 1).cast("int")
-    rows = docs.select("doc_id", F.element_at(F.array(*map(F.lit, names)), i).alias("attribute"), F.concat(F.element_at(F.array(*map(F.lit, openings)), i), F.lower(F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 4), " "))).alias("caption"))
+    rows = docs.select("doc_id", F.element_at(F.array(*map(F.lit, names)), i).alias("attribute"), F.concat(F.element_at(F.array(*map(F.lit, openings)), i), F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))).alias("caption"))
     made = rows.withColumn("sentence", text.polish(text.sentence(text.canonical_opening(F.col("caption"), F.col("attribute")), F.col("attribute"))))
     return made.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.count("sentence").alias("n_matched"), F.count_distinct("sentence").alias("n_sentences"))

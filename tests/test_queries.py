@@ -50,6 +50,12 @@ def test_custom_ids_of_large_keys(spark, tmp_path):
     assert {r.p_partkey: r.custom_id for r in registry.QUERIES["fn_names"](spark, str(tmp_path)).collect()} == want
 
 
+def test_sentence_frames_take_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(0, "latte cotto e burro fuso"), (7, "latte cotto e burro fresco")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = registry.QUERIES["fn_sentence_frames"](spark, str(tmp_path)).collect()
+    assert (r.n, r.n_matched, r.n_sentences) == (2, 2, 2)
+
+
 def test_stream(spark, tmp_path):
     from quern.streaming.clean import run_available
 
