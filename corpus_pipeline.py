@@ -56,7 +56,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The toxicity model and the near-duplicate search have no SQL form; tests hold run() against brute force.
+#: The toxicity model and the near-duplicate search have no SQL form; a test holds run() to its own stages.
 ORACLE_SQL = None
 
 
