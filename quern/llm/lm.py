@@ -4,13 +4,18 @@ Training: n-grams (words and pairs of adjacent words) of the training rows are h
 Each n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c) of the filter, pairs seen once as well. A
 segment is built by a reducer of its own and has BITS_PER_ENTRY bits for each of its measured entries, so that a probe
 of an absent entry hits with probability 0.012 at every size of input; no segment is ever gathered with the others. The
-number of segments grows with the text, one for SEGMENT_BYTES.
+number of segments grows with the text, one for SEGMENT_BYTES. Beside its bits a segment holds the exact counts of its
+words, under 96 bits of their hash, for base_score.
 
-Scoring: each chunk of documents sends its distinct keys to their segments and gets one level for each. The count of an
-n-gram is found by probing level after level until a probe misses or the segment's highest level is reached, and read
-back as the mean count of its level under a 1/c^2 law. P(w | v) = LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * P1(w), P1(w) = (c(w) + ALPHA) / (N + ALPHA * (V + 1)); c(v w) is
-held to min(c(v), c(w)), as false positives could exceed it. A history without count leaves P1 alone. score is the sum of log10 P over the text's words and its
-end, base_score the same with P1 of exact counts, which come from a shuffle of word counts per chunk of documents.
+Scoring: each chunk of documents sends its distinct keys to their segments and gets one level for each, and one exact
+count for each word. The count of an n-gram is found by probing level after level until a probe misses or the segment's
+highest level is reached, and read back as the mean count of its level under a 1/c^2 law.
+P(w | v) = LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * P1(w), P1(w) = (c(w) + ALPHA) / (N + ALPHA * (V + 1)); c(v w) is held
+to min(c(v), c(w)), as false positives could exceed it. A history without count leaves P1 alone. As counts are
+quantised, the probabilities after a history sum to about one, not to one. score is the sum of log10 P over the text's
+words and its end, base_score the same with P1 of exact counts.
+
+A word that every chunk holds is one key of each chunk in its segment, never a row of each occurrence.
 
 Null or empty text is the end alone. A null id counts as empty text when rows are held out. Repeated rows are scored
 and counted each. With no training rows all counts are 0. Extra columns are ignored.
@@ -18,32 +23,52 @@ and counted each. With no training rows all counts are 0. Extra columns are igno
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import checkpointed, crc_mod, read_table
 
 ALPHA, LAMBDA, MIN_PAIR = 0.1, 0.2, 1
 BITS_PER_ENTRY = 10
-SEGMENT_BITS = 10  # log2 of the least number of segments
-SEGMENT_BYTES = 4 << 20  # text of a segment
+SEGMENT_BITS = 6  # log2 of the least number of segments
+SEGMENT_BYTES = 8 << 20  # text of a segment
 PROBES = 4
-CHUNK_BYTES = 16 << 20
-FLUSH = 4_000_000
-KEY_BYTES = 6
-STEP = 200_000  # tokens scored at a time
-END = b""  # the end of a text; no word is empty
+CHUNK_BYTES = 8 << 20
+KEY_BYTES, WORD_BYTES = 5, 12
 _U = np.uint64
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, then the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+    """Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, then the end, which is the empty word."""
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
+
+
+def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], int]:
+    """Word numbers of all texts in a row, tokens of each text, the words by number, and the number of the end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    end = pc.index(coded.dictionary, "").as_py()
+    if end < 0:
+        end = len(words)
+        words.append(b"")
+    numbers = coded.indices.to_numpy(zero_copy_only=False)
+    word = numbers != end  # white space at an edge leaves an empty piece
+    if not len(lists):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), words, end
+    cuts = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    sizes = np.add.reduceat(word.astype(np.int64), np.concatenate([[0], cuts[:-1]])) + 1
+    out = np.full(int(sizes.sum()), end, np.int32)
+    inner = np.ones(out.size, bool)
+    inner[np.cumsum(sizes) - 1] = False
+    out[inner] = numbers[word]
+    return out, sizes, words, end
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -53,30 +78,35 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def segment_bits_for(volume: int) -> int:
-    """log2 of the number of segments for so many bytes of text; keys have room for 16 bits of it."""
+    """log2 of the number of segments for so many bytes of text; pair keys have room for 24 bits of it."""
     return min(64 - 8 * KEY_BYTES, max(SEGMENT_BITS, (volume // SEGMENT_BYTES).bit_length()))
 
 
-def _key(h: np.ndarray, segment_bits: int) -> np.ndarray:
-    """Keys have the top segment bits and the low KEY_BYTES of a hash; what lies between is 0."""
-    return h & _U((1 << 64) - (1 << 64 - segment_bits) | (1 << 8 * KEY_BYTES) - 1)
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """One row of WORD_BYTES bytes for each word."""
+    import xxhash
 
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w)[:WORD_BYTES] for w in words]), np.uint8).reshape(-1, WORD_BYTES)
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def halves(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 64 bits, which hold the segment and stand for the word in pairs, and the rest."""
+    return (np.ascontiguousarray(digests[:, a:b]).view(t).ravel().astype(u) for a, b, t, u in ((0, 8, ">u8", np.uint64), (8, 12, ">u4", np.uint32)))
 
 
-def pair_hashes(h: np.ndarray, segment_bits: int) -> np.ndarray:
-    """For each token of consecutive texts, the key of it with the token before; a text's first word follows an end."""
-    before = np.empty_like(h)
-    before[:1], before[1:] = word_hashes([END]), h[:-1]
-    return _key(_mix(before * _U(0xD6E8FEB86659FD93) + h), segment_bits)
+def _key(h: np.ndarray, segment_bits: int) -> np.ndarray:
+    """Keys have the top segment bits and the low KEY_BYTES of a hash; what lies between is 0."""
+    return h & _U((1 << 64) - (1 << 64 - segment_bits) | (1 << 8 * KEY_BYTES) - 1)
 
 
-def unigram_keys(h: np.ndarray, segment_bits: int) -> np.ndarray:
-    return _key(_mix(h + _U(0xA0761D6478BD642F)), segment_bits)
+def pair_keys(h: np.ndarray, numbers: np.ndarray, end: int, segment_bits: int) -> np.ndarray:
+    """For each token its key together with the token before; a text's first word follows an end. h: hashes by number."""
+    of = h[numbers]
+    before = np.empty_like(of)
+    before[:1], before[1:] = h[end], of[:-1]
+    before *= _U(0xD6E8FEB86659FD93)
+    before += of
+    return _key(_mix(before), segment_bits)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -99,85 +129,44 @@ class LogFrequencyFilter:
         self.bits, self.top = bits, top
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+    def places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         a = _mix(keys + np.asarray(level).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
         b = (a >> _U(32)) | _U(1)
-        return [(a + _U(i) * b) % _U(size) for i in range(PROBES)]
+        for i in range(PROBES):
+            yield ((a + _U(i) * b) % _U(size)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
         tops = levels(counts)
         out, top = np.zeros(8 * max(8, -(-BITS_PER_ENTRY * int(tops.sum()) // 8)), bool), int(tops.max(initial=0))
         for j in range(1, top + 1):
-            for p in cls.places(keys[tops >= j], j, out.size):
+            keys, tops = keys[tops >= j], tops[tops >= j]
+            for p in cls.places(keys, j, out.size):
                 out[p] = True
         return cls(np.packbits(out, bitorder="little"), top)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Highest level whose probes, and those of all levels below, hit; 0 if level 1 misses."""
         found, left = np.zeros(keys.size, np.uint8), np.arange(keys.size)
+        bits = np.unpackbits(self.bits, bitorder="little").view(bool)
         for j in range(1, self.top + 1):
             hit = np.ones(left.size, bool)
-            for p in self.places(keys[left], j, 8 * self.bits.size):
-                hit &= (self.bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
+            for p in self.places(keys[left], j, bits.size):
+                hit &= bits[p]
             left = left[hit]
             found[left] = j
         return found
 
 
+def word_filter_keys(h: np.ndarray) -> np.ndarray:
+    return _mix(h + _U(0xA0761D6478BD642F))
+
+
 def _cuts(keys: np.ndarray, segment_bits: int) -> np.ndarray:
     """Where each segment begins in sorted keys, and the end."""
     return np.searchsorted(keys >> _U(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch], segment_bits: int) -> Iterator[pa.RecordBatch]:
-    """Partial counts: rows (segment, kind, keys, counts), kind 1 for words and 2 for pairs."""
-    words: Counter[bytes] = Counter()
-    pairs: list[np.ndarray] = []
-    waiting: list[bytes] = []
-    held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        got = []
-        if waiting:
-            pairs.append(pair_hashes(word_hashes(waiting), segment_bits))
-            waiting.clear()
-        if words:
-            h = unigram_keys(word_hashes(list(words)), segment_bits)
-            got.append((1, h, np.fromiter(words.values(), np.int64, len(words))))
-        if pairs:
-            got.append((2, *np.unique(np.concatenate(pairs), return_counts=True)))
-        for kind, keys, counts in got:
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order].astype(np.uint32)
-            cuts = _cuts(keys, segment_bits)
-            some = np.flatnonzero(np.diff(cuts))
-            packed = [(_pack(keys[cuts[s]:cuts[s + 1]]), counts[cuts[s]:cuts[s + 1]]) for s in some]
-            yield pa.RecordBatch.from_pydict({
-                "segment": pa.array(some, pa.int32()),
-                "kind": pa.array([kind] * len(some), pa.int32()),
-                "once": pa.array([k[c == 1].tobytes() for k, c in packed], pa.binary()),
-                "more": pa.array([k[c > 1].tobytes() for k, c in packed], pa.binary()),
-                "counts": pa.array([c[c > 1].tobytes() for k, c in packed], pa.binary()),
-            })
-        words.clear()
-        pairs.clear()
-
-    for batch in batches:
-        for text in batch.column("_text").to_pylist():
-            tokens = tokens_of(text)
-            words.update(tokens)
-            held += len(tokens)
-            waiting += tokens
-            if len(waiting) >= STEP:
-                pairs.append(pair_hashes(word_hashes(waiting), segment_bits))
-                waiting.clear()
-            if held >= FLUSH:
-                yield from flush()
-                held = 0
-    yield from flush()
-
-
 def _pack(keys: np.ndarray) -> np.ndarray:
     """The low KEY_BYTES of each key as rows of bytes; the segment's bits are the row's own."""
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
@@ -189,97 +178,141 @@ def _unpack(data: bytes, segment: int, segment_bits: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64) | _U(segment << 64 - segment_bits)
 
 
-def _merged(segment: int, segment_bits: int, once: list[bytes], more: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys = _unpack(b"".join(once + more), segment, segment_bits)
-    n = np.concatenate([np.ones(sum(map(len, once)) // KEY_BYTES, np.int64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)])
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if keys.size else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if keys.size else n
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Array]:
+    """The texts of several batches at a time, about `most` bytes of them (one text at least)."""
+    held: list[pa.Array] = []
+    size = 0
+    for batch in batches:
+        texts = batch.column("_text")
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + most - size, "right")) - 1)
+            held.append(texts.slice(begin, end - begin))
+            size += int(at[end] - at[begin])
+            begin = end
+            if size >= most or begin < len(texts):
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
 
 
-def train(texts: DataFrame, segment_bits: int = SEGMENT_BITS, min_pair: int = MIN_PAIR) -> DataFrame:
-    """From a one-column DataFrame of training texts: the filter's bits and highest level by segment, with the segment's tokens n and words v."""
-    parts = texts.select(F.col(texts.columns[0]).alias("_text")).mapInArrow(
-        lambda it: _count_keys(it, segment_bits), "segment int, kind int, once binary, more binary, counts binary"
-    )
+def _by_segment(digests: np.ndarray, pairs: np.ndarray, segment_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments with keys, the words' order, and where each segment's words and pairs (sorted) begin."""
+    hi, lo = halves(digests)
+    order = np.lexsort((lo, hi))
+    words_at, pairs_at = _cuts(hi[order], segment_bits), _cuts(pairs, segment_bits)
+    return np.flatnonzero(np.diff(words_at) + np.diff(pairs_at)), order, words_at, pairs_at
 
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts, n, v = [], [], 0, 0
-        for kind in (1, 2):
-            rows = table.filter(pa.compute.equal(table["kind"], kind))
-            k, c = _merged(key[0].as_py(), segment_bits, *(rows[x].to_pylist() for x in ("once", "more", "counts")))
-            if kind == 1:
-                n, v = int(c.sum()), k.size
-            else:
-                k, c = k[c >= min_pair], c[c >= min_pair]
-            keys.append(k)
-            counts.append(c)
-        got = LogFrequencyFilter.build(np.concatenate(keys), np.concatenate(counts))
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([got.bits.tobytes()], pa.binary()), "top": pa.array([got.top], pa.int32()), "n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())})
-
-    return parts.groupBy("segment").applyInArrow(build, "segment int, bits binary, top int, n long, v long")
-
-
-def _steps(texts: pa.ChunkedArray, number: dict[bytes, int]) -> Iterator[list[np.ndarray]]:
-    """Word numbers of each text, about STEP tokens at a time; new words get the next number."""
-    held: list[np.ndarray] = []
-    waiting = 0
-    for text in texts:
-        tokens = tokens_of(text.as_py())
-        held.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int32, len(tokens)))
-        waiting += len(tokens)
-        if waiting >= STEP:
-            yield held
-            held, waiting = [], 0
-    if held:
-        yield held
 
+def _count_keys(batches: Iterator[pa.RecordBatch], segment_bits: int) -> Iterator[pa.RecordBatch]:
+    """Partial counts by segment: words with counts, pairs seen once, other pairs with counts."""
+    for texts in _blocks(batches, 2 * CHUNK_BYTES):
+        numbers, _, words, end = encoded(texts)
+        digests = word_digests(words)
+        pairs, n = np.unique(pair_keys(next(iter(halves(digests))), numbers, end, segment_bits), return_counts=True)
+        n = n.astype("<u4")
+        some, order, words_at, pairs_at = _by_segment(digests, pairs, segment_bits)
+        digests, times = digests[order], np.bincount(numbers, minlength=len(words))[order].astype("<u4")
+        packed, once = _pack(pairs), n == 1
+        out: list[tuple] = []
+        for s in some.tolist():
+            w, p = slice(words_at[s], words_at[s + 1]), slice(pairs_at[s], pairs_at[s + 1])
+            out.append((s, digests[w].tobytes(), times[w].tobytes(), packed[p][once[p]].tobytes(), packed[p][~once[p]].tobytes(), n[p][~once[p]].tobytes()))
+        yield _batch(out, ("segment", "words", "times", "once", "more", "counts"))
 
-def _chunk_keys(h: np.ndarray, steps: list[list[np.ndarray]], segment_bits: int) -> np.ndarray:
-    """The distinct keys of a chunk's words and pairs, in order."""
-    pairs = [np.unique(pair_hashes(h[np.concatenate(held)], segment_bits)) for held in steps]
-    return np.unique(np.concatenate([unigram_keys(h, segment_bits), *pairs]))
 
+def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if x in ("segment", "_chunk") else pa.binary()) for c, x in zip(cols, names, strict=True)], list(names))
 
-def probed(dealt: DataFrame, filters: DataFrame, segment_bits: int) -> DataFrame:
-    """Rows (_chunk, segment, found): the levels of the chunk's keys of that segment, in the order of the keys."""
 
-    def probe(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        steps = list(_steps(table["_text"], number))
-        keys = _chunk_keys(word_hashes(list(number)), steps, segment_bits)
-        cuts = _cuts(keys, segment_bits)
-        some = np.flatnonzero(np.diff(cuts))
-        packed = _pack(keys)
-        return pa.table({"_chunk": pa.array([table["_chunk"][0].as_py()] * some.size, pa.int32()), "segment": pa.array(some, pa.int32()), "keys": pa.array([packed[cuts[s]:cuts[s + 1]].tobytes() for s in some], pa.binary())})
+def _joined(table: pa.Table, column: str) -> bytes:
+    return b"".join(table[column].to_pylist())
 
-    def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        sent = left["keys"].to_pylist()
-        keys = _unpack(b"".join(sent), key[0].as_py(), segment_bits)
-        found = np.zeros(keys.size, np.uint8)  # nothing was stored in a segment without a filter
-        if right.num_rows:
-            found = LogFrequencyFilter(np.frombuffer(right["bits"][0].as_py(), np.uint8), right["top"][0].as_py()).level(keys)
-        at = np.cumsum([0, *(len(x) // KEY_BYTES for x in sent)])
-        return pa.table({"_chunk": left["_chunk"].cast(pa.int32()), "segment": left["segment"].cast(pa.int32()), "found": pa.array([found[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
 
-    # all columns of dealt, so that its exchange is used again
-    probes = dealt.groupBy("_chunk").applyInArrow(probe, "_chunk int, segment int, keys binary")
-    return probes.groupBy("segment").cogroup(filters.select("segment", "bits", "top").groupBy("segment")).applyInArrow(look_up, "_chunk int, segment int, found binary")
+def _summed(order: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each run of equal keys (new marks its first in `order`) and the run's sum of n."""
+    first = np.flatnonzero(new)
+    return order[first], np.add.reduceat(n[order], first) if first.size else n[:0]
 
 
-def _chunk_words(table: pa.Table) -> pa.Table:
-    trained: Counter[bytes] = Counter()
-    seen: set[bytes] = set()
-    for text, held in zip(table["_text"].to_pylist(), table["held_out"].to_pylist(), strict=True):
-        tokens = tokens_of(text)
-        if held:
-            seen.update(tokens)
-        else:
-            trained.update(tokens)
-    words = [*trained, *(w for w in seen if w not in trained)]
-    n = [trained.get(w, 0) for w in words]
-    return pa.table({"_chunk": pa.array([table["_chunk"][0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary()), "n": pa.array(n, pa.int64())})
+def train(texts: DataFrame, segment_bits: int = SEGMENT_BITS, min_pair: int = MIN_PAIR) -> DataFrame:
+    """From a one-column DataFrame of training texts, by segment: the filter's bits and highest level, the words'
+    digests in order with their exact counts, and the sum n and number v of these."""
+    parts = texts.select(F.col(texts.columns[0]).alias("_text")).mapInArrow(lambda it: _count_keys(it, segment_bits), "segment int, words binary, times binary, once binary, more binary, counts binary")
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        segment = key[0].as_py()
+        digests, times = np.frombuffer(_joined(table, "words"), np.uint8).reshape(-1, WORD_BYTES), np.frombuffer(_joined(table, "times"), "<u4").astype(np.int64)
+        hi, lo = halves(digests)
+        order = np.lexsort((lo, hi))
+        new = np.ones(order.size, bool)
+        new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
+        words, times = _summed(order, new, times)
+        once = _joined(table, "once")
+        pairs = _unpack(once + _joined(table, "more"), segment, segment_bits)
+        n = np.concatenate([np.ones(len(once) // KEY_BYTES, np.int64), np.frombuffer(_joined(table, "counts"), "<u4").astype(np.int64)])
+        order = np.argsort(pairs, kind="stable")
+        new = np.ones(order.size, bool)
+        new[1:] = pairs[order[1:]] != pairs[order[:-1]]
+        first, n = _summed(order, new, n)
+        pairs, n = pairs[first][n >= min_pair], n[n >= min_pair]
+        got = LogFrequencyFilter.build(np.concatenate([word_filter_keys(hi[words]), pairs]), np.concatenate([times, n]))
+        cells = [segment, got.bits.tobytes(), got.top, digests[words].tobytes(), times.astype("<i8").tobytes(), int(times.sum()), times.size]
+        types = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names=["segment", "bits", "top", "words", "times", "n", "v"])
+
+    return parts.groupBy("segment").applyInArrow(build, "segment int, bits binary, top int, words binary, times binary, n long, v long")
+
+
+def exact_counts(digests: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Counts of words in known (sorted), 0 for others."""
+    (hi, lo), (known_hi, known_lo) = halves(digests), halves(known)
+    out = np.zeros(hi.size, np.int64)
+    if not known_hi.size:
+        return out
+    at = np.searchsorted(known_hi, hi)
+    edge = np.flatnonzero(np.concatenate([[True], known_hi[1:] != known_hi[:-1], [True]]))
+    for step in range(int(np.diff(edge).max())):  # 1, but for words that share 64 bits of their hashes
+        i = np.minimum(at + step, known_hi.size - 1)
+        same = (known_hi[i] == hi) & (known_lo[i] == lo)
+        out[same] = times[i][same]
+    return out
+
+
+def probed(dealt: DataFrame, model: DataFrame, segment_bits: int) -> DataFrame:
+    """Rows (_chunk, segment, times, word_levels, pair_levels) for the chunk's keys of that segment, in their order."""
+
+    def send(table: pa.Table) -> pa.Table:
+        numbers, _, words, end = encoded(table["_text"].combine_chunks())
+        digests = word_digests(words)
+        pairs = np.unique(pair_keys(next(iter(halves(digests))), numbers, end, segment_bits))
+        some, order, words_at, pairs_at = _by_segment(digests, pairs, segment_bits)
+        digests, packed, chunk = digests[order], _pack(pairs), table["_chunk"][0].as_py()
+        rows = [(chunk, s, digests[words_at[s]:words_at[s + 1]].tobytes(), packed[pairs_at[s]:pairs_at[s + 1]].tobytes()) for s in some.tolist()]
+        return pa.Table.from_batches([_batch(rows, ("_chunk", "segment", "words", "pairs"))])
+
+    def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        words, pairs = left["words"].to_pylist(), left["pairs"].to_pylist()
+        digests = np.frombuffer(b"".join(words), np.uint8).reshape(-1, WORD_BYTES)
+        keys = _unpack(b"".join(pairs), key[0].as_py(), segment_bits)
+        times, of_words, of_pairs = np.zeros(len(digests), np.int64), np.zeros(len(digests), np.uint8), np.zeros(keys.size, np.uint8)
+        if right.num_rows:  # nothing was stored in a segment without a filter
+            known = np.frombuffer(right["words"][0].as_py(), np.uint8).reshape(-1, WORD_BYTES)
+            times = exact_counts(digests, known, np.frombuffer(right["times"][0].as_py(), "<i8"))
+            bloom = LogFrequencyFilter(np.frombuffer(right["bits"][0].as_py(), np.uint8), right["top"][0].as_py())
+            found = bloom.level(np.concatenate([word_filter_keys(next(iter(halves(digests)))), keys]))
+            of_words, of_pairs = found[:len(digests)], found[len(digests):]
+        times = times.astype("<u4" if times.max(initial=0) < 1 << 32 else "<u8")
+        w, p = np.cumsum([0, *(len(x) // WORD_BYTES for x in words)]), np.cumsum([0, *(len(x) // KEY_BYTES for x in pairs)])
+        rows = [(c, s, times[a:b].tobytes(), of_words[a:b].tobytes(), of_pairs[x:y].tobytes()) for c, s, a, b, x, y in zip(left["_chunk"].to_pylist(), left["segment"].to_pylist(), w, w[1:], p, p[1:], strict=False)]
+        return pa.Table.from_batches([_batch(rows, ("_chunk", "segment", "times", "word_levels", "pair_levels"))])
+
+    # all columns of dealt, so that its exchange is used again
+    probes = dealt.groupBy("_chunk").applyInArrow(send, "_chunk int, segment int, words binary, pairs binary")
+    return probes.groupBy("segment").cogroup(model.select("segment", "bits", "top", "words", "times").groupBy("segment")).applyInArrow(look_up, "_chunk int, segment int, times binary, word_levels binary, pair_levels binary")
 
 
 def score(
@@ -297,53 +330,54 @@ def score(
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), (crc_mod(F.col(id_col), held_out_mod) == 0).alias("held_out"))
     volume = int(base.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0)
     segment_bits = segment_bits_for(volume)
-    filters = checkpointed(train(base.filter(~F.col("held_out")).select("_text"), segment_bits, min_pair))
-    n_all, v_all = filters.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    model = checkpointed(train(base.filter(~F.col("held_out")).select("_text"), segment_bits, min_pair))
+    n_all, v_all = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     chunks = max(spark.sparkContext.defaultParallelism, -(-volume // chunk_bytes))
-    dealt = base.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("_text")), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
-    counted = (
-        dealt.groupBy("_chunk")
-        .applyInArrow(_chunk_words, "_chunk int, word binary, n long")
-        .withColumn("n", F.sum("n").over(Window.partitionBy("word")))
-    )
-    answers = probed(dealt, filters, segment_bits)
-    both_sides = counted.withColumns({"segment": F.lit(None).cast("int"), "found": F.lit(None).cast("binary")}).unionByName(answers, allowMissingColumns=True)
+    dealt = base.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
+    answers = probed(dealt, model, segment_bits)
     schema = dealt.select("doc_id", "held_out").withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
     space = float(n_all) + alpha * (v_all + 1)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        told = right.filter(pa.compute.is_valid(right["found"])).sort_by("segment")
-        right = right.filter(pa.compute.is_null(right["found"]))
-        words = right["word"].to_pylist()
-        exact = right["n"].to_numpy()
-        number = {w: i for i, w in enumerate(words)}
-        h = word_hashes(words)
-        steps = list(_steps(left["_text"], number))
-        keys = _chunk_keys(h, steps, segment_bits)
-        level = np.frombuffer(b"".join(told["found"].to_pylist()), np.uint8)
-        if level.size != keys.size:
-            raise ValueError(f"{keys.size} keys and {level.size} levels")
-        count = lambda k: LEVEL_MEAN[level[np.searchsorted(keys, k)]]
+        if not left.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in wanted})
+        right = right.sort_by("segment")
+        numbers, sizes, words, end = encoded(left["_text"].combine_chunks())
+        digests = word_digests(words)
+        h, lo = halves(digests)
+        place = np.lexsort((lo, h))  # the words as they were sent
+        exact, level = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8)
+        told = zip(right["times"].to_pylist(), right["word_levels"].to_pylist(), strict=True)
+        exact[place] = np.concatenate([np.frombuffer(t, f"<u{len(t) // len(k)}").astype(np.int64) for t, k in told if k])
+        level[place] = np.frombuffer(_joined(right, "word_levels"), np.uint8)
         base_log = np.log10((exact + alpha) / space)
-        uni = np.minimum(count(unigram_keys(h, segment_bits)), n_all) if words else np.zeros(0)
-        end = number.get(END, 0)
-        tokens, known, bases, scores = ([] for _ in range(4))
-        for held in steps:
-            i = np.concatenate(held)
-            at = np.cumsum([0, *(x.size for x in held[:-1])])
-            some, back = np.unique(pair_hashes(h[i], segment_bits), return_inverse=True)
-            before = uni[np.concatenate([[end], i[:-1]])]
-            both = np.minimum(count(some)[back], np.minimum(before, uni[i]))
-            lam = np.where(before > 0, weight, 0.0)
-            p = lam * both / np.maximum(before, 1) + (1 - lam) * (uni[i] + alpha) / space
-            tokens.extend(x.size for x in held)
-            known.extend(np.add.reduceat((exact[i] > 0).astype(np.int64), at).tolist())
-            bases.extend(np.add.reduceat(base_log[i], at).tolist())
-            scores.extend(np.add.reduceat(np.log10(p), at).tolist())
-        n = len(tokens)
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_all] * n, pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
-
-    return dealt.groupBy("_chunk").cogroup(both_sides.groupBy("_chunk")).applyInArrow(rate, schema)
+        uni = np.minimum(LEVEL_MEAN[level], n_all)
+        keys, back = np.unique(pair_keys(h, numbers, end, segment_bits), return_inverse=True)
+        found = np.frombuffer(_joined(right, "pair_levels"), np.uint8)
+        if found.size != keys.size:
+            raise ValueError(f"{keys.size} keys and {found.size} levels")
+        both = LEVEL_MEAN[found[back]]
+        del back
+        of = uni[numbers]
+        before = np.concatenate([uni[[end]], of[:-1]])
+        np.minimum(both, before, out=both)
+        np.minimum(both, of, out=both)
+        lam = np.where(before > 0, weight, 0.0)
+        p = lam * both / np.maximum(before, 1) + (1 - lam) * (of + alpha) / space
+        at = np.cumsum(sizes) - sizes
+        n = left.num_rows
+        return pa.table({
+            "doc_id": left["doc_id"],
+            "held_out": left["held_out"],
+            "n_tokens": pa.array(sizes, pa.int64()),
+            "n_known": pa.array(np.add.reduceat((exact[numbers] > 0).astype(np.int64), at), pa.int64()),
+            "train_tokens": pa.array(np.full(n, n_all), pa.int64()),
+            "base_score": pa.array(np.add.reduceat(base_log[numbers], at), pa.float64()),
+            "score": pa.array(np.add.reduceat(np.log10(p), at), pa.float64()),
+        })
+
+    wanted = to_arrow_schema(schema)
+    return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(rate, schema)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,14 +83,14 @@ def test_lm_score_against_counts(docs):
         if not held(i):
             toks = lm.tokens_of(t)
             words.update(toks)
-            pairs.update(zip([lm.END, *toks], toks))
+            pairs.update(zip([b"", *toks], toks))
     n, space = sum(words.values()), sum(words.values()) + 0.1 * (len(words) + 1)
     mean = lambda c: lm.LEVEL_MEAN[c.bit_length()]
     close = 0
     for r in lm.score(docs, chunk_bytes=300).collect():
         toks = lm.tokens_of(TEXTS[r.doc_id])
         want = 0.0
-        for v, w in zip([lm.END, *toks], toks):
+        for v, w in zip([b"", *toks], toks):
             a, b = min(mean(words[v]), n), min(mean(words[w]), n)
             lam = 0.2 if a else 0.0
             want += math.log10(lam * min(mean(pairs[v, w]), a, b) / max(a, 1) + (1 - lam) * (b + 0.1) / space)
