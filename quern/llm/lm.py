@@ -1,21 +1,22 @@
-"""LM scoring: a log-frequency Bloom filter holds quantised n-gram counts, cut by hash into segments that probes are joined to.
-
-Training: n-grams (words and pairs of adjacent words) of the training rows are hashed and counted over all documents.
-Each n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c) of the filter, pairs seen once as well. A
-segment is built by a reducer of its own and has BITS_PER_ENTRY bits for each of its measured entries, so that a probe
-of an absent entry hits with probability 0.012 at every size of input; no segment is ever gathered with the others. The
-number of segments grows with the text, one for SEGMENT_BYTES. Beside its bits a segment holds the exact counts of its
-words, under 96 bits of their hash, for base_score.
-
-Scoring: each chunk of documents sends its distinct keys to their segments and gets one level for each, and one exact
-count for each word. The count of an n-gram is found by probing level after level until a probe misses or the segment's
-highest level is reached, and read back as the mean count of its level under a 1/c^2 law.
+"""LM scoring: a log-frequency Bloom filter holds quantised n-gram counts, cut by hash into segments that are probed in place.
+
+Documents are dealt into chunks of CHUNK_BYTES of text. Each chunk sends its distinct n-grams (words and pairs of
+adjacent words), hashed, with their counts in its training rows, to the segments of the n-gram space; there is one
+segment for SEGMENT_BYTES of text, so a segment has the same size at every size of input.
+
+Training: a segment adds up the counts of all chunks and stores each n-gram with count c in its filter under the levels
+1 .. 1 + floor(log2 c), pairs seen once as well. The filter has BITS_PER_ENTRY bits for each of its measured entries,
+so that a probe of an absent entry hits with probability 0.012. The n-grams meet the filter in the segment; it is not
+broadcast, as it grows with the text. The exact counts of words, told apart by 80 bits of hash, serve base_score.
+
+Scoring: each n-gram of a chunk is looked up by probing level after level until a probe misses or the segment's highest
+level is reached; the count is read back as the mean count of its level under a 1/c^2 law, and the levels return to the chunk.
 P(w | v) = LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * P1(w), P1(w) = (c(w) + ALPHA) / (N + ALPHA * (V + 1)); c(v w) is held
 to min(c(v), c(w)), as false positives could exceed it. A history without count leaves P1 alone. As counts are
 quantised, the probabilities after a history sum to about one, not to one. score is the sum of log10 P over the text's
 words and its end, base_score the same with P1 of exact counts.
 
-A word that every chunk holds is one key of each chunk in its segment, never a row of each occurrence.
+A word that every chunk holds is one entry of each chunk in its segment, never a row of each occurrence.
 
 Null or empty text is the end alone. A null id counts as empty text when rows are held out. Repeated rows are scored
 and counted each. With no training rows all counts are 0. Extra columns are ignored.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpointed, crc_mod, read_table
+from .common import crc_mod, read_table
 
 ALPHA, LAMBDA, MIN_PAIR = 0.1, 0.2, 1
 BITS_PER_ENTRY = 10
@@ -40,7 +41,6 @@ SEGMENT_BITS = 6  # log2 of the least number of segments
 SEGMENT_BYTES = 8 << 20  # text of a segment
 PROBES = 4
 CHUNK_BYTES = 8 << 20
-KEY_BYTES, WORD_BYTES = 5, 12
 _U = np.uint64
 
 
@@ -78,35 +78,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def segment_bits_for(volume: int) -> int:
-    """log2 of the number of segments for so many bytes of text; pair keys have room for 24 bits of it."""
-    return min(64 - 8 * KEY_BYTES, max(SEGMENT_BITS, (volume // SEGMENT_BYTES).bit_length()))
+    """log2 of the number of segments for so many bytes of text."""
+    return min(32, max(SEGMENT_BITS, (volume // SEGMENT_BYTES).bit_length()))
 
 
-def word_digests(words: list[bytes]) -> np.ndarray:
-    """One row of WORD_BYTES bytes for each word."""
+def word_digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each word's hash, which hold the segment and stand for the word in pairs, and 16 more."""
     import xxhash
 
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w)[:WORD_BYTES] for w in words]), np.uint8).reshape(-1, WORD_BYTES)
-
-
-def halves(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first 64 bits, which hold the segment and stand for the word in pairs, and the rest."""
-    return (np.ascontiguousarray(digests[:, a:b]).view(t).ravel().astype(u) for a, b, t, u in ((0, 8, ">u8", np.uint64), (8, 12, ">u4", np.uint32)))
-
-
-def _key(h: np.ndarray, segment_bits: int) -> np.ndarray:
-    """Keys have the top segment bits and the low KEY_BYTES of a hash; what lies between is 0."""
-    return h & _U((1 << 64) - (1 << 64 - segment_bits) | (1 << 8 * KEY_BYTES) - 1)
+    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w)[:10] for w in words]), np.uint8).reshape(-1, 10)
+    return tuple(np.ascontiguousarray(raw[:, a:b]).view(t).ravel().astype(u) for a, b, t, u in ((0, 8, ">u8", np.uint64), (8, 10, ">u2", np.uint16)))
 
 
 def pair_keys(h: np.ndarray, numbers: np.ndarray, end: int, segment_bits: int) -> np.ndarray:
-    """For each token its key together with the token before; a text's first word follows an end. h: hashes by number."""
+    """For each token its key together with the token before: segment and 32 bits. A text's first word follows an end.
+    h: hashes by number."""
     of = h[numbers]
     before = np.empty_like(of)
     before[:1], before[1:] = h[end], of[:-1]
     before *= _U(0xD6E8FEB86659FD93)
     before += of
-    return _key(_mix(before), segment_bits)
+    key = _mix(before)
+    return (key >> _U(64 - segment_bits)) << _U(32) | key & _U(0xFFFFFFFF)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -158,161 +151,119 @@ class LogFrequencyFilter:
         return found
 
 
-def word_filter_keys(h: np.ndarray) -> np.ndarray:
-    return _mix(h + _U(0xA0761D6478BD642F))
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers: bytes of a step, the first number, the steps."""
+    if not values.size:
+        return b""
+    steps = np.diff(values).astype("<u4")
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + int(values[0]).to_bytes(4, "little") + steps.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
-def _cuts(keys: np.ndarray, segment_bits: int) -> np.ndarray:
-    """Where each segment begins in sorted keys, and the end."""
-    return np.searchsorted(keys >> _U(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    steps = np.zeros((1 + (len(data) - 5) // width, 4), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 4, 1)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=5).reshape(-1, width)
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint64)
 
 
-def _pack(keys: np.ndarray) -> np.ndarray:
-    """The low KEY_BYTES of each key as rows of bytes; the segment's bits are the row's own."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 or more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
 
 
-def _unpack(data: bytes, segment: int, segment_bits: int) -> np.ndarray:
-    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view("<u8").ravel().astype(np.uint64) | _U(segment << 64 - segment_bits)
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=n)
+    return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Array]:
-    """The texts of several batches at a time, about `most` bytes of them (one text at least)."""
-    held: list[pa.Array] = []
-    size = 0
-    for batch in batches:
-        texts = batch.column("_text")
-        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
-        begin = 0
-        while begin < len(texts):
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + most - size, "right")) - 1)
-            held.append(texts.slice(begin, end - begin))
-            size += int(at[end] - at[begin])
-            begin = end
-            if size >= most or begin < len(texts):
-                yield pa.concat_arrays(held)
-                held, size = [], 0
-    if held:
-        yield pa.concat_arrays(held)
+def _cuts(segments: np.ndarray, segment_bits: int) -> np.ndarray:
+    """Where each segment begins in sorted segment numbers, and the end."""
+    return np.searchsorted(segments, np.arange((1 << segment_bits) + 1, dtype=np.uint64))
 
 
-def _by_segment(digests: np.ndarray, pairs: np.ndarray, segment_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments with keys, the words' order, and where each segment's words and pairs (sorted) begin."""
-    hi, lo = halves(digests)
-    order = np.lexsort((lo, hi))
-    words_at, pairs_at = _cuts(hi[order], segment_bits), _cuts(pairs, segment_bits)
-    return np.flatnonzero(np.diff(words_at) + np.diff(pairs_at)), order, words_at, pairs_at
+def _arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(", "))])
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch], segment_bits: int) -> Iterator[pa.RecordBatch]:
-    """Partial counts by segment: words with counts, pairs seen once, other pairs with counts."""
-    for texts in _blocks(batches, 2 * CHUNK_BYTES):
-        numbers, _, words, end = encoded(texts)
-        digests = word_digests(words)
-        pairs, n = np.unique(pair_keys(next(iter(halves(digests))), numbers, end, segment_bits), return_counts=True)
-        n = n.astype("<u4")
-        some, order, words_at, pairs_at = _by_segment(digests, pairs, segment_bits)
-        digests, times = digests[order], np.bincount(numbers, minlength=len(words))[order].astype("<u4")
-        packed, once = _pack(pairs), n == 1
-        out: list[tuple] = []
-        for s in some.tolist():
-            w, p = slice(words_at[s], words_at[s + 1]), slice(pairs_at[s], pairs_at[s + 1])
-            out.append((s, digests[w].tobytes(), times[w].tobytes(), packed[p][once[p]].tobytes(), packed[p][~once[p]].tobytes(), n[p][~once[p]].tobytes()))
-        yield _batch(out, ("segment", "words", "times", "once", "more", "counts"))
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if x in ("segment", "_chunk") else pa.binary()) for c, x in zip(cols, names, strict=True)], list(names))
+SENT = "_chunk int, segment int, words binary, rests binary, times binary, pairs binary, counts binary"
+TOLD = "_chunk int, segment int, times binary, word_levels binary, pair_levels binary, n long, v long"
 
 
-def _joined(table: pa.Table, column: str) -> bytes:
-    return b"".join(table[column].to_pylist())
+def _send(table: pa.Table, segment_bits: int) -> pa.Table:
+    """A chunk's distinct words and pairs by segment, each with its count in training rows."""
+    numbers, sizes, words, end = encoded(table["_text"].combine_chunks())
+    h, more = word_digests(words)
+    trained = np.repeat(~table["held_out"].to_numpy(), sizes)
+    times = np.bincount(numbers[trained], minlength=len(words))
+    keys = pair_keys(h, numbers, end, segment_bits)
+    pairs, (known, n) = np.unique(keys), np.unique(keys[trained], return_counts=True)
+    counts = np.zeros(pairs.size, np.int64)
+    counts[np.searchsorted(pairs, known)] = n
+    order = np.lexsort((more, h))
+    h, more, times = h[order], more[order], times[order]
+    rests = np.concatenate([(h & _U(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4), more.astype("<u2").view(np.uint8).reshape(-1, 2)], axis=1)
+    tops, lows = h >> _U(32), pairs & _U(0xFFFFFFFF)
+    words_at, pairs_at = _cuts(h >> _U(64 - segment_bits), segment_bits), _cuts(pairs >> _U(32), segment_bits)
+    chunk, rows = table["_chunk"][0].as_py(), []
+    for s in np.flatnonzero(np.diff(words_at) + np.diff(pairs_at)).tolist():
+        w, p = slice(words_at[s], words_at[s + 1]), slice(pairs_at[s], pairs_at[s + 1])
+        rows.append((chunk, s, pack_sorted(tops[w]), rests[w].tobytes(), pack_counts(times[w]), pack_sorted(lows[p]), pack_counts(counts[p])))
+    return _batch(rows, _arrow_schema(SENT))
 
 
-def _summed(order: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First row of each run of equal keys (new marks its first in `order`) and the run's sum of n."""
+def _grouped(order: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted entries: the first of each run (new marks it), the sum of n in it, and the run of each entry."""
     first = np.flatnonzero(new)
-    return order[first], np.add.reduceat(n[order], first) if first.size else n[:0]
-
-
-def train(texts: DataFrame, segment_bits: int = SEGMENT_BITS, min_pair: int = MIN_PAIR) -> DataFrame:
-    """From a one-column DataFrame of training texts, by segment: the filter's bits and highest level, the words'
-    digests in order with their exact counts, and the sum n and number v of these."""
-    parts = texts.select(F.col(texts.columns[0]).alias("_text")).mapInArrow(lambda it: _count_keys(it, segment_bits), "segment int, words binary, times binary, once binary, more binary, counts binary")
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        segment = key[0].as_py()
-        digests, times = np.frombuffer(_joined(table, "words"), np.uint8).reshape(-1, WORD_BYTES), np.frombuffer(_joined(table, "times"), "<u4").astype(np.int64)
-        hi, lo = halves(digests)
-        order = np.lexsort((lo, hi))
-        new = np.ones(order.size, bool)
-        new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
-        words, times = _summed(order, new, times)
-        once = _joined(table, "once")
-        pairs = _unpack(once + _joined(table, "more"), segment, segment_bits)
-        n = np.concatenate([np.ones(len(once) // KEY_BYTES, np.int64), np.frombuffer(_joined(table, "counts"), "<u4").astype(np.int64)])
-        order = np.argsort(pairs, kind="stable")
-        new = np.ones(order.size, bool)
-        new[1:] = pairs[order[1:]] != pairs[order[:-1]]
-        first, n = _summed(order, new, n)
-        pairs, n = pairs[first][n >= min_pair], n[n >= min_pair]
-        got = LogFrequencyFilter.build(np.concatenate([word_filter_keys(hi[words]), pairs]), np.concatenate([times, n]))
-        cells = [segment, got.bits.tobytes(), got.top, digests[words].tobytes(), times.astype("<i8").tobytes(), int(times.sum()), times.size]
-        types = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names=["segment", "bits", "top", "words", "times", "n", "v"])
-
-    return parts.groupBy("segment").applyInArrow(build, "segment int, bits binary, top int, words binary, times binary, n long, v long")
-
-
-def exact_counts(digests: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Counts of words in known (sorted), 0 for others."""
-    (hi, lo), (known_hi, known_lo) = halves(digests), halves(known)
-    out = np.zeros(hi.size, np.int64)
-    if not known_hi.size:
-        return out
-    at = np.searchsorted(known_hi, hi)
-    edge = np.flatnonzero(np.concatenate([[True], known_hi[1:] != known_hi[:-1], [True]]))
-    for step in range(int(np.diff(edge).max())):  # 1, but for words that share 64 bits of their hashes
-        i = np.minimum(at + step, known_hi.size - 1)
-        same = (known_hi[i] == hi) & (known_lo[i] == lo)
-        out[same] = times[i][same]
-    return out
-
-
-def probed(dealt: DataFrame, model: DataFrame, segment_bits: int) -> DataFrame:
-    """Rows (_chunk, segment, times, word_levels, pair_levels) for the chunk's keys of that segment, in their order."""
-
-    def send(table: pa.Table) -> pa.Table:
-        numbers, _, words, end = encoded(table["_text"].combine_chunks())
-        digests = word_digests(words)
-        pairs = np.unique(pair_keys(next(iter(halves(digests))), numbers, end, segment_bits))
-        some, order, words_at, pairs_at = _by_segment(digests, pairs, segment_bits)
-        digests, packed, chunk = digests[order], _pack(pairs), table["_chunk"][0].as_py()
-        rows = [(chunk, s, digests[words_at[s]:words_at[s + 1]].tobytes(), packed[pairs_at[s]:pairs_at[s + 1]].tobytes()) for s in some.tolist()]
-        return pa.Table.from_batches([_batch(rows, ("_chunk", "segment", "words", "pairs"))])
-
-    def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        words, pairs = left["words"].to_pylist(), left["pairs"].to_pylist()
-        digests = np.frombuffer(b"".join(words), np.uint8).reshape(-1, WORD_BYTES)
-        keys = _unpack(b"".join(pairs), key[0].as_py(), segment_bits)
-        times, of_words, of_pairs = np.zeros(len(digests), np.int64), np.zeros(len(digests), np.uint8), np.zeros(keys.size, np.uint8)
-        if right.num_rows:  # nothing was stored in a segment without a filter
-            known = np.frombuffer(right["words"][0].as_py(), np.uint8).reshape(-1, WORD_BYTES)
-            times = exact_counts(digests, known, np.frombuffer(right["times"][0].as_py(), "<i8"))
-            bloom = LogFrequencyFilter(np.frombuffer(right["bits"][0].as_py(), np.uint8), right["top"][0].as_py())
-            found = bloom.level(np.concatenate([word_filter_keys(next(iter(halves(digests)))), keys]))
-            of_words, of_pairs = found[:len(digests)], found[len(digests):]
-        times = times.astype("<u4" if times.max(initial=0) < 1 << 32 else "<u8")
-        w, p = np.cumsum([0, *(len(x) // WORD_BYTES for x in words)]), np.cumsum([0, *(len(x) // KEY_BYTES for x in pairs)])
-        rows = [(c, s, times[a:b].tobytes(), of_words[a:b].tobytes(), of_pairs[x:y].tobytes()) for c, s, a, b, x, y in zip(left["_chunk"].to_pylist(), left["segment"].to_pylist(), w, w[1:], p, p[1:], strict=False)]
-        return pa.Table.from_batches([_batch(rows, ("_chunk", "segment", "times", "word_levels", "pair_levels"))])
-
-    # all columns of dealt, so that its exchange is used again
-    probes = dealt.groupBy("_chunk").applyInArrow(send, "_chunk int, segment int, words binary, pairs binary")
-    return probes.groupBy("segment").cogroup(model.select("segment", "bits", "top", "words", "times").groupBy("segment")).applyInArrow(look_up, "_chunk int, segment int, times binary, word_levels binary, pair_levels binary")
+    run = np.empty(order.size, np.int64)
+    run[order] = np.cumsum(new) - 1
+    return order[first], np.add.reduceat(n[order], first) if first.size else n[:0], run
+
+
+def _solve(table: pa.Table, min_pair: int) -> pa.Table:
+    """A segment's filter, built from all chunks' counts and probed for all their n-grams."""
+    chunks, tops, lows = table["_chunk"].to_pylist(), [], []
+    times, counts = [], []
+    for words, of_words, pairs, of_pairs in zip(*(table[c].to_pylist() for c in ("words", "times", "pairs", "counts")), strict=True):
+        tops.append(unpack_sorted(words))
+        lows.append(unpack_sorted(pairs))
+        times.append(unpack_counts(of_words, tops[-1].size))
+        counts.append(unpack_counts(of_pairs, lows[-1].size))
+    words_at, pairs_at = (np.cumsum([0, *(x.size for x in parts)]) for parts in (tops, lows))
+    rests = np.frombuffer(b"".join(table["rests"].to_pylist()), np.uint8).reshape(-1, 6)
+    h = np.concatenate(tops) << _U(32) | np.ascontiguousarray(rests[:, :4]).view("<u4").ravel()
+    more = np.ascontiguousarray(rests[:, 4:]).view("<u2").ravel()
+    order = np.lexsort((more, h))
+    new = np.ones(order.size, bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
+    first, exact, word_of = _grouped(order, new, np.concatenate(times))
+    words = _mix(h[first] + _U(0xA0761D6478BD642F))
+    pairs = np.concatenate(lows)
+    order = np.argsort(pairs, kind="stable")
+    new = np.ones(order.size, bool)
+    new[1:] = pairs[order[1:]] != pairs[order[:-1]]
+    first, n, pair_of = _grouped(order, new, np.concatenate(counts))
+    pairs = pairs[first]
+    stored = np.concatenate([exact > 0, n >= max(1, min_pair)])
+    keys = np.concatenate([words, pairs])
+    found = LogFrequencyFilter.build(keys[stored], np.concatenate([exact, n])[stored]).level(keys)
+    of_words, of_pairs, told = found[:words.size][word_of], found[words.size:][pair_of], exact[word_of]
+    total, distinct, segment = int(exact.sum()), int((exact > 0).sum()), table["segment"][0].as_py()
+    rows = []
+    for i, c in enumerate(chunks):
+        w, p = slice(words_at[i], words_at[i + 1]), slice(pairs_at[i], pairs_at[i + 1])
+        rows.append((c, segment, pack_counts(told[w]), of_words[w].tobytes(), of_pairs[p].tobytes(), 0 if i else total, 0 if i else distinct))
+    return _batch(rows, _arrow_schema(TOLD))
 
 
 def score(
@@ -330,34 +281,38 @@ def score(
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), (crc_mod(F.col(id_col), held_out_mod) == 0).alias("held_out"))
     volume = int(base.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0)
     segment_bits = segment_bits_for(volume)
-    model = checkpointed(train(base.filter(~F.col("held_out")).select("_text"), segment_bits, min_pair))
-    n_all, v_all = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     chunks = max(spark.sparkContext.defaultParallelism, -(-volume // chunk_bytes))
     dealt = base.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
-    answers = probed(dealt, model, segment_bits)
+    # all columns of dealt, so that its exchange is used again
+    sent = dealt.groupBy("_chunk").applyInArrow(lambda table: _send(table, segment_bits), SENT)
+    answers = sent.groupBy("segment").applyInArrow(lambda table: _solve(table, min_pair), TOLD).repartition(chunks, "_chunk")
+    # one row, from the exchange of the answers; both sides read all columns, so that the exchange is used again. The
+    # key is false for all rows
+    every = sum((F.count(c) for c in answers.columns[1:]), F.count(answers.columns[0]))
+    totals = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("v"), F.lit(0)).alias("v_all"), (every < 0).alias("_one"))
+    told = answers.join(F.broadcast(totals), F.isnull("_chunk") == F.col("_one")).drop("_one")
     schema = dealt.select("doc_id", "held_out").withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
-    space = float(n_all) + alpha * (v_all + 1)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({f.name: pa.array([], f.type) for f in wanted})
+            return _batch([], to_arrow_schema(schema))
         right = right.sort_by("segment")
+        n_all, v_all = right["n_all"][0].as_py(), right["v_all"][0].as_py()
+        space = float(n_all) + alpha * (v_all + 1)
         numbers, sizes, words, end = encoded(left["_text"].combine_chunks())
-        digests = word_digests(words)
-        h, lo = halves(digests)
-        place = np.lexsort((lo, h))  # the words as they were sent
+        h, more = word_digests(words)
+        place = np.lexsort((more, h))  # the words as they were sent
         exact, level = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8)
-        told = zip(right["times"].to_pylist(), right["word_levels"].to_pylist(), strict=True)
-        exact[place] = np.concatenate([np.frombuffer(t, f"<u{len(t) // len(k)}").astype(np.int64) for t, k in told if k])
-        level[place] = np.frombuffer(_joined(right, "word_levels"), np.uint8)
+        of_words = right["word_levels"].to_pylist()
+        exact[place] = np.concatenate([unpack_counts(t, len(k)) for t, k in zip(right["times"].to_pylist(), of_words, strict=True)])
+        level[place] = np.frombuffer(b"".join(of_words), np.uint8)
         base_log = np.log10((exact + alpha) / space)
         uni = np.minimum(LEVEL_MEAN[level], n_all)
         keys, back = np.unique(pair_keys(h, numbers, end, segment_bits), return_inverse=True)
-        found = np.frombuffer(_joined(right, "pair_levels"), np.uint8)
+        found = np.frombuffer(b"".join(right["pair_levels"].to_pylist()), np.uint8)
         if found.size != keys.size:
             raise ValueError(f"{keys.size} keys and {found.size} levels")
         both = LEVEL_MEAN[found[back]]
-        del back
         of = uni[numbers]
         before = np.concatenate([uni[[end]], of[:-1]])
         np.minimum(both, before, out=both)
@@ -376,8 +331,7 @@ def score(
             "score": pa.array(np.add.reduceat(np.log10(p), at), pa.float64()),
         })
 
-    wanted = to_arrow_schema(schema)
-    return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(rate, schema)
+    return dealt.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(rate, schema)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
