@@ -4,24 +4,34 @@ Every byte covered by a string of LENGTH bytes that also starts in a document wi
 
 A string of LENGTH bytes is filed under the least hash of the GRAM-byte strings in it, so equal strings are filed
 under one key. A document's consecutive strings with one key form a segment (MOST_STRINGS strings at most). Keys that
-occur in one document only are left out: they are counted over all documents and held in a bitmap of a fixed number
-of bits, which bounds the broadcast; a false hit only costs work. Strings of a key found in HOT documents or more are
-filed one by one under a hash of their own bytes, so that no key gathers more than HOT documents' segments.
+occur in one document only are left out: they are counted over all documents and held in bitmaps; a false hit only
+costs work. The key space is worked off in slices, one for each 2**BITMAP_LOG2 bits that the text asks for (a bit for
+BYTES_PER_BIT bytes) up to SLICES_MOST, so a broadcast has a fixed bound; beyond SLICES_MOST the bitmaps fill and more
+segments are filed for nothing, at most one for each string, with the same result.
+
+A segment is filed with its places (document and offset), so that what it loses needs no join. Keys found in HOT
+documents or more (a passage that a share of all rows holds) are worked apart: their strings are filed one by one under
+a hash of their own bytes, without places and combined within each task; the smallest document of each is then joined
+to its places, a join that splits skewed keys. So no task gathers more than HOT documents' places.
 
 The segments of a task's keys, equal ones counted once with their smallest document, are a collection of strings. For
 it the Burrows-Wheeler transform and the common prefixes are built column by column: round j inserts suffix j of every
 string at the place that the symbol counts of the present transform give, and its common prefixes with both
 neighbours, each one more than the least common prefix between the places of the shorter suffixes. The columns are
 read and written from front to back, as sequential files would be; as a collection has a bounded number of strings of
-at most LENGTH + MOST_STRINGS - 1 bytes, they are arrays in memory, and no machine-local file is used. Strings of LENGTH bytes are equal where neighbouring suffixes share LENGTH symbols; the smallest document of each such
-run is joined back to all places of its segments.
+at most LENGTH + MOST_STRINGS - 1 bytes, they are arrays in memory, and no machine-local file is used. Strings of
+LENGTH bytes are equal where neighbouring suffixes share LENGTH symbols; the smallest document of each such run decides
+what all places of its segments lose.
 
 Null text is empty; texts below LENGTH bytes keep all. Rows with a null id neither remove nor lose anything. Rows with
-one id and equal text are cut alike; rows with one id never remove from each other. Extra columns are ignored.
+one id and equal text are cut alike; rows with one id never remove from each other. Ids must be integers. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,12 +41,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, read_table
 
-LENGTH, GRAM, MOST_STRINGS = 50, 20, 64
+LENGTH, GRAM, MOST_STRINGS = 50, 32, 64
 #: A bitmap has as many bits as its expected entries ask for, and 2**BITMAP_LOG2 at most.
-BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT = 28, 16, 8
+BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT, SLICES_MOST = 28, 16, 8, 16
 SEGMENT_BITS = 10
-HOT = 4096
-FLUSH = 2_000_000
+HOT = 1 << 16
+FLUSH = 1_000_000
+STRETCH = 1 << 16  # bytes whose keys are computed at a time
 COLLECTION = 1_000  # strings: the columns then stay in a core's cache
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -47,12 +58,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def string_keys(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+def string_keys(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """For each string of `length` bytes its key: the least mixed hash of the grams in it."""
-    if len(data) < length:
+    if data.size < length:
         return np.zeros(0, np.uint64)
     h, done, size = None, 0, 1
-    power = np.frombuffer(data, np.uint8).astype(np.uint64) + _U(1)  # hashes of strings of `size` bytes
+    power = data.astype(np.uint64) + _U(1)  # hashes of strings of `size` bytes
     while True:  # put the gram together from powers of two
         if gram & size:
             tail = power[done:]
@@ -62,7 +73,7 @@ def string_keys(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarr
             break
         power = power[:-size] * _U(pow(_BASE, size, 1 << 64)) + power[size:]
         size *= 2
-    low, span, width = _mix(h[: len(data) - gram + 1]), 1, length - gram + 1
+    low, span, width = _mix(h[: data.size - gram + 1]), 1, length - gram + 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
@@ -70,34 +81,70 @@ def string_keys(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarr
     return _mix(low * _U(_BASE))  # least hashes are small numbers; spread them over the key space again
 
 
-def runs_of(keys: np.ndarray, most: int = MOST_STRINGS) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of runs of equal keys, none longer than most."""
-    if not keys.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [keys.size]])
-    starts, ends = edge[:-1], edge[1:]
-    if (ends - starts).max() > most:
-        pieces = -(-(ends - starts) // most)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        s, e = np.repeat(starts, pieces) + nth * most, np.repeat(ends, pieces)
-        starts, ends = s, np.minimum(s + most, e)
-    return starts, ends
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, and where each text begins and the last one ends."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int32)
+    texts = texts.cast(pa.binary())
+    _, offsets, data = texts.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset)
+
+
+def runs_in(data: np.ndarray, at: np.ndarray, length: int, gram: int, most: int = MOST_STRINGS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of strings with one key, none longer than most: keys, first string's position, position after the last.
+
+    Worked off in stretches of a fixed number of bytes, whatever the texts' lengths; no run leaves its text.
+    """
+    end = int(at[-1])
+    for begin in range(int(at[0]), end - length + 1, STRETCH):
+        keys = string_keys(data[begin:min(begin + STRETCH + length - 1, end)], length, gram)
+        ends = at[np.searchsorted(at, begin, "right"):np.searchsorted(at, begin + keys.size + length, "left")].astype(np.int64)
+        over = (ends[:, None] - np.arange(1, length)).ravel() - begin  # strings that would leave their text
+        torn = np.zeros(keys.size, bool)
+        torn[over[(over >= 0) & (over < keys.size)]] = True
+        edge = np.flatnonzero((keys[1:] != keys[:-1]) | (torn[1:] != torn[:-1])) + 1
+        starts, stops = np.concatenate([[0], edge]), np.concatenate([edge, [keys.size]])
+        whole = ~torn[starts]
+        starts, stops = starts[whole], stops[whole]
+        if not starts.size:
+            continue
+        if (stops - starts).max() > most:
+            pieces = -(-(stops - starts) // most)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first, last = np.repeat(starts, pieces) + nth * most, np.repeat(stops, pieces)
+            starts, stops = first, np.minimum(first + most, last)
+        yield keys[starts], starts + begin, stops + begin
 
 
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch], first: np.ndarray, length: int, gram: int, id_log2: int) -> Iterator[pa.RecordBatch]:
+def in_slice(keys: np.ndarray, part: int, parts_log2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in a slice of the key space, and these keys without the bits that name it."""
+    if not parts_log2:
+        return np.ones(keys.size, bool), keys
+    here = keys >> _U(64 - parts_log2) == _U(part)
+    return here, keys[here] << _U(parts_log2)
+
+
+def _count_keys(batches: Iterator[pa.RecordBatch], first: np.ndarray, length: int, gram: int, id_log2: int, part: int, parts_log2: int) -> Iterator[pa.RecordBatch]:
     """Documents per key, summed within the task: per segment of the key space the low 32 of 42 key bits."""
     held: list[np.ndarray] = []
-    n = 0
+    docs: list[np.ndarray] = []
+    n = rows = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        keys, doc = np.concatenate(held), np.concatenate(docs)
         held.clear()
+        docs.clear()
+        order = np.argsort(keys, kind="stable")  # a key's documents stay in order
+        keys, doc = keys[order], doc[order]
+        once = np.ones(keys.size, bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+        keys, counts = np.unique(keys[once], return_counts=True)
         cuts = np.searchsorted(keys >> _U(32), np.arange((1 << SEGMENT_BITS) + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(cuts))
         low, counts = (keys & _U(0xFFFFFFFF)).astype(np.uint32), counts.astype(np.uint32)
@@ -110,14 +157,17 @@ def _count_keys(batches: Iterator[pa.RecordBatch], first: np.ndarray, length: in
         })
 
     for batch in batches:
-        for text in batch.filter(_among(batch, first, id_log2)).column("_text").to_pylist():
-            keys = string_keys(_raw(text), length, gram)
-            if keys.size:
-                held.append(np.unique(keys[runs_of(keys, keys.size)[0]] >> _U(64 - 32 - SEGMENT_BITS)))
-                n += held[-1].size
-                if n >= FLUSH:
-                    yield from flush()
-                    n = 0
+        batch = batch.filter(_among(batch, first, id_log2))
+        data, at = bytes_of(batch.column("_text"))
+        for keys, starts, _ in runs_in(data, at, length, gram):
+            here, keys = in_slice(keys, part, parts_log2)
+            held.append(keys >> _U(64 - 32 - SEGMENT_BITS))
+            docs.append(rows + np.searchsorted(at, starts[here], "right"))
+            n += keys.size
+            if n >= FLUSH:  # a text cut in two by this counts twice: a false hit
+                yield from flush()
+                n = 0
+        rows += batch.num_rows
     yield from flush()
 
 
@@ -148,10 +198,10 @@ def id_bitmap(ids: DataFrame, log2: int) -> bytes:
     return out.tobytes()
 
 
-def key_bitmaps(docs: DataFrame, first, length: int, gram: int, hot: int, log2: int, id_log2: int) -> tuple[bytes, bytes]:
-    """Bitmaps over the top bits of a key: found in two documents or more; found in hot documents or more."""
+def key_bitmaps(docs: DataFrame, first, length: int, gram: int, hot: int, log2: int, id_log2: int, part: int, parts_log2: int) -> tuple[bytes, bytes]:
+    """Bitmaps over the top bits of a slice's keys: found in two documents or more; found in hot documents or more."""
     hot_log2 = hot_bits(log2)
-    counted = docs.select("_text", "_place").mapInArrow(lambda it: _count_keys(it, np.frombuffer(first.value, np.uint8), length, gram, id_log2), "segment int, once binary, more binary, counts binary")
+    counted = docs.select("_text", "_place").mapInArrow(lambda it: _count_keys(it, np.frombuffer(first.value, np.uint8), length, gram, id_log2, part, parts_log2), "segment int, once binary, more binary, counts binary")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         once, more, counts = (b"".join(table[c].to_pylist()) for c in ("once", "more", "counts"))
@@ -182,28 +232,6 @@ def _probe(bits: np.ndarray, keys: np.ndarray, log2: int) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def segments_of(data: bytes, shared: np.ndarray, hot: np.ndarray, length: int, gram: int, log2: int) -> Iterator[tuple[int, int, bytes]]:
-    """(key as int64, position, bytes) of each segment whose key is shared."""
-    import xxhash
-
-    keys = string_keys(data, length, gram)
-    starts, ends = runs_of(keys)
-    if not starts.size:
-        return
-    own = keys[starts]
-    keep = _probe(shared, own, log2)
-    if not keep.any():
-        return
-    starts, ends, own = starts[keep], ends[keep], own[keep]
-    for a, b, k, single in zip(starts.tolist(), ends.tolist(), own.view(np.int64).tolist(), _probe(hot, own, hot_bits(log2)).tolist(), strict=True):
-        if single:
-            for i in range(a, b):
-                piece = data[i:i + length]
-                yield xxhash.xxh3_64_intdigest(piece, 7) - (1 << 63), i, piece
-        else:
-            yield k, a, data[a:b + length - 1]
-
-
 class Collection:
     """Burrows-Wheeler transform and common prefixes of a collection of byte strings, built column by column."""
 
@@ -279,130 +307,231 @@ class Collection:
         return owner, self.size[long], np.repeat(least, np.diff(np.append(edge, run.size)))
 
 
-def _solve(group: list[tuple[int, bytes, int, int]], length: int) -> list[tuple[int, bytes, list[tuple[int, int, int]]]]:
-    """(key, segment, smallest id, largest id) of whole keys -> (key, segment, [(offset, strings, smallest id)])."""
-    if not group:
-        return []
-    docs = np.array([g[2] for g in group], np.int64)
-    c = Collection([g[1] for g in group])
-    owner, size, least = c.smallest(docs, length)
-    lengths = np.fromiter((len(g[1]) for g in group), np.int64, len(group))
+def _solve(pieces: list[bytes], docs: list[int], length: int) -> list[list[tuple[int, int, int]]]:
+    """Segments and their smallest documents -> per segment [(offset, strings, smallest document that holds them)]."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in pieces]
+    if not pieces:
+        return out
+    owner, size, least = Collection(pieces).smallest(np.array(docs, np.int64), length)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     offset = lengths[owner] - size
     by = np.lexsort((offset, owner))
     owner, offset, least = owner[by], offset[by], least[by]
     edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])])) if owner.size else np.zeros(0, np.int64)
-    out: list[list] = [[] for _ in group]
     count = np.diff(np.append(edge, owner.size))
     for o, f, n, d in zip(owner[edge].tolist(), offset[edge].tolist(), count.tolist(), least[edge].tolist(), strict=True):
         out[o].append((f, n, d))
-    return [(g[0], g[1], [r for r in runs if r[2] < g[3]]) for g, runs in zip(group, out, strict=True)]
+    return out
 
 
-def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int, id_log2: int) -> DataFrame:
-    """docs (id, _text, _hash, _place) -> (id, _hash, ranges): merged byte ranges to remove, end exclusive.
+_PLACE = struct.Struct("<qqi")  # id, hash of the text, offset
+_ID_OF_PLACE = struct.Struct("<q12x")
+LOST = "id long, _hash long, lost binary"  # lost: pairs of 32-bit start and end
 
-    Of equal texts only the one with the smallest id is searched, as the others lose all of their bytes to it and
-    never decide what a third text loses. Which ids those are is held in a bitmap; a false hit searches a copy too.
-    """
-    spark = docs.sparkSession
-    whole = checkpointed(docs.filter(F.octet_length("_text") >= length).select("id", "_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"), F.octet_length("_text").alias("n")))
-    groups = whole.groupBy("sha").agg(F.min("id").alias("first"))
-    first = spark.sparkContext.broadcast(id_bitmap(groups.select(F.col("first").alias("id")), id_log2))
-    copies = whole.join(groups, "sha").filter("id > first").select("id", "_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("lost"))
-    shared, many = (spark.sparkContext.broadcast(b) for b in key_bitmaps(docs, first, length, gram, hot, log2, id_log2))
+
+def _hits(batch: pa.RecordBatch, bits: tuple[np.ndarray, np.ndarray], log2: int, hot: bool, length: int, gram: int, part: int, parts_log2: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, key, start, end) of the shared segments, hot ones or others; positions in the column's bytes."""
+    data, at = bytes_of(batch.column("_text"))
+    for keys, starts, stops in runs_in(data, at, length, gram):
+        here, keys = in_slice(keys, part, parts_log2)
+        keep = _probe(bits[0], keys, log2)
+        keep[keep] = _probe(bits[1], keys[keep], hot_bits(log2)) == hot
+        starts, stops = starts[here][keep], stops[here][keep]
+        yield from zip((np.searchsorted(at, starts, "right") - 1).tolist(), keys[keep].view(np.int64).tolist(), starts.tolist(), stops.tolist(), strict=True)
+
+
+def _file(batches: Iterator[pa.RecordBatch], searched: np.ndarray, id_log2: int, length: int, **how) -> Iterator[pa.RecordBatch]:
+    """Rows (key, piece, places) of the segments whose key is shared and not hot, equal ones of a batch put together."""
+    for batch in batches:
+        batch = batch.filter(_among(batch, searched, id_log2))
+        ids, hashes = batch.column("id").to_pylist(), batch.column("_hash").to_pylist()
+        data, at = bytes_of(batch.column("_text"))
+        view, begins, filed = memoryview(data), at.tolist(), {}
+        for row, key, a, b in _hits(batch, hot=False, length=length, **how):
+            filed.setdefault((key, bytes(view[a:b + length - 1])), []).append(_PLACE.pack(ids[row], hashes[row], a - begins[row]))
+        keys, pieces = zip(*filed, strict=True) if filed else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.binary()), pa.array([b"".join(p) for p in filed.values()], pa.binary())], ["key", "piece", "places"])
+
+
+def _lost(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Filed rows in the order of key and piece -> what each document loses."""
+    open_key: list[list] = []  # [piece, places] of the key being read
+    group: list[list] = []  # of whole keys with several pieces
+    lost: dict[tuple[int, int], list[int]] = {}
+    n = 0
+
+    def lose(places: bytes, runs: list[tuple[int, int, int]]) -> None:
+        nonlocal n
+        for i, h, at in _PLACE.iter_unpack(places):
+            for offset, strings, least in runs:
+                if least < i:
+                    lost.setdefault((i, h), []).extend((at + offset, at + offset + strings + length - 1))
+                    n += 1
+
+    def smallest(places: bytes) -> int:
+        return min(_ID_OF_PLACE.iter_unpack(places))[0]
+
+    def close_key() -> None:
+        if len(open_key) > 1:
+            group.extend(open_key)
+        elif open_key and len(open_key[0][1]) > _PLACE.size:
+            # one text under this key: the collection would hold a single string
+            piece, places = open_key[0]
+            lose(places, [(0, len(piece) - length + 1, smallest(places))])
+        open_key.clear()
+
+    def solve() -> None:
+        solved = _solve([p for p, _ in group], [smallest(places) for _, places in group], length)
+        for (_, places), runs in zip(group, solved, strict=True):
+            lose(places, runs)
+        group.clear()
+
+    def flush() -> pa.RecordBatch:
+        nonlocal n
+        out = pa.RecordBatch.from_arrays([pa.array([i for i, _ in lost], pa.int64()), pa.array([h for _, h in lost], pa.int64()), pa.array([np.array(x, "<i4").tobytes() for x in lost.values()], pa.binary())], ["id", "_hash", "lost"])
+        lost.clear()
+        n = 0
+        return out
+
+    now = None
+    for batch in batches:
+        for key, piece, places in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "places")), strict=True):
+            if key != now:
+                close_key()
+                now = key
+                if len(group) >= COLLECTION:
+                    solve()
+                if n >= FLUSH:
+                    yield flush()
+            if open_key and open_key[-1][0] == piece:
+                open_key[-1][1] += places
+            else:
+                open_key.append([piece, bytearray(places)])
+    close_key()
+    solve()
+    yield flush()
+
+
+def _hot_lost(docs: DataFrame, searched, id_log2: int, length: int, how: Callable[[], dict]) -> DataFrame:
+    """What documents lose by the strings of hot keys: each string is filed under its own hash, without places."""
 
     def cut(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        bits, often, searched = (np.frombuffer(b.value, np.uint8) for b in (shared, many, first))
         for batch in batches:
-            batch = batch.filter(_among(batch, searched, id_log2))
+            batch = batch.filter(_among(batch, np.frombuffer(searched.value, np.uint8), id_log2))
             ids, hashes = batch.column("id").to_pylist(), batch.column("_hash").to_pylist()
+            data, at = bytes_of(batch.column("_text"))
+            view, begins = memoryview(data), at.tolist()
             rows: list[tuple] = []
-            best: dict[tuple[int, bytes], tuple[int, int]] = {}
-            for i, h, text in zip(ids, hashes, batch.column("_text").to_pylist(), strict=True):
-                for key, at, piece in segments_of(_raw(text), bits, often, length, gram, log2):
+            best: dict[bytes, int] = {}
+            for row, _, a, b in _hits(batch, hot=True, length=length, **how()):
+                for i in range(a, b):
+                    piece = bytes(view[i:i + length])
                     if places:
-                        rows.append((key, xxhash.xxh3_64_intdigest(piece) - (1 << 63), i, h, at))
+                        rows.append((xxhash.xxh3_64_intdigest(piece, 7) - (1 << 63), xxhash.xxh3_64_intdigest(piece) - (1 << 63), ids[row], hashes[row], i - begins[row]))
                     else:
-                        lo, hi = best.get((key, piece), (i, i))
-                        best[key, piece] = (min(lo, i), max(hi, i))
+                        best[piece] = min(ids[row], best.get(piece, ids[row]))
             if places:
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "seg", "id", "_hash", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [()] * 5], ["key", "seg", "id", "_hash", "at"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.int64()), pa.array([p for _, p in best], pa.binary()), pa.array([a for a, _ in best.values()], pa.int64()), pa.array([b for _, b in best.values()], pa.int64())], ["key", "piece", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(p, 7) - (1 << 63) for p in best], pa.int64()), pa.array(list(best), pa.binary()), pa.array(list(best.values()), pa.int64())], ["key", "piece", "least"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each string the smallest document; strings of one key that differ go through a collection, like others."""
         import xxhash
 
-        group: list[tuple[int, bytes, int, int]] = []
-        open_key: list[tuple[int, bytes, int, int]] = []
-        done: list[tuple] = []
-
-        def close_key() -> None:
-            if len(open_key) > 1:
-                group.extend(open_key)
-            elif open_key and open_key[0][2] < open_key[0][3]:
-                # one text under this key: the collection would hold a single string
-                k, p, lo, _ = open_key[0]
-                done.append((k, p, [(0, len(p) - length + 1, lo)]))
-            open_key.clear()
-
-        def flush() -> pa.RecordBatch:
-            rows = [*done, *(x for x in _solve(group, length) if x[2])]
+        group: dict[bytes, int] = {}
+        now, out = None, []
+
+        def close() -> None:
+            for piece, runs in zip(group, _solve(list(group), list(group.values()), length) if len(group) > 1 else [[(0, 1, least)] for least in group.values()], strict=True):
+                out.append((now, xxhash.xxh3_64_intdigest(piece) - (1 << 63), runs[0][2]))
             group.clear()
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r[1]) - (1 << 63) for r in rows], pa.int64()), pa.array([[{"offset": f, "strings": n, "least": d} for f, n, d in r[2]] for r in rows], pa.list_(pa.struct([("offset", pa.int32()), ("strings", pa.int32()), ("least", pa.int64())])))], ["key", "seg", "runs"])
 
         for batch in batches:
-            for key, piece, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "lo", "hi")), strict=True):
-                if open_key and open_key[-1][0] == key and open_key[-1][1] == piece:
-                    open_key[-1] = (key, piece, min(lo, open_key[-1][2]), max(hi, open_key[-1][3]))
-                    continue
-                if open_key and open_key[-1][0] != key:
-                    close_key()
-                    if len(group) >= COLLECTION or len(done) >= COLLECTION:
-                        yield flush()
-                open_key.append((key, piece, lo, hi))
-        close_key()
-        yield flush()
-
-    pieces = docs.mapInArrow(lambda it: cut(it, False), "key long, piece binary, lo long, hi long")
-    runs = pieces.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(solve, "key long, seg long, runs array<struct<offset:int,strings:int,least:long>>")
+            for key, piece, least in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "least")), strict=True):
+                if key != now:
+                    close()
+                    now = key
+                group[piece] = min(least, group.get(piece, least))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 3], ["key", "seg", "least"])
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 3], ["key", "seg", "least"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            both = np.stack([at, at + length], axis=1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_hash"), pa.array([x.tobytes() for x in both], pa.binary())], ["id", "_hash", "lost"])
+
+    strings = docs.mapInArrow(lambda it: cut(it, False), "key long, piece binary, least long").repartition("key").sortWithinPartitions("key", "piece")
+    least = strings.mapInArrow(solve, "key long, seg long, least long")
     places = docs.mapInArrow(lambda it: cut(it, True), "key long, seg long, id long, _hash long, at long")
-    lost = F.transform(F.filter("runs", lambda r: r["least"] < F.col("id")), lambda r: F.struct((F.col("at") + r["offset"]).cast("int").alias("start"), (F.col("at") + r["offset"] + r["strings"] + length - 1).cast("int").alias("end")))
-    hit = places.join(runs, ["key", "seg"]).select("id", "_hash", lost.alias("lost")).filter(F.size("lost") > 0)
-    found = hit.unionByName(copies).groupBy("id", "_hash").agg(F.flatten(F.collect_list("lost")).alias("ranges"))
+    return places.join(least, ["key", "seg"]).filter("least < id").select("id", "_hash", "at").mapInArrow(pack, LOST)
+
+
+def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int, id_log2: int, parts_log2: int = 0) -> DataFrame:
+    """docs (id, _text, _hash, _place) -> (id, _hash, ranges): merged byte ranges to remove, end exclusive.
+
+    Of equal texts only the one with the smallest id is searched, as the others lose all of their bytes to it and
+    never decide what a third text loses. Which ids those are is held in a bitmap; a false hit searches a copy too.
+    """
+    spark = docs.sparkSession
+    whole = checkpointed(docs.filter(F.octet_length("_text") >= length).select("id", "_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"), F.octet_length("_text").alias("n")))
+    groups = whole.groupBy("sha").agg(F.min("id").alias("first"))
+    first = spark.sparkContext.broadcast(id_bitmap(groups.select(F.col("first").alias("id")), id_log2))
+
+    def all_of_it(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_hash"), pa.array([np.array([0, n], "<i4").tobytes() for n in batch.column("n").to_pylist()], pa.binary())], ["id", "_hash", "lost"])
+
+    found = [whole.join(groups, "sha").filter("id > first").select("id", "_hash", "n").mapInArrow(all_of_it, LOST)]
+    for part in range(1 << parts_log2):
+        bitmaps = key_bitmaps(docs, first, length, gram, hot, log2, id_log2, part, parts_log2)
+        any_hot = any(bitmaps[1])
+        shared, many = (spark.sparkContext.broadcast(b) for b in bitmaps)
+
+        def how(shared=shared, many=many, part=part) -> dict:
+            return {"bits": (np.frombuffer(shared.value, np.uint8), np.frombuffer(many.value, np.uint8)), "log2": log2, "gram": gram, "part": part, "parts_log2": parts_log2}
+
+        filed = docs.mapInArrow(lambda it, how=how: _file(it, np.frombuffer(first.value, np.uint8), id_log2, length, **how()), "key long, piece binary, places binary")
+        hits = filed.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(lambda it: _lost(it, length), LOST)
+        if any_hot:
+            hits = hits.unionByName(_hot_lost(docs, first, id_log2, length, how))
+        found.append(checkpointed(hits) if parts_log2 else hits)
+    lost = functools.reduce(DataFrame.unionByName, found).groupBy("id", "_hash").agg(F.collect_list("lost").alias("lost"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[{"start": a, "end": b} for a, b in merged_ranges([(r["start"], r["end"]) for r in row])] for row in batch.column("ranges").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_hash"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "_hash", "ranges"])
+            out = [merged_ranges(np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)).tobytes() for parts in batch.column("lost").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_hash"), pa.array(out, pa.binary())], ["id", "_hash", "ranges"])
 
-    return found.mapInArrow(merge, "id long, _hash long, ranges array<struct<start:int,end:int>>")
+    return lost.mapInArrow(merge, "id long, _hash long, ranges binary")
 
 
-def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def merged_ranges(ranges: np.ndarray) -> np.ndarray:
+    """Rows of start and end -> the same bytes as sorted ranges that neither overlap nor touch."""
+    if len(ranges) < 2:
+        return ranges
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(ranges[:, 1])
+    begins = np.flatnonzero(np.concatenate([[True], ranges[1:, 0] > reach[:-1]]))
+    return np.stack([ranges[begins, 0], reach[np.append(begins[1:], len(ranges)) - 1]], axis=1).astype("<i4")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bitmap_log2: int = BITMAP_LOG2) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs as byte ranges), kept (the remaining bytes)."""
     if not gram <= length <= 250 - MOST_STRINGS:
-        raise ValueError(f"length must be from {gram} to {250 - MOST_STRINGS}")  # columns of one byte hold prefixes
+        raise ValueError(f"length must be from {gram} to {250 - MOST_STRINGS}")  # prefixes are held in columns of one byte
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).withColumn("_place", F.xxhash64("id"))
     volume = slim.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
-    id_log2, key_log2 = bits_for(BITS_PER_ID * volume["rows"], bitmap_log2), bits_for(volume["bytes"] / BYTES_PER_BIT, bitmap_log2)
-    ranges = checkpointed(removed_ranges(slim.filter("id IS NOT NULL"), length, gram, hot, key_log2, id_log2))
+    id_log2, wanted = bits_for(BITS_PER_ID * volume["rows"], bitmap_log2), bits_for(volume["bytes"] / BYTES_PER_BIT, 64)
+    key_log2 = min(wanted, bitmap_log2)
+    parts_log2 = min(wanted - key_log2, SLICES_MOST.bit_length() - 1)
+    ranges = checkpointed(removed_ranges(slim.filter("id IS NOT NULL"), length, gram, hot, key_log2, id_log2, parts_log2))
     # only texts that may lose something are shuffled to meet their ranges
     losing = spark.sparkContext.broadcast(id_bitmap(ranges.select("id"), id_log2))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -420,7 +549,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             told = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * batch.num_rows
             for text, got in zip(batch.column("_text").to_pylist(), told, strict=True):
                 data = _raw(text)
-                gone = [(r["start"], r["end"]) for r in got or []]
+                gone = np.frombuffer(got or b"", "<i4").reshape(-1, 2).tolist()
                 edges = [0, *(x for r in gone for x in r), len(data)]
                 sizes.append(len(data))
                 removed.append(sum(b - a for a, b in gone))
