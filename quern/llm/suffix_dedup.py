@@ -47,6 +47,7 @@ BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT, SLICES_MOST = 28, 16, 8, 16
 SEGMENT_BITS = 10
 HOT = 1 << 16
 FLUSH = 1_000_000
+FILED_BYTES, FLUSHED_ROWS = 8 << 20, 50_000  # text whose segments are put together, and rows sent on, at a time
 STRETCH = 1 << 16  # bytes whose keys are computed at a time
 COLLECTION = 1_000  # strings: the columns then stay in a core's cache
 _U = np.uint64
@@ -326,6 +327,7 @@ def _solve(pieces: list[bytes], docs: list[int], length: int) -> list[list[tuple
 
 _PLACE = struct.Struct("<qqi")  # id, hash of the text, offset
 _ID_OF_PLACE = struct.Struct("<q12x")
+_RANGE = struct.Struct("<ii")
 LOST = "id long, _hash long, lost binary"  # lost: pairs of 32-bit start and end
 
 
@@ -342,31 +344,41 @@ def _hits(batch: pa.RecordBatch, bits: tuple[np.ndarray, np.ndarray], log2: int,
 
 def _file(batches: Iterator[pa.RecordBatch], searched: np.ndarray, id_log2: int, length: int, **how) -> Iterator[pa.RecordBatch]:
     """Rows (key, piece, places) of the segments whose key is shared and not hot, equal ones of a batch put together."""
-    for batch in batches:
-        batch = batch.filter(_among(batch, searched, id_log2))
-        ids, hashes = batch.column("id").to_pylist(), batch.column("_hash").to_pylist()
-        data, at = bytes_of(batch.column("_text"))
-        view, begins, filed = memoryview(data), at.tolist(), {}
-        for row, key, a, b in _hits(batch, hot=False, length=length, **how):
-            filed.setdefault((key, bytes(view[a:b + length - 1])), []).append(_PLACE.pack(ids[row], hashes[row], a - begins[row]))
-        keys, pieces = zip(*filed, strict=True) if filed else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.binary()), pa.array([b"".join(p) for p in filed.values()], pa.binary())], ["key", "piece", "places"])
+    for whole in batches:
+        whole = whole.filter(_among(whole, searched, id_log2))
+        for batch in _parts(whole, FILED_BYTES):
+            ids, hashes = batch.column("id").to_pylist(), batch.column("_hash").to_pylist()
+            data, at = bytes_of(batch.column("_text"))
+            view, begins, filed = memoryview(data), at.tolist(), {}
+            for row, key, a, b in _hits(batch, hot=False, length=length, **how):
+                place = _PLACE.pack(ids[row], hashes[row], a - begins[row])
+                at_key = (key, bytes(view[a:b + length - 1]))
+                filed[at_key] = filed[at_key] + place if at_key in filed else place
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in filed], pa.int64()), pa.array([p for _, p in filed], pa.binary()), pa.array(filed.values(), pa.binary())], ["key", "piece", "places"])
+
+
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text, one row at least."""
+    at = bytes_of(batch.column("_text"))[1]
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(at, int(at[begin]) + most, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def _lost(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Filed rows in the order of key and piece -> what each document loses."""
+    """Filed rows in the order of key and piece -> what each place loses."""
     open_key: list[list] = []  # [piece, places] of the key being read
     group: list[list] = []  # of whole keys with several pieces
-    lost: dict[tuple[int, int], list[int]] = {}
-    n = 0
+    lost: tuple[list[int], list[int], list[bytes]] = ([], [], [])
 
     def lose(places: bytes, runs: list[tuple[int, int, int]]) -> None:
-        nonlocal n
         for i, h, at in _PLACE.iter_unpack(places):
-            for offset, strings, least in runs:
-                if least < i:
-                    lost.setdefault((i, h), []).extend((at + offset, at + offset + strings + length - 1))
-                    n += 1
+            gone = b"".join([_RANGE.pack(at + offset, at + offset + strings + length - 1) for offset, strings, least in runs if least < i])
+            if gone:
+                for column, x in zip(lost, (i, h, gone), strict=True):
+                    column.append(x)
 
     def smallest(places: bytes) -> int:
         return min(_ID_OF_PLACE.iter_unpack(places))[0]
@@ -387,10 +399,9 @@ def _lost(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         group.clear()
 
     def flush() -> pa.RecordBatch:
-        nonlocal n
-        out = pa.RecordBatch.from_arrays([pa.array([i for i, _ in lost], pa.int64()), pa.array([h for _, h in lost], pa.int64()), pa.array([np.array(x, "<i4").tobytes() for x in lost.values()], pa.binary())], ["id", "_hash", "lost"])
-        lost.clear()
-        n = 0
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lost, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "_hash", "lost"])
+        for column in lost:
+            column.clear()
         return out
 
     now = None
@@ -401,7 +412,7 @@ def _lost(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 now = key
                 if len(group) >= COLLECTION:
                     solve()
-                if n >= FLUSH:
+                if len(lost[0]) >= FLUSHED_ROWS:
                     yield flush()
             if open_key and open_key[-1][0] == piece:
                 open_key[-1][1] += places
