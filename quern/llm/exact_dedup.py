@@ -5,13 +5,14 @@ together and sorted by their content, and every block takes the smallest block i
 paired and the pairs named the same way, level by level, until each document has a single name. Names come from
 comparing contents, never from a hash, so two documents share (levels, name) exactly when their texts are equal.
 
-The HOT_KEYS most frequent keys are dealt over SALTS tasks first and their representatives, SALTS at most, are named
-in a second step, so that a third of all rows may be one text. The list of hot keys has that fixed length; it decides
-where rows are sent, not what they are called.
+Blocks that more than one in HOT_SHARE rows has, fewer than HOT_SHARE of them, are named apart: their contents are
+listed, sorted and named -1, -2, .. on the driver, and broadcast; their rows are dealt evenly, so that a third of all
+rows may be one text. Hashes only decide which contents are listed. Every other block has at most one in HOT_SHARE rows.
 
 Null text counts as empty. Repeated rows are members of one group like any other copies and one of them is kept.
 Rows with a null id are members too, and are kept only where a group has no other. An empty table gives an empty
-result. Other columns of the input are ignored, whatever their names.
+result. Other columns of the input are ignored, whatever their names. The input should be a table, or another plan
+whose rows come in one order.
 """
 
 from __future__ import annotations
@@ -21,31 +22,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, read_table
+from .common import HOT_SHARE, SPREAD, ascii_lower, checkpointed, joined_back, read_table
 
-BLOCK_CHARS = 16384
-HOT_KEYS = 256
-SALTS = 64
+BLOCK_CHARS = 1024
 
 
 def _named(rows: DataFrame, key: Column, keep: list[str]) -> DataFrame:
-    """keep and _name: the smallest _id among the rows with an equal key."""
-    keyed = rows.withColumn("_key", key)
-    top = keyed.groupBy(F.xxhash64("_key").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SALTS)
-    hot = [r["_hash"] for r in top.orderBy(F.desc("_n"), "_hash").limit(HOT_KEYS).collect()]
-    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)) if hot else F.lit(-1)
-    salted = keyed.withColumn("_salt", F.when(F.xxhash64("_key").isin(hot), salt).otherwise(F.lit(-1)))
-    local = salted.withColumn("_local", F.min("_id").over(Window.partitionBy("_key", "_salt")))
-    if not hot:
-        return local.select(*keep, F.col("_local").alias("_name"))
-    merged = (
-        local.filter((F.col("_salt") >= 0) & (F.col("_id") == F.col("_local")))
-        .select("_local", F.min("_local").over(Window.partitionBy("_key")).alias("_name"))
-        .withColumnRenamed("_local", "_from")
-    )
-    return local.join(F.broadcast(merged), F.col("_local") == F.col("_from"), "left").select(
-        *keep, F.coalesce("_name", "_local").alias("_name")
-    )
+    """keep and _name: one number for rows with an equal key, the smallest _id among them or a negative one."""
+    spark, keyed = rows.sparkSession, rows.withColumn("_key", key)
+    counted = checkpointed(keyed.groupBy(F.xxhash64("_key").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")))
+    total = counted.agg(F.sum("_n").alias("t")).first()["t"] or 0
+    often = [r["_hash"] for r in counted.filter(F.col("_n") * HOT_SHARE > total).filter("_n > 1").collect()]
+    if often:
+        listed = keyed.filter(F.xxhash64("_key").isin(often)).select("_key").distinct().orderBy("_key").collect()
+        hot = spark.createDataFrame([(r["_key"], -1 - i) for i, r in enumerate(listed)], keyed.select(F.col("_key").alias("_hot_key"), F.lit(0).cast("long").alias("_hot_name")).schema)
+        keyed = keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left").drop("_hot_key")
+    else:
+        keyed = keyed.withColumn("_hot_name", F.lit(None).cast("long"))
+    rest = F.col("_hot_name").isNull()
+    apart = keyed.select(*keep, "_hot_name", F.when(rest, F.col("_key")).alias("_key"), F.when(rest, F.lit(-1)).otherwise(F.pmod(F.xxhash64("_id"), F.lit(SPREAD))).alias("_to"))
+    together = Window.partitionBy("_key", "_to")
+    return apart.select(*keep, F.coalesce("_hot_name", F.min("_id").over(together)).alias("_name"))
 
 
 def name_documents(docs: DataFrame, text: Column, carry: list[Column], block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -79,8 +76,8 @@ def name_documents(docs: DataFrame, text: Column, carry: list[Column], block_cha
                 *(F.first(c).alias(c) for c in names if c != "_row"),
                 F.ceil(F.first("_n") / 2).cast("int").alias("_n"),
                 F.min("_id").alias("_id"),
-                F.max(F.when(~odd, F.col("_name"))).alias("_a"),
-                F.coalesce(F.max(F.when(odd, F.col("_name"))), F.lit(-1)).alias("_b"),
+                F.max(F.when(~odd, F.struct("_name"))).alias("_a"),
+                F.max(F.when(odd, F.struct("_name"))).alias("_b"),
             )
         )
         named = checkpointed(_named(pairs, F.struct("_a", "_b"), rest))
@@ -88,21 +85,26 @@ def name_documents(docs: DataFrame, text: Column, carry: list[Column], block_cha
     return done
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept and text_sha256 of the normalised text (A-Z lower-cased)."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, carry: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept and text_sha256 of the normalised text (A-Z lower-cased), carry (a
+    struct of the columns it names, of kept rows only)."""
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    carry = [F.col(id_col).alias("_doc"), F.sha2(norm.cast("binary"), 256).alias("_sha")]
-    named = name_documents(docs, norm, carry, block_chars)
-    groups = named.groupBy("_levels", "_name").agg(
-        F.max(F.struct("_doc", "_row")).alias("_best"), F.count(F.lit(1)).alias("group_size")
-    )
-    return named.join(groups, ["_levels", "_name"]).select(
+    ids = [F.col(id_col).alias("_doc"), F.sha2(norm.cast("binary"), 256).alias("_sha")]
+    named = name_documents(docs, norm, ids, block_chars)
+    groups = checkpointed(named.groupBy("_levels", "_name").agg(F.max(F.struct("_doc", "_row")).alias("_best"), F.count(F.lit(1)).alias("group_size")))
+    out = joined_back(named, groups, ["_levels", "_name"], "group_size", "_row").select(
         F.col("_doc").alias("doc_id"),
         F.col("_best._doc").alias("keep_id"),
         "group_size",
         (F.col("_row") == F.col("_best._row")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+    if not carry:
+        return out
+    rows = docs.select(F.col(id_col).alias("_doc"), F.sha2(norm.cast("binary"), 256).alias("_text_sha"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry"))
+    # a kept row is known by its id and text; any of its repetitions may stand for it
+    one = out.filter("kept").join(rows, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_sha256") == F.col("_text_sha")))
+    return one.dropDuplicates(["doc_id", "text_sha256"]).drop("_doc", "_text_sha")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
