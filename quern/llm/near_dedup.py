@@ -14,8 +14,11 @@ Equal sets form a class first, and classes stand for their members. Candidates a
    links leave a task, at most one for each component.
    So a link is lost only where its two texts are already in one component.
 
+Joins that a large class, bucket or cluster would draw into one task are made by joined_back, which deals its rows evenly.
+
 Null text is empty; an empty set is linked with nothing. Rows that share an id count as one document, whose links are
-united; a null id is never linked. Extra columns are ignored.
+united. A row with a null id is linked with nothing, has no component and is kept. Ids must be integers. Extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import checkpointed, joined_back, read_table
 
 SHINGLE, COORDS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
@@ -200,13 +203,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = VOCAB
 
 
 def _cross_links(rows: DataFrame, block: int, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    """rows (cluster, id, comp, _text): confirmed links (id, head) that unite components of a cluster.
+    """rows (cluster, n, id, comp, _text), n the cluster's rows: confirmed links (id, head) that unite its components.
 
     A cluster of k blocks goes to its block pairs (i, j), i <= j, so every pair of its members meets once; all pairs
     of a block pair are measured on their full sets, and only links that unite something leave the task.
     """
-    counts = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
-    cut = rows.join(counts, "cluster").withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
+    cut = rows.withColumn("_k", F.ceil(F.col("n") / block).cast("int")).withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     others = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     placed = others.select("cluster", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "id", "comp", "_text")
 
@@ -253,14 +255,14 @@ def near_groups(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     every = checkpointed(texts.mapInArrow(lambda it: _sets(it, shingle, coords), "id long, n long, digest binary, sig binary"))
     sets = every.filter("n > 0 AND id IS NOT NULL")
-    classes = sets.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = sets.select("id", "digest").join(classes, "digest").select("id", "rep").distinct()
+    classes = checkpointed(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")))
+    member = checkpointed(joined_back(sets.select("id", "digest"), classes, ["digest"], "k", "id").select("id", "rep").distinct())
     # sets of one id that fall in different classes are united through the id
-    same_id = member.filter("id <> rep").groupBy("id").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k"))
+    same_id = member.groupBy("id").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     nodes = sets.join(classes, (sets.digest == classes.digest) & (sets.id == classes.rep)).select(sets.id, "sig").dropDuplicates(["id", "sig"])
     bands = nodes.mapInArrow(lambda it: _bands(it, rows), "band long, id long")
-    full = bands.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("_last")).filter("head <> _last")
-    buckets = checkpointed(bands.join(full, "band").select("band", "id", "head"))
+    full = checkpointed(bands.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("k")).filter("head <> _last"))
+    buckets = checkpointed(joined_back(bands, full, ["band"], "k", "id").filter("head IS NOT NULL").select("band", "id", "head"))
     involved = buckets.select("id").distinct()
     held = checkpointed(texts.join(involved, "id", "left_semi"))
     # one candidate per text and round: the smallest pivot among its buckets
@@ -284,17 +286,22 @@ def near_groups(
         # texts joined by open buckets form clusters; each text is sent once to each block pair of its cluster
         heads = still.groupBy("band").agg(F.min("id").alias("head"))
         cluster = components(checkpointed(still.select("band", "id").join(heads, "band").select("id", "head").distinct())).withColumnRenamed("comp", "cluster")
-        members = still.select("id", "comp").distinct().join(cluster, "id").join(held, "id")
+        placed = checkpointed(still.select("id", "comp").distinct().join(cluster, "id"))
+        sizes = checkpointed(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+        members = joined_back(placed, sizes, ["cluster"], "n", "id").join(held, "id")
         more = _cross_links(members, BLOCK, shingle, numerator, denominator)
         label = components(checkpointed(links.unionByName(more)))
-    united = same_id.filter("k > 1").select("id", "head")
+    united = checkpointed(same_id.select("id", "head"))
     if united.limit(1).count():
-        across = member.filter("id <> rep").join(united, "id").select(F.col("rep").alias("id"), "head").union(united)
+        across = member.join(united, "id").select(F.col("rep").alias("id"), "head").union(united)
         label = components(checkpointed(label.select("id", F.col("comp").alias("head")).unionByName(across)))
-    placed = every.join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    out = placed.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    comp = F.coalesce("comp", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), comp).alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    placed = joined_back(every.select("id", "n", "digest"), classes, ["digest"], "k", "id").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    # a class's representative is in label once, its members meet it by joined_back as well
+    found = checkpointed(label.join(classes.select(F.col("rep").alias("id"), "k").groupBy("id").agg(F.sum("k").alias("k")), "id"))
+    out = joined_back(placed, found.withColumnRenamed("id", "rep"), ["rep"], "k", "id")
+    known = F.col("id").isNotNull()
+    comp = F.when(known, F.coalesce("comp", "rep"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), (~known | F.col("id").eqNullSafe(comp)).alias("kept"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
