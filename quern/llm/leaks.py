@@ -4,11 +4,13 @@ A window is `window` consecutive words of an item (an item of fewer words, but n
 each between spaces, are the automaton's patterns; every document is normalised the same way and scanned once. A match
 at a character of the normalised text gives word numbers, and those give character offsets in the original text.
 
-The automaton is broadcast. Its size is bounded by automaton_bytes of pattern text: a larger benchmark is dealt into
-blocks of items, each block is scanned over all documents, and the hit words of the blocks are united per document.
+A benchmark is dealt into blocks of items with at most automaton_bytes of pattern text (one item at least). The items
+of one block at a time are read, broadcast and made an automaton, in one pass over the documents each; what the passes
+but the last find is stored, and the last one unites it. So neither the driver nor a task holds more than two blocks'
+items and one automaton, however large the benchmark; a benchmark of one block is one pass without a shuffle.
 
 Null text has no words; an item or document without words matches nothing. Repeated rows give repeated rows. Item
-ids repeated in the benchmark count once. Extra columns are ignored unless named in carry.
+ids repeated in the benchmark count once. Extra columns are ignored unless named in carry, which may name any column.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import read_table
+from .common import checkpointed, joined_back, read_table, stored
 
 WINDOW = 10
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_BYTES = 4 << 20
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII; the rest of ASCII separates.
 _SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _LOWER_AND_SPLIT = bytes(
@@ -46,7 +49,7 @@ def item_windows(text: str | None, window: int) -> list[str]:
     return [f" {' '.join(words[i:i + window])} " for i in range(max(1, len(words) - window + 1))]
 
 
-def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def united_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching ranges, end exclusive, made one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -84,28 +87,40 @@ class Automaton:
             seen = end + 1
             found |= self.items[p]
             ranges.append((spaces - p.count(" "), spaces - 1))
-        return len(words), united(ranges), found
+        return len(words), united_ranges(ranges), found
 
 
 def _char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word ranges as code point offsets of the original text."""
     raw = text.encode("utf-8", "surrogatepass")
     words = [m.span() for m in _WORD.finditer(raw.translate(_LOWER_AND_SPLIT))]
-    return [(len(raw[: words[a][0]].decode("utf-8", "surrogatepass")), len(raw[: words[b - 1][1]].decode("utf-8", "surrogatepass"))) for a, b in ranges]
+    begun = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)])  # code points before a byte
+    return [(int(begun[words[a][0]]), int(begun[words[b - 1][1]])) for a, b in ranges]
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple[object, str]]]:
-    """Items in blocks of at most `most` bytes of text (one item at least), read one partition at a time."""
-    blocks: list[list[tuple[object, str]]] = [[]]
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[object, str]]]:
+    """Items in blocks of at most `most` bytes of text (one item at least); one block is held at a time."""
+    block: list[tuple[object, str]] = []
     size = 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
         n = len((row[1] or "").encode("utf-8", "surrogatepass"))
-        if blocks[-1] and size + n > most:
-            blocks.append([])
-            size = 0
+        if block and size + n > most:
+            yield block
+            block, size = [], 0
         size += n
-        blocks[-1].append((row[0], row[1]))
-    return blocks
+        block.append((row[0], row[1]))
+    yield block
+
+
+class _Scanner:
+    """Word counts, hit word ranges and items of a batch's texts."""
+
+    def __init__(self, shared, window: int):
+        self.machine = Automaton(shared.value, window)
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[str | None, int, list[tuple[int, int]], set]]:
+        for text in texts.to_pylist():
+            yield text, *self.machine.scan(text)
 
 
 def leak_hits(
@@ -119,41 +134,56 @@ def leak_hits(
     automaton_bytes: int = AUTOMATON_BYTES,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, items (list of the ids as text, sorted), spans (hit code point ranges), carry.
+    """Per row: doc_id, n_words, n_hit, items (list of the ids as text, sorted), spans (hit code point ranges), carry
+    (a struct of the columns it names)."""
+    spark = docs.sparkSession
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), carried.alias("carry"))
+    word_ranges, names = "array<struct<start:int,end:int>>", "array<string>"
+    found = "_hash string, _n int, _ranges array<struct<start:int,end:int>>, _items array<string>"
+
+    def hits(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        scanner = _Scanner(shared, window)
+        for batch in batches:
+            rows = [(h, n, [{"start": a, "end": b} for a, b in ranges], sorted(map(str, ids))) for h, (_, n, ranges, ids) in zip(batch.column("_hash").to_pylist(), scanner(batch.column("_text")), strict=True) if ranges]
+            types = [pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, types, strict=True)], ["_hash", "_n", "_ranges", "_items"])
 
-    The blocks of a benchmark beyond automaton_bytes are scanned one after the other within each task.
-    """
-    spark, carry = docs.sparkSession, carry or []
     # windows repeat each word `window` times, so a block's pattern text is at most `window` times the item text
-    shared = [
-        spark.sparkContext.broadcast(block)
-        for block in benchmark_blocks(benchmark, item_col, item_text_col, max(1, automaton_bytes // (window + 1)))
-    ]
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
-    schema = slim.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array(F.lit("")).alias("items"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans"), "_carry").schema
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, max(1, automaton_bytes // (window + 1)))
+    block, earlier = next(blocks), None
+    for following in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        part = stored(slim.select(F.sha2(F.col("_text").cast("binary"), 256).alias("_hash"), "_text").mapInArrow(lambda it, shared=shared: hits(it, shared), found))
+        shared.destroy()
+        earlier, block = part if earlier is None else earlier.unionByName(part), following
+    shared = spark.sparkContext.broadcast(block)
+    if earlier is None:
+        slim = slim.withColumns({"_ranges": F.lit(None).cast(word_ranges), "_items": F.lit(None).cast(names)})
+    else:
+        united = earlier.groupBy("_hash").agg(F.flatten(F.collect_set("_ranges")).alias("_ranges"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"), F.count(F.lit(1)).alias("_copies"))
+        keyed = slim.withColumn("_hash", F.sha2(F.col("_text").cast("binary"), 256))
+        slim = joined_back(keyed, checkpointed(united), ["_hash"], "_copies", "doc_id").drop("_hash", "_copies")
+    slim = slim.select("doc_id", "_text", "carry", "_ranges", "_items")
+    schema = slim.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array(F.lit("")).alias("items"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans"), "carry").schema
     arrow = to_arrow_schema(schema, timestamp_utc=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value, window) for b in shared]
+        scanner = _Scanner(shared, window)
         for batch in batches:
-            counts, hits, items, spans = [], [], [], []
-            for text in batch.column("_text").to_pylist():
-                n, ranges, found = 0, [], set()
-                for m in machines:
-                    n, some, ids = m.scan(text)
-                    ranges += some
-                    found |= ids
-                merged = united(ranges)
+            counts, all_hits, items, spans = [], [], [], []
+            for (text, n, ranges, ids), more, others in zip(scanner(batch.column("_text")), batch.column("_ranges").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+                merged = united_ranges(ranges + [(r["start"], r["end"]) for r in more or []])
                 counts.append(n)
-                hits.append(sum(b - a for a, b in merged))
-                items.append(sorted(str(x) for x in found))
+                all_hits.append(sum(b - a for a, b in merged))
+                items.append(sorted({*map(str, ids), *(others or [])}))
                 spans.append([{"start": a, "end": b} for a, b in _char_spans(text, merged)] if merged else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, arrow.field("items").type), pa.array(spans, arrow.field("spans").type), batch.column("_carry").cast(arrow.field("_carry").type)],
+                [batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(counts, pa.int64()), pa.array(all_hits, pa.int64()), pa.array(items, arrow.field("items").type), pa.array(spans, arrow.field("spans").type), batch.column("carry").cast(arrow.field("carry").type)],
                 schema=arrow,
             )
 
-    return slim.mapInArrow(scan, schema).select("doc_id", "n_words", "n_hit", "items", "spans", *(F.col(f"_carry.`{c}`").alias(c) for c in carry))
+    return slim.mapInArrow(scan, schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
