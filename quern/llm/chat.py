@@ -98,7 +98,7 @@ class Machine:
 
 
 class Reader:
-    """Reads formatted text back: feed(segment) yields (role, text) per turn; it knows only the template's strings."""
+    """Reads formatted text back, turn by turn; it knows only the template's strings."""
 
     def __init__(self, template: Template):
         self.template = t = template
@@ -129,6 +129,47 @@ class Reader:
         return role, self.template.unescaped(body[0]), body.end() + len(close)
 
 
+class Playback:
+    """Reads one conversation's formatted text back as it arrives: feed() takes what was written, wherever it is cut,
+    with the loss spans that end in it, and yields its whole turns; learned() the text under the loss mask, unescaped.
+
+    Spans are offsets into the whole output, so a span that is off yields other text. Only what is not yet read is held.
+    """
+
+    def __init__(self, reader: Reader):
+        self.reader, self.held, self.base, self.size, self.began = reader, "", 0, 0, False
+
+    def feed(self, written: str) -> Iterator[tuple[str, str]]:
+        self.held += written
+        self.size += len(written)
+        at, t = self.base, self.reader.template
+        if not self.began:
+            if not self.held.startswith(t.begin):
+                raise ValueError("not a formatted conversation")
+            self.began, at = True, len(t.begin)
+        while len(self.held) > at - self.base and self.held[at - self.base:] != t.end:
+            try:
+                role, text, end = self.reader.one(self.held, at - self.base)
+            except ValueError:
+                break  # the rest of the turn has not arrived
+            yield role, text
+            at = self.base + end
+        self.read = at
+
+    def learned(self, spans: Iterable[tuple[int, int]]) -> Iterator[str]:
+        """Text under the mask; to be asked for before drop()."""
+        for a, b in spans:
+            yield self.reader.template.unescaped(self.held[a - self.base:b - self.base])
+
+    def drop(self) -> None:
+        """Forget what has been read."""
+        self.held, self.base = self.held[self.read - self.base:], self.read
+
+    def close(self) -> None:
+        if self.held != self.reader.template.end:
+            raise ValueError("the conversation did not read back to its end")
+
+
 def format_conversation(turns: Iterable[tuple[str | None, str | None]], template: Template = CHAT) -> tuple[str, list[tuple[int, int]], bool]:
     """Whole text, loss spans (code points, end exclusive) and validity of one conversation held in memory."""
     m, out, spans, at = Machine(template), [template.begin], [], len(template.begin)
@@ -178,20 +219,32 @@ def segments(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 
 
 def digests(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: Template = CHAT) -> DataFrame:
-    """Per conversation, read back from the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars and valid. Each turn is formatted, its string parsed by Reader, and the running digests updated, so
-    memory holds one turn, however long the conversation."""
+    """Per conversation, read back from the formatted output and its loss mask: n_turns, turns_sha256, loss_chars,
+    loss_sha256, formatted_chars and valid. The output streams from the writer to the reader, so memory holds one turn,
+    however long the conversation."""
     rows = _ordered(conversations, conv_col, turn_col, role_col, text_col)
     schema = rows.select("conv_id", F.lit(0).cast("long").alias("n_turns"), F.lit("").alias("turns_sha256"), F.lit(0).cast("long").alias("loss_chars"), F.lit("").alias("loss_sha256"), F.lit(0).cast("long").alias("formatted_chars"), F.lit(True).alias("valid")).schema
     names = schema.fieldNames()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, done, conv, began, id_type = Reader(template), [], None, False, None
-        machine = turns = loss = None
+        machine = turns = loss = back = None
         n = chars = size = 0
 
+        def listen(written: str, spans: list[tuple[int, int]]) -> None:
+            nonlocal n, chars
+            for role, text in back.feed(written):
+                n += 1
+                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            for text in back.learned(spans):
+                chars += len(text)
+                loss.update(text.encode("utf-8", "surrogatepass"))
+            back.drop()
+
         def close() -> None:
-            done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size + len(template.end), machine.ends_well()))
+            listen(template.end, [])
+            back.close()
+            done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), back.size, machine.ends_well()))
 
         def flush() -> pa.RecordBatch:
             types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
@@ -206,20 +259,16 @@ def digests(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
                 if not began or key != conv:
                     if began:
                         close()
-                    conv, began, machine, turns, loss = key, True, Machine(template), hashlib.sha256(), hashlib.sha256()
-                    n, chars, size = 0, 0, len(template.begin)
-                pieces = list(machine.turn(role, text))
-                whole = "".join(p for p, _, _ in pieces)
-                back_role, back, end = reader.one(whole, 0)
-                if end != len(whole):
-                    raise ValueError("a turn did not read back")
-                n, size = n + 1, size + len(whole)
-                turns.update(f"{back_role}\n{back}\n".encode("utf-8", "surrogatepass"))
-                for piece, flagged, _ in pieces:
+                    conv, began, machine, back = key, True, Machine(template), Playback(reader)
+                    turns, loss, n, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0, len(template.begin)
+                    listen(template.begin, [])
+                written, spans = [], []
+                for piece, flagged, _ in machine.turn(role, text):
                     if flagged:
-                        learned = template.unescaped(piece)
-                        chars += len(learned)
-                        loss.update(learned.encode("utf-8", "surrogatepass"))
+                        spans.append((size, size + len(piece)))
+                    written.append(piece)
+                    size += len(piece)
+                listen("".join(written), spans)
             yield flush()
         if began:
             close()
