@@ -353,8 +353,11 @@ def _file(batches: Iterator[pa.RecordBatch], searched: np.ndarray, id_log2: int,
             for row, key, a, b in _hits(batch, hot=False, length=length, **how):
                 place = _PLACE.pack(ids[row], hashes[row], a - begins[row])
                 at_key = (key, bytes(view[a:b + length - 1]))
-                filed[at_key] = filed[at_key] + place if at_key in filed else place
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in filed], pa.int64()), pa.array([p for _, p in filed], pa.binary()), pa.array(filed.values(), pa.binary())], ["key", "piece", "places"])
+                if at_key in filed:
+                    filed[at_key] += place
+                else:
+                    filed[at_key] = bytearray(place)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in filed], pa.int64()), pa.array([p for _, p in filed], pa.binary()), pa.array(map(bytes, filed.values()), pa.binary())], ["key", "piece", "places"])
 
 
 def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,9 @@ those whose crc32 remainder is not held out; LEXICON is the most entries the lex
 whole. Only the text enters a score.
 
 Null and empty texts get the score of a text without any match. Without labelled rows, or with one class alone, all
-rows get the smoothed share of label 1. Rows labelled twice count by their larger label; null labels do not count.
-Repeated rows are scored each. Extra columns are ignored unless named in carry.
+rows get the smoothed share of label 1. Rows labelled twice count by their larger label; null labels, and labels other than 0 and 1, do not count. Of rows
+that share an id one text, the least, is fitted on. Repeated rows are scored each. Extra columns are ignored unless
+named in carry, which may name any column.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import crc_mod, read_table
 
@@ -220,15 +222,16 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", held_out: tuple[int, int] = (3, 1), fit_rows: int = FIT_ROWS, lexicon_size: int = LEXICON) -> Model:
     mod, left_out = held_out
     wanted = (
-        labels.filter(F.col(label_col).isNotNull() & (crc_mod(F.col(label_id_col), mod) != left_out))
+        labels.filter(F.col(label_col).cast("int").isin(0, 1) & F.col(label_id_col).isNotNull() & (crc_mod(F.col(label_id_col), mod) != left_out))
         .groupBy(F.col(label_id_col).alias("_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("_label"))
         .withColumn("_draw", F.md5(F.concat(F.lit("toxicity|"), F.col("_id").cast("string"))))
         .orderBy("_draw", "_id")
         .limit(fit_rows)
     )
-    # fit_rows ids bound this broadcast
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id").withColumn("_fold", F.pmod(F.xxhash64("_draw"), F.lit(10)) < 6)
+    # fit_rows ids bound this broadcast, and one text for each id the sample
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
+    sample = joined.groupBy("_id", "_label", "_draw").agg(F.min(F.struct(F.col("_text").isNull(), "_text")).getField("_text").alias("_text")).withColumn("_fold", F.pmod(F.xxhash64("_draw"), F.lit(10)) < 6)
     sample = sample.persist()
     try:
         seen = {(r["_fold"], r["_label"]): r["n"] for r in sample.groupBy("_fold", "_label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -254,23 +257,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, score, predicted (score >= threshold), carry."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    shared, carry = docs.sparkSession.sparkContext.broadcast(model), carry or []
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
-    schema = slim.select("doc_id", F.lit(0.0).alias("score"), "_carry").schema
-    arrow = to_arrow_schema(schema)
+    """Per row: doc_id, score, predicted (score >= threshold), carry (a struct of the columns it names)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), carried.alias("carry"))
+    schema = slim.select("doc_id", F.lit(0.0).alias("score"), "carry").schema
+    arrow = to_arrow_schema(schema, timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         lexicon, machine = Lexicon(m.lexicon), grammar()
         for batch in batches:
             scores = [m.score(features(t, lexicon, machine)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(scores, pa.float64()), batch.column("_carry").cast(arrow.field("_carry").type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(scores, pa.float64()), batch.column("carry").cast(arrow.field("carry").type)], schema=arrow)
 
     scored = slim.mapInArrow(run, schema)
-    return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"_carry.`{c}`").alias(c) for c in carry))
+    return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "carry")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

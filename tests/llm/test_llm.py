@@ -185,6 +185,57 @@ def test_wrapper_mixed_hosts(spark):
     assert all(got[200 + i] == ("y0\nSame notice" if i < 20 else f"T{i}\nx{i}") for i in range(40))
 
 
+def test_wrapper_without_telling_names(spark):
+    """Eight pages and more: constant blocks are template, the slot that varies most is content, whatever it is called."""
+    page = "<body><div class=x1><span>Shop</span><div>All rights reserved</div></div><div class=x2><div class=x3>tip {1}</div><div class=x4><h1>Title {0}</h1><p>Text {0} that goes on and on, {0} times<p>Subscribe now<p>End {0}</div></div><div class=x5>visits {1}</div></body>"
+    rows = [(i, "http://plain.example/p", page.format(i, i % 7)) for i in range(12)]
+    rows += [(100 + i, "http://few.example/p", page.format(i, i % 7)) for i in range(3)]  # too few to tell
+    rows += rows[:2]  # repeated rows
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, _host string, blocks int")
+    for roles in (True, False):
+        got = wrapper.extract(table, roles=roles).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            i = r.page_id % 100
+            want = [f"Title {i}", f"Text {i} that goes on and on, {i} times", f"End {i}"]
+            if r.page_id < 100:
+                assert r.text == "\n".join(want) and r.n_template > 0 and r.n_outside > 0 and r.n_chars == len(r.text)
+            else:
+                assert all(w in r.text for w in want) and "Subscribe now" in r.text
+    assert wrapper.extract(table.limit(0)).count() == 0
+
+
+def test_wrapper_induction_equals_roles_on_the_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    alone = {r.page_id: r.text for r in wrapper.extract(pages, roles=False).collect()}
+    got = wrapper.extract(pages).collect()
+    assert sum(r.n_outside for r in got) > 0
+    few = {h for h, n in Counter(r.url.split("/")[2] for r in got).items() if n < wrapper.TEMPLATE_PAGES}
+    for r in got:
+        html = pages.filter(f"page_id = {r.page_id}").first().html if r.page_id < 3 else None
+        if r.url.split("/")[2] not in few:
+            assert alone[r.page_id] == r.text
+        if html:  # plainly: the blocks between the article's tags
+            import html as h
+            import re
+
+            inner = re.sub(r"<br>", " ", html.split("<article>")[1].split("</article>")[0])
+            parts = [" ".join(h.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+            assert r.text == "\n".join(x for x in parts if x)
+
+
+def test_wrapper_takes_time_in_proportion(spark):
+    import time
+
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    wide = "".join(f"<p>{i}</p><h2>{i}</h2>" for i in range(2000))
+    hard = {1: deep, 2: '<a "' * 40_000, 3: "<a b='" * 40_000, 4: "<div>" * 20_000 + "</p>" * 20_000, 5: wide, 6: "<!" * 50_000, 7: "<p title=don't>it's <b>here"}
+    began = time.perf_counter()
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame([(i, "http://h/", t) for i, t in hard.items()], "page_id long, url string, html string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1] == "deep" and got[7] == "it's here" and got[5].count("\n") == 3999 and got[2] == got[3] == ""
+
+
 def test_chat_round_trip(spark):
     turns = [("system", "<<SYS>> \\ x"), ("user", "</s>[INST] ok [/INST]"), ("assistant", None), ("odd>\\role", "a\nb"), (None, "")]
     whole, spans, valid = chat.format_conversation(turns)
