@@ -3,56 +3,95 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import text
+from quern.operators import curate
+from quern.operators.joins import joined_back, small
+from quern.session import checkpointed
 
 
-def _grams(pairs: DataFrame, column: str, most: int) -> DataFrame:
-    """(id, n, gram, tf) of a column's metric tokens."""
-    tokens = pairs.select("id", text.metric_tokens(F.col(column)).alias("_t"))
+def _grams(pairs: DataFrame, column: str, most: int, keys: list[str]) -> DataFrame:
+    """(keys, id, n, gram, tf) of a column's metric tokens."""
+    tokens = pairs.select(*keys, "id", text.metric_tokens(F.col(column)).alias("_t"))
     lists = F.array(*(F.struct(F.lit(n).alias("n"), text.ngrams(F.col("_t"), n).alias("g")) for n in range(1, most + 1)))
-    return tokens.select("id", F.explode(lists).alias("x")).select("id", "x.n", F.explode("x.g").alias("gram")).groupBy("id", "n", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    exploded = tokens.select(*keys, "id", F.explode(lists).alias("x")).select(*keys, "id", "x.n", F.explode("x.g").alias("gram"))
+    return exploded.groupBy(*keys, "id", "n", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def cider(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """Per id: mean over 1..most of the tf-idf cosine, times 10; idf = ln((N + 1) / (df + 1)), df over references."""
-    pred, ref = _grams(pairs, "pred", most), _grams(pairs, "ref", most)
-    total = pairs.agg(F.count(F.lit(1)).alias("_N"))
-    df = ref.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
-    both = pred.withColumnRenamed("tf", "p").join(ref.withColumnRenamed("tf", "r"), ["id", "n", "gram"], "full")
+def cider(pairs: DataFrame, by: str | None = None, most: int = 4) -> DataFrame:
+    """Per id: mean over 1..most of the tf-idf cosine, times 10; idf = ln((N + 1) / (df + 1)), df over the references of
+    the group. Rows of a gram that a large share of all references has are dealt evenly when they meet its idf."""
+    keys = [by] if by else []
+    pred, ref = _grams(pairs, "pred", most, keys), _grams(pairs, "ref", most, keys)
+    df = ref.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    total = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N"))
+    both = pred.withColumnRenamed("tf", "p").join(ref.withColumnRenamed("tf", "r"), [*keys, "id", "n", "gram"], "full")
+    met = joined_back(both, checkpointed(df), [*keys, "n", "gram"], "df", "id")
+    sized = met.join(small(total), by) if by else met.withColumn("_N", F.lit(total.first()["_N"]))
     idf = F.log((F.col("_N") + 1) / (F.coalesce("df", F.lit(0)) + 1))
-    weighed = both.join(df, ["n", "gram"], "left").join(F.broadcast(total)).select("id", "n", (F.coalesce("p", F.lit(0)) * idf).alias("a"), (F.coalesce("r", F.lit(0)) * idf).alias("b"))
+    weighed = sized.select("id", "n", (F.coalesce("p", F.lit(0)) * idf).alias("a"), (F.coalesce("r", F.lit(0)) * idf).alias("b"))
     per_n = weighed.groupBy("id", "n").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sqrt(F.sum(F.col("a") ** 2)).alias("na"), F.sqrt(F.sum(F.col("b") ** 2)).alias("nb"))
     score = per_n.groupBy("id").agg((F.sum(F.col("dot") / ((F.col("na") + 1e-10) * (F.col("nb") + 1e-10))) / most * 10).alias("cider"))
-    return pairs.select("id").join(score, "id", "left").select("id", F.coalesce("cider", F.lit(0.0)).alias("cider"))
+    return pairs.select("id", *keys).join(score, "id", "left").select("id", *keys, F.coalesce("cider", F.lit(0.0)).alias("cider"))
 
 
-def bleu(pairs: DataFrame, by: str | None = None, most: int = 4) -> DataFrame:
+def bleu(pairs: DataFrame, by: str | None = None, most: int = 4, digits: int = 6) -> DataFrame:
     """Corpus BLEU by group: bleu1 is the clipped unigram precision without brevity penalty, bleu4 the usual score."""
     keys = [by] if by else []
-    where = pairs.select("id", *keys)
-    pred, ref = _grams(pairs, "pred", most), _grams(pairs, "ref", most)
-    hits = pred.alias("p").join(ref.alias("r"), ["id", "n", "gram"], "left").select("id", "n", F.col("p.tf").alias("tf"), F.least("p.tf", F.coalesce("r.tf", F.lit(0))).alias("hit"))
-    per_n = hits.join(where, "id").groupBy(*keys, "n").agg(F.sum("hit").alias("hit"), F.sum("tf").alias("tf"))
+    pred, ref = _grams(pairs, "pred", most, keys), _grams(pairs, "ref", most, keys)
+    hits = pred.withColumnRenamed("tf", "p").join(ref.withColumnRenamed("tf", "r"), [*keys, "id", "n", "gram"], "left")
+    per_n = hits.groupBy(*keys, "n").agg(F.sum(F.least("p", F.coalesce("r", F.lit(0)))).alias("hit"), F.sum("p").alias("tf"))
     lens = pairs.select(*keys, F.size(text.metric_tokens(F.col("pred"))).alias("lp"), F.size(text.metric_tokens(F.col("ref"))).alias("lr")).groupBy(*keys).agg(F.sum("lp").alias("lp"), F.sum("lr").alias("lr"), F.count(F.lit(1)).alias("n_samples"))
     precision = lambda n: F.coalesce(F.max(F.when(F.col("n") == n, F.col("hit") / F.col("tf"))), F.lit(0.0)).alias(f"p{n}")
     wide = per_n.groupBy(*keys).agg(*(precision(n) for n in range(1, most + 1)))
-    joined = lens.join(wide, by, "left") if by else lens.join(F.broadcast(wide))
+    joined = lens.join(wide, by, "left") if by else lens.join(F.broadcast(wide))  # one row each
     ps = [F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, most + 1)]
     brevity = F.when(F.col("lp") == 0, 0.0).when(F.col("lp") > F.col("lr"), 1.0).otherwise(F.exp(1 - F.col("lr") / F.col("lp")))
     logs = sum((F.log(p) for p in ps[1:]), F.log(ps[0]))
-    return joined.select(*keys, "n_samples", F.round(ps[0], 6).alias("bleu1"), F.round(F.when(F.least(*ps) > 0, brevity * F.exp(logs / most)).otherwise(0.0), 6).alias("bleu4"))
+    return joined.select(*keys, "n_samples", F.round(ps[0], digits).alias("bleu1"), F.round(F.when(F.least(*ps) > 0, brevity * F.exp(logs / most)).otherwise(0.0), digits).alias("bleu4"))
 
 
-def vocabulary_conformance(pairs: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Mean, over rows with a token, of the share of tokens in the surface set (column surface)."""
-    tokens = pairs.select("id", F.explode(text.metric_tokens(F.col("pred"))).alias("surface"))
+def evaluated(pairs: DataFrame, by: str, surfaces: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """One row per group (file) with rows: n_samples, bleu1, bleu4, rouge_l, cider and, with surfaces, vocab_conf."""
+    mean = lambda rows, name: rows.groupBy(by).agg(F.round(F.avg(name), digits).alias(name))
+    out = bleu(pairs, by, digits=digits).join(mean(rouge_l(pairs, by), "rouge_l"), by).join(mean(cider(pairs, by), "cider"), by)
+    if surfaces is not None:
+        share = conformity(pairs, surfaces, [by])
+        out = out.join(mean(share, "share").withColumnRenamed("share", "vocab_conf"), by, "left")
+    return out
+
+
+def overlap(pred: Column, ref: Column) -> Column:
+    """Share of the distinct tokens of pred that ref has; 0 without tokens. Both are sets."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(pred, ref)).cast("double"), F.size(pred)), F.lit(0.0))
+
+
+def shuffle_test(pairs: DataFrame, shuffles: int = 100, seed: int = 42) -> DataFrame:
+    """Overlap of paired rows against that of seeded shuffles of the predictions: observed, shuffled (mean) and z."""
+    sets = checkpointed(pairs.select("id", F.array_distinct(text.metric_tokens(F.col("pred"))).alias("p"), F.array_distinct(text.metric_tokens(F.col("ref"))).alias("r")))
+    observed = sets.agg(F.avg(overlap(F.col("p"), F.col("r"))).alias("m")).first()["m"]
+    own = curate.numbered(sets.select(F.col("id").alias("ref_id")), ["ref_id"])
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "k", "id")).alias("draw")
+    drawn = curate.numbered(sets.select(F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("k"), "id").select("k", draw, "id"), ["k", "draw", "id"], by="k")
+    met = drawn.join(own, "row_id").select("k", "id", "ref_id")
+    sims = met.join(sets.select("id", "p"), "id").join(sets.select(F.col("id").alias("ref_id"), "r"), "ref_id").groupBy("k").agg(F.avg(overlap(F.col("p"), F.col("r"))).alias("s"))
+    m = F.lit(observed).cast("double")
+    return sims.agg(F.round(m, 6).alias("observed"), F.round(F.avg("s"), 6).alias("shuffled"), F.round((m - F.avg("s")) / F.stddev_samp("s"), 3).alias("z"))
+
+
+def conformity(pairs: DataFrame, surfaces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, share) of rows with a token: the share of their tokens in the surface set (column surface)."""
+    tokens = pairs.select(*keys, "id", F.explode(text.metric_tokens(F.col("pred"))).alias("surface"))
     known = surfaces.select("surface").distinct().withColumn("hit", F.lit(1))
-    share = tokens.join(known, "surface", "left").groupBy("id").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
-    return share.agg(F.round(F.avg("share"), 6).alias("vocab_conf"), F.count(F.lit(1)).alias("n_scored"))
+    return tokens.join(known, "surface", "left").groupBy(*keys, "id").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
+
+
+def vocabulary_conformance(pairs: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Mean share over the rows that have one."""
+    return conformity(pairs, surfaces, []).agg(F.round(F.avg("share"), 6).alias("vocab_conf"), F.count(F.lit(1)).alias("n_scored"))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -77,6 +116,6 @@ def _rouge(pred: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def rouge_l(pairs: DataFrame) -> DataFrame:
+def rouge_l(pairs: DataFrame, by: str | None = None) -> DataFrame:
     """Per id the LCS F-measure."""
-    return pairs.select("id", _rouge(text.metric_tokens(F.col("pred")), text.metric_tokens(F.col("ref"))).alias("rouge_l"))
+    return pairs.select("id", *([by] if by else []), _rouge(text.metric_tokens(F.col("pred")), text.metric_tokens(F.col("ref"))).alias("rouge_l"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed, text
 from quern.operators import curate
+from quern.session import checkpointed
 from quern.sources.io import table
 
+from .notes import CAPTIONS_SQL, NOTES_SQL, alternation, captions, notes
 from .registry import query
-from .sql import FOLD, NORM, PREPARED, WORDS
+from .sql import META, NORM, PREPARED, WORDS
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +47,10 @@ def fn_dedup_key(spark, sf_dir):
     return prepared(spark, sf_dir).select("doc_id", F.md5("dedup_key").alias("key_md5"))
 
 
-# lines of the documents are short enough to be dropped for every reason
-_LINES = rf"""
-    lines AS (
+# lines of the documents, and a note for each document, so that every reason occurs
+_LINES = f"""
+    {NOTES_SQL}, lines AS (
+        SELECT doc_id, -1 AS line_no, line FROM notes UNION ALL
         SELECT doc_id, i AS line_no, l AS line FROM (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents
         )
@@ -55,13 +58,14 @@ _LINES = rf"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    return notes(spark, sf_dir).select("doc_id", F.lit(-1).alias("line_no"), "line").unionByName(own)
 
 
 @query(rf"""
     WITH {_LINES}, n AS (SELECT *, {NORM.format('line')} AS norm FROM lines)
     SELECT coalesce(CASE WHEN norm = '' THEN 'empty'
-           WHEN regexp_matches(norm, '(?i)(?:^\s*n[/.]?a\s*$)|(?:non\s+penaliz)|(?:non\s+valuto)|(?:^\s*-+\s*$)|(?:^\s*[\.\,;:\*]+\s*$)') THEN 'meta'
+           WHEN regexp_matches(norm, '{META}') THEN 'meta'
            WHEN length(regexp_replace(norm, '[^\p{{L}}\p{{N}}_]', '', 'g')) < 2 THEN 'short' END, 'kept') AS outcome, count(*) AS n
     FROM n GROUP BY 1""")
 def flt_drop_reason(spark, sf_dir):
@@ -76,7 +80,7 @@ _EVAL = ", ".join(f"'{w}'" for w in fixed.PURE_EVAL)
     WITH {_LINES}, t AS (SELECT *, {_W} AS w FROM lines)
     SELECT CASE WHEN len(w) = 1 AND w[1] IN ({_EVAL}) THEN 'PURE_EVAL'
                 WHEN len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_full_match(x, '\d+([,.]\d+)?'))) = 0 THEN 'NUMBER_ONLY'
-                WHEN regexp_matches(line, '(?i)(^\s*valutazione\s+alle\b)|(\bal\s+primo\s+tentativo\b.*\btest\b)|(\bsi\s+e[''’]?\s+chius[oa]\s+il\s+test\b)|(\bschermata\s+dei\s+commenti\b)|(\bsono\s+(ri)?partit[oa]\s+dal\b)|(^\s*peccato\s*[\.\!]*\s*$)|(^\s*non\s+lo\s+so\b)|(\bho\s+dovut[oa]\s+sputarl)') THEN 'SYSTEM_META'
+                WHEN regexp_matches(line, '{alternation(fixed.SYSTEM_META)}') THEN 'SYSTEM_META'
                 ELSE 'kept' END AS reason, count(*) AS n, count(DISTINCT doc_id) AS n_docs
     FROM t GROUP BY 1""")
 def flt_useless_reason(spark, sf_dir):
@@ -84,6 +88,10 @@ def flt_useless_reason(spark, sf_dir):
     return lines(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+#: The one pattern with a lookahead, without it, is searched apart.
+_SO = r"\bnon\s+so\b"
+_SURVEY_META = alternation([p for p in fixed.SURVEY_META if "(?!" not in p])
+_UNSURE = alternation([rf"^\s*{w}\b" for w in fixed.UNCERTAINTY])
 _INTENSE = ", ".join(f"'{w}'" for w in fixed.PURE_INTENSIFIER)
 _SURVEY = ", ".join(f"'{w}'" for w in fixed.SURVEY_EVAL)
 
@@ -92,8 +100,9 @@ _SURVEY = ", ".join(f"'{w}'" for w in fixed.SURVEY_EVAL)
     WITH {_LINES}, t AS (SELECT trim(line, ' ') AS s, count(*) AS f FROM lines GROUP BY 1), w AS (SELECT *, regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_'']+') AS w FROM t),
     c AS (
         SELECT f, unnest(list_filter([
-            CASE WHEN regexp_matches(s, '(?i)^\s*(forse|sembra|potrebbe|credo|direi|pare)\b') THEN 'UNCERTAINTY' END,
-            CASE WHEN regexp_matches(s, '(?i)(\?$)|(^\s*ma\s+)') THEN 'INTERROGATIVE' END,
+            CASE WHEN regexp_matches(s, '{_SURVEY_META}') OR regexp_matches(regexp_replace(s, '(?i){_SO}\s+(come|cosa|se)', '', 'g'), '(?i){_SO}') THEN 'META' END,
+            CASE WHEN regexp_matches(s, '{_UNSURE}') THEN 'UNCERTAINTY' END,
+            CASE WHEN regexp_matches(s, '{alternation(fixed.INTERROGATIVE)}') THEN 'INTERROGATIVE' END,
             CASE WHEN len(w) = 1 AND w[1] IN ({_SURVEY}) THEN 'PURE_EVAL' END,
             CASE WHEN len(w) = 1 AND w[1] IN ({_INTENSE}) THEN 'PURE_INTENSIFIER' END,
             CASE WHEN len(w) = 0 THEN 'EMPTY_AFTER_TOKENIZE' END,
@@ -102,7 +111,7 @@ _SURVEY = ", ".join(f"'{w}'" for w in fixed.SURVEY_EVAL)
     )
     SELECT category, count(*) AS n_unique, CAST(sum(f) AS BIGINT) AS impact FROM c GROUP BY category""")
 def flt_multilabel(spark, sf_dir):
-    """The lookahead of one META pattern has no form in the oracle's dialect; no line of these tables is META."""
+    """The SQL has no lookahead: what it excludes is taken out before the pattern is looked for."""
     unique = lines(spark, sf_dir).groupBy(F.btrim("line").alias("s")).agg(F.count(F.lit(1)).alias("f"))
     return unique.select("f", F.explode(text.categories(F.col("s"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("f").alias("impact"))
 
@@ -155,20 +164,31 @@ def jn_semi_anti(spark, sf_dir):
     return gone.join(kept, "lang", "full").select("lang", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
-@query(f"""
+_BACK = f"""
     WITH {PREPARED}, clean AS (
-        SELECT dedup_key, max(CASE WHEN length(dedup_key) % 7 = 0 THEN 'NON_DESCRITTO' ELSE md5(dedup_key) END) AS cleaned
+        SELECT dedup_key, arg_max(CASE WHEN doc_id % 7 = 0 THEN 'NON_DESCRITTO' ELSE md5(dedup_key || doc_id) END, doc_id) AS cleaned
         FROM prepared WHERE length(dedup_key) % 5 <> 0 GROUP BY dedup_key
-    )
-    SELECT doc_id, CASE WHEN cleaned IS NULL THEN 'missing' WHEN cleaned = 'NON_DESCRITTO' THEN 'sentinel' ELSE 'kept' END AS outcome,
-           CASE WHEN cleaned <> 'NON_DESCRITTO' THEN cleaned END AS cleaned
-    FROM prepared LEFT JOIN clean USING (dedup_key)""")
+    ), back AS (
+        SELECT doc_id, lang, CASE WHEN cleaned IS NULL THEN 'missing' WHEN cleaned = 'NON_DESCRITTO' THEN 'sentinel' ELSE 'kept' END AS outcome,
+               CASE WHEN cleaned <> 'NON_DESCRITTO' THEN cleaned END AS cleaned
+        FROM prepared LEFT JOIN clean USING (dedup_key))"""
+
+
+def _back(spark, sf_dir):
+    """A stand-in for an expensive rewrite gives each key several results, of which the last counts."""
+    rows = checkpointed(prepared(spark, sf_dir).select("doc_id", "lang", F.md5("dedup_key").alias("k"), F.length("dedup_key").alias("n"), F.md5(F.concat("dedup_key", F.col("doc_id").cast("string"))).alias("made")))
+    results = rows.filter("n % 5 <> 0").select("k", "doc_id", F.when(F.col("doc_id") % 7 == 0, fixed.SENTINEL).otherwise(F.col("made")).alias("cleaned"))
+    return curate.brought_back(rows.select("doc_id", "lang", "k"), results, "k", "cleaned", "doc_id", "doc_id")
+
+
+@query(f"{_BACK} SELECT doc_id, outcome, cleaned FROM back")
 def jn_broadcast_back(spark, sf_dir):
-    """A stand-in for an expensive rewrite runs on the distinct keys; its results are joined back to all rows."""
-    rows = prepared(spark, sf_dir).select("doc_id", F.md5("dedup_key").alias("k"), F.length("dedup_key").alias("n"))
-    results = rows.filter("n % 5 <> 0").select("k", F.when(F.col("n") % 7 == 0, fixed.SENTINEL).otherwise(F.col("k")).alias("cleaned")).distinct()
-    out = curate.brought_back(rows, results, "k", "cleaned")
-    return out.select("doc_id", "outcome", F.when(F.col("outcome") == "kept", F.col("cleaned")).alias("cleaned"))
+    return _back(spark, sf_dir).select("doc_id", "outcome", F.when(F.col("outcome") == "kept", F.col("cleaned")).alias("cleaned"))
+
+
+@query(f"{_BACK} SELECT lang, count(*) FILTER (outcome = 'missing') AS n_missing, count(*) FILTER (outcome = 'sentinel') AS n_sentinel, count(*) FILTER (outcome = 'kept') AS n_kept FROM back GROUP BY lang")
+def jn_back_outcomes(spark, sf_dir):
+    return _back(spark, sf_dir).groupBy("lang").agg(*(F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("missing", "sentinel", "kept")))
 
 
 _SALVAGE = """
@@ -246,19 +266,128 @@ def fn_suspicious_chars(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(odd)), "").alias("odd_chars"))
 
 
-@query()
+_MAP = "MAP {" + ", ".join("'{}': '{}'".format(a.replace("'", "''"), b) for a, b in text.EXPANSIONS.items()) + "}"
+_LETTERS = r"\p{L}\p{N}\p{Mn}_''"
+
+
+@query(rf"""
+    WITH {NOTES_SQL}, t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, 'Legg. granoloso ' || line || ' legg Piu piu'' umidita intensit''' FROM notes),
+    p AS (SELECT doc_id, regexp_extract_all(regexp_replace(nfc_normalize(coalesce(text, '')), '[*`]+', '', 'g'), '[{_LETTERS}]+|[^{_LETTERS}]') AS p FROM t),
+    e AS (SELECT doc_id, array_to_string(list_transform(list_transform(p, lambda x: {{'x': x, 'w': trim(x, ''''), 'm': {_MAP}[lower(trim(x, ''''))]}}), lambda s: CASE WHEN s.m IS NULL THEN s.x
+        ELSE regexp_extract(s.x, '^(''*)', 1) || CASE WHEN upper(left(s.w, 1)) = left(s.w, 1) AND lower(left(s.w, 1)) <> left(s.w, 1) THEN upper(left(s.m, 1)) || lower(substr(s.m, 2)) ELSE s.m END || regexp_extract(s.x, '(''*)$', 1) END), '') AS s FROM p)
+    SELECT doc_id, md5(trim(regexp_replace(regexp_replace(s, '{fixed.SPACE}+', ' ', 'g'), '^[ .,;:\-*`"'']+|[ *`"'']+$', '', 'g'), ' ')) AS pre_md5 FROM e""")
 def fn_preprocess(spark, sf_dir):
-    """Word expansion needs a callback per match; golden tests hold it."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.preprocess(F.col("text"), F.col("lang"))).alias("pre_md5"))
+    made = F.concat(F.lit("Legg. granoloso "), "line", F.lit(" legg Piu piu' umidita intensit'"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").unionByName(notes(spark, sf_dir).select((-1 - F.col("doc_id")).alias("doc_id"), "lang", made.alias("text")))
+    return rows.select("doc_id", F.md5(text.preprocess(F.col("text"), F.col("lang"))).alias("pre_md5"))
+
+
+def _canonical_sql() -> str:
+    cases = []
+    for name, pattern, to in fixed.CANONICAL_OPENINGS:
+        new = f"regexp_replace(trim(caption, ' '), '(?i){pattern}', '{to.replace('$1', chr(92) + '1')}')"
+        cases.append(f"WHEN attribute = '{name}' AND {new} <> caption THEN {new} || CASE WHEN regexp_matches({new}, '[.!?]$') THEN '' ELSE '.' END")
+    return "CASE " + " ".join(cases) + " ELSE caption END"
+
+
+def _frame_sql(column: str) -> str:
+    cases = []
+    for name, opening, frame in fixed.FRAMES:
+        pattern = "^" + (opening.replace("(?iU:", "(?i:") if "(?" in opening else opening) + "(.+?)[.!?]?$"
+        before, after = frame.split("{x}")
+        filled = f"replace('{before}' || trim(regexp_extract(trim({column}, ' '), '{pattern}', 1), ' ') || '{after}', '  ', ' ')"
+        cases.append(f"WHEN attribute = '{name}' AND regexp_matches(trim({column}, ' '), '{pattern}') THEN {filled}")
+    return "CASE " + " ".join(cases) + " END"
+
+
+_FRAMED = f"WITH {CAPTIONS_SQL}, c AS (SELECT doc_id, attribute, caption, {_canonical_sql()} AS canonical FROM captions), framed AS (SELECT *, {_frame_sql('canonical')} AS sentence FROM c)"
+
+
+def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = captions(spark, sf_dir).withColumn("canonical", text.canonical_opening(F.col("caption"), F.col("attribute")))
+    return rows.withColumn("sentence", text.sentence(F.col("canonical"), F.col("attribute")))
+
+
+@query(f"{_FRAMED} SELECT doc_id, attribute, md5(canonical) AS canonical_md5, md5(sentence) AS sentence_md5 FROM framed")
+def fn_sentence(spark, sf_dir):
+    """Captions of the whole text with their opening made canonical and put into sentence form."""
+    return framed(spark, sf_dir).select("doc_id", "attribute", F.md5("canonical").alias("canonical_md5"), F.md5("sentence").alias("sentence_md5"))
+
+
+@query(f"""{_FRAMED} SELECT attribute, count(*) AS n, count(sentence) AS n_matched, round(100.0::DOUBLE * count(sentence) / count(*), 4) AS match_pct, count(*) FILTER (canonical <> caption) AS n_rewritten
+    FROM framed GROUP BY attribute""")
+def agg_match_rate(spark, sf_dir):
+    n = F.count(F.lit(1))
+    return framed(spark, sf_dir).groupBy("attribute").agg(n.alias("n"), F.count("sentence").alias("n_matched"), F.round(text.percent(F.count("sentence"), n), 4).alias("match_pct"), F.count_if(F.col("canonical") != F.col("caption")).alias("n_rewritten"))
+
+
+@query(f"{_FRAMED} SELECT attribute, md5(canonical) AS caption_md5, count(*) AS frequency FROM framed WHERE sentence IS NULL GROUP BY ALL ORDER BY frequency DESC, attribute, caption_md5")
+def agg_unmatched_captions(spark, sf_dir):
+    left = framed(spark, sf_dir).filter("sentence IS NULL").groupBy("attribute", F.md5("canonical").alias("caption_md5")).agg(F.count(F.lit(1)).alias("frequency"))
+    return left.orderBy(F.desc("frequency"), "attribute", "caption_md5")
 
 
 @query()
 def fn_sentence_frames(spark, sf_dir):
-    """Captions made of each document's whole text, put into sentence form and polished; golden tests hold it."""
-    docs = table(spark, sf_dir, "documents")
-    names = ["Profumo", "Aroma", "Sapore", "Texture", "Spessore della Crosta", "Struttura della Pasta", "Colore della Pasta"]
-    openings = ["Note olfattive di ", "Note di ", "Al palato, ", "Texture dalla ", "Crosta con ", "Pasta con ", "Pasta dal colore "]
-    i = (F.col("doc_id") % len(names) + 1).cast("int")
-    rows = docs.select("doc_id", F.element_at(F.array(*map(F.lit, names)), i).alias("attribute"), F.concat(F.element_at(F.array(*map(F.lit, openings)), i), F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))).alias("caption"))
-    made = rows.withColumn("sentence", text.polish(text.sentence(text.canonical_opening(F.col("caption"), F.col("attribute")), F.col("attribute"))))
+    """The sentences polished; the articles need lookaheads, which the SQL lacks, and golden tests hold them."""
+    made = framed(spark, sf_dir).withColumn("sentence", text.polish(F.col("sentence")))
     return made.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.count("sentence").alias("n_matched"), F.count_distinct("sentence").alias("n_sentences"))
+
+
+@query(f"""
+    WITH {CAPTIONS_SQL}, r AS (SELECT attribute, md5(caption) AS caption_md5, count(*) AS frequency FROM captions GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY frequency DESC, caption_md5) AS rank, greatest(count(*) OVER (PARTITION BY attribute) - 40, 0) AS n_more FROM r)
+    SELECT * FROM k WHERE rank <= 40""")
+def flt_top_with_remainder(spark, sf_dir):
+    """The first 40 of each attribute, and how many more there are."""
+    r = captions(spark, sf_dir).groupBy("attribute", F.md5("caption").alias("caption_md5")).agg(F.count(F.lit(1)).alias("frequency"))
+    return curate.top_with_remainder(r, ["attribute"], [F.desc("frequency"), F.col("caption_md5")], 40)
+
+
+@query(f"WITH {NOTES_SQL} SELECT line, min(doc_id) AS doc_id FROM notes WHERE regexp_matches(line, '[0-9]') GROUP BY line ORDER BY doc_id LIMIT 10")
+def win_distinct_examples(spark, sf_dir):
+    """The first ten different notes with a digit."""
+    return curate.distinct_examples(notes(spark, sf_dir).filter(F.col("line").rlike("[0-9]")).select("doc_id", "line"), "line", ["doc_id"], 10).select("line", "doc_id")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def srt_longest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
+
+
+_TOKENS = WORDS.replace("lower(text)", "lower(coalesce(text, ''))")
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS}[1:50], ' ') AS head, CAST(least(len({_TOKENS}), 50) AS BIGINT) AS n FROM documents")
+def srt_truncate_tokens(spark, sf_dir):
+    """Token lists cut to 50, which is the operator's purpose."""
+    cut = F.slice(text.word_tokens(F.coalesce("text", F.lit(""))), 1, 50)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cut, " ").alias("head"), F.size(cut).cast("long").alias("n"))
+
+
+@query(rf"""
+    SELECT doc_id, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{fixed.SPACE}+'), lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}_]', '', 'g')), lambda t: t <> ''), ' ')) AS tokens_md5
+    FROM documents""")
+def fn_split_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.split_tokens(F.coalesce("text", F.lit(""))), " ")).alias("tokens_md5"))
+
+
+_RAW = "CASE doc_id % 4 WHEN 0 THEN ' \"' || source || '\" ' WHEN 1 THEN source || chr(10) || 'NON_DESCRITTO' WHEN 2 THEN chr(160) ELSE 'data' || chr(92) || 'images_flat' || chr(92) || source END"
+
+
+@query(f"""
+    WITH r AS (SELECT doc_id, {_RAW} AS raw FROM documents)
+    SELECT doc_id, CASE WHEN contains(raw, 'NON_DESCRITTO') THEN 'NON_DESCRITTO' ELSE trim(regexp_replace(raw, '^{fixed.SPACE}+|{fixed.SPACE}+$', '', 'g'), '"') END AS output,
+           nullif(trim(replace(raw, chr(160), ' '), ' '), '') AS key, CASE WHEN starts_with(replace(raw, chr(92), '/'), 'data/images_flat/') THEN 'data/data/images_flat/' || substr(replace(raw, chr(92), '/'), 18) ELSE replace(raw, chr(92), '/') END AS path
+    FROM r""")
+def fn_cleanup(spark, sf_dir):
+    """Outputs, keys and paths as they come, cleaned."""
+    case, source = F.col("doc_id") % 4, F.col("source")
+    raw = F.when(case == 0, F.concat(F.lit(' "'), source, F.lit('" '))).when(case == 1, F.concat(source, F.lit("\nNON_DESCRITTO"))).when(case == 2, F.lit(" ")).otherwise(F.concat(F.lit("data\\images_flat\\"), source))
+    rows = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return rows.select("doc_id", text.clean_output(F.col("raw")).alias("output"), text.clean_key(F.col("raw")).alias("key"), text.remapped_path(F.col("raw"), "data/images_flat/", "data/data/images_flat/").alias("path"))
+
+
+@query("SELECT doc_id, md5(lower(nfc_normalize(coalesce(text, '')))) AS form_md5 FROM documents")
+def fn_vocabulary_form(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.vocabulary_form(F.coalesce("text", F.lit("")))).alias("form_md5"))

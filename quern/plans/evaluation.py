@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import metrics, sampling
+from quern.operators import metrics
 from quern.sources.io import table
 
 from .registry import query
@@ -54,8 +54,43 @@ def met_bleu(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, {_GRAMS}, grp AS (SELECT id, 'model' || conv_id % 7 AS file FROM pairs), {_BLEU.format(k='file')}")
 def met_per_file(spark, sf_dir):
-    file = F.concat(F.lit("model"), (F.col("conv_id") % 7).cast("string"))
-    return metrics.bleu(pairs(spark, sf_dir).withColumn("file", file), "file")
+    return metrics.bleu(_by_file(pairs(spark, sf_dir)), "file")
+
+
+def _by_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("file", F.concat(F.lit("model"), (F.col("conv_id") % 7).cast("string")))
+
+
+def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.explode(text.metric_tokens(F.col("text"))).alias("surface"))
+
+
+@query(f"""
+    WITH {PAIRS}, {_GRAMS}, f AS (SELECT id, 'model' || conv_id % 7 AS file FROM pairs), tot AS (SELECT file, count(*) AS t FROM f GROUP BY file),
+    df AS (SELECT file, n, g, count(*) AS df FROM rg JOIN f USING (id) GROUP BY ALL),
+    b AS (SELECT id, n, g, coalesce(pg.tf, 0) AS p, coalesce(rg.tf, 0) AS r FROM pg FULL JOIN rg USING (id, n, g)),
+    w AS (SELECT id, n, p * ln((t + 1) / (coalesce(df, 0) + 1)::DOUBLE) AS a, r * ln((t + 1) / (coalesce(df, 0) + 1)::DOUBLE) AS b
+          FROM b JOIN f USING (id) JOIN tot USING (file) LEFT JOIN df USING (file, n, g)),
+    s AS (SELECT id, n, sum(a * b) / ((sqrt(sum(a * a)) + 1e-10) * (sqrt(sum(b * b)) + 1e-10)) AS c FROM w GROUP BY id, n),
+    i AS (SELECT id, sum(c) / 4 * 10 AS cider FROM s GROUP BY id),
+    known AS (SELECT DISTINCT unnest({METRIC_TOKENS.format("text")}) AS surface FROM benchmark),
+    sh AS (SELECT id, count(known.surface) / count(*)::DOUBLE AS share FROM (SELECT id, unnest(p) AS surface FROM tk) LEFT JOIN known USING (surface) GROUP BY id)
+    SELECT file, count(*) AS n_samples, round(avg(coalesce(cider, 0)), 4) AS cider, round(avg(share), 4) AS vocab_conf FROM f LEFT JOIN i USING (id) LEFT JOIN sh USING (id) GROUP BY file""")
+def met_files_cider_conformity(spark, sf_dir):
+    """CIDEr with a group's own document frequencies, and conformity, as the file report has them."""
+    return metrics.evaluated(_by_file(pairs(spark, sf_dir)), "file", _surfaces(spark, sf_dir)).select("file", "n_samples", "cider", "vocab_conf")
+
+
+@query()
+def met_file_report(spark, sf_dir):
+    """All metrics of each file; ROUGE-L has no SQL and is held to the plain recurrence by tests."""
+    return metrics.evaluated(_by_file(pairs(spark, sf_dir)), "file", _surfaces(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS.replace('pairs AS', 'every AS')}, pairs AS (SELECT * FROM every ORDER BY id LIMIT 100), {_GRAMS}, grp AS (SELECT id, 'quick' AS file FROM pairs), {_BLEU.format(k='file')}")
+def met_quick_bleu(spark, sf_dir):
+    """BLEU of the first 100 rows."""
+    return metrics.bleu(pairs(spark, sf_dir).orderBy("id").limit(100).withColumn("file", F.lit("quick")), "file")
 
 
 @query(f"""
@@ -64,8 +99,7 @@ def met_per_file(spark, sf_dir):
     r AS (SELECT id, count(s.surface) / count(*)::DOUBLE AS share FROM t LEFT JOIN s USING (surface) GROUP BY id)
     SELECT round(avg(share), 6) AS vocab_conf, count(*) AS n_scored FROM r""")
 def met_vocab_conf(spark, sf_dir):
-    surfaces = table(spark, sf_dir, "benchmark").select(F.explode(text.metric_tokens(F.col("text"))).alias("surface"))
-    return metrics.vocabulary_conformance(pairs(spark, sf_dir), surfaces)
+    return metrics.vocabulary_conformance(pairs(spark, sf_dir), _surfaces(spark, sf_dir))
 
 
 @query()
@@ -75,21 +109,14 @@ def met_rouge_l(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PAIRS}, o AS (SELECT id, row_number() OVER (ORDER BY id) AS rn, length(pred) AS lp, length(ref) AS lr FROM pairs),
-    k AS (SELECT unnest(range(1, 21)) AS k), sh AS (SELECT k, id, lr, row_number() OVER (PARTITION BY k ORDER BY md5('42|' || k || '|' || id), id) AS rn FROM o, k),
-    obs AS (SELECT avg(least(lp, lr) / greatest(lp, lr, 1)::DOUBLE) AS m FROM o),
-    sim AS (SELECT k, avg(least(o.lp, sh.lr) / greatest(o.lp, sh.lr, 1)::DOUBLE) AS m FROM o JOIN sh USING (rn) GROUP BY k)
-    SELECT round((SELECT m FROM obs), 6) AS observed, round(avg(m), 6) AS shuffled, round(((SELECT m FROM obs) - avg(m)) / stddev_samp(m), 4) AS z FROM sim""")
+    WITH {PAIRS}, o AS (SELECT id, list_distinct({METRIC_TOKENS.format('pred')}) AS p, list_distinct({METRIC_TOKENS.format('ref')}) AS r, row_number() OVER (ORDER BY id) AS rn FROM pairs),
+    sh AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY md5('42|' || k || '|' || id), id) AS rn FROM o, (SELECT unnest(range(1, 101)) AS k)),
+    obs AS (SELECT avg(CASE WHEN len(p) = 0 THEN 0 ELSE len(list_intersect(p, r)) / len(p)::DOUBLE END) AS m FROM o),
+    sim AS (SELECT k, avg(CASE WHEN len(sh.p) = 0 THEN 0 ELSE len(list_intersect(sh.p, o.r)) / len(sh.p)::DOUBLE END) AS m FROM o JOIN sh USING (rn) GROUP BY k)
+    SELECT round((SELECT m FROM obs), 6) AS observed, round(avg(m), 6) AS shuffled, round(((SELECT m FROM obs) - avg(m)) / stddev_samp(m), 3) AS z FROM sim""")
 def met_shuffle_test(spark, sf_dir):
-    """Observed agreement of lengths against 20 seeded shuffles of the references, as a z score."""
-    rows = pairs(spark, sf_dir).select("id", F.length("pred").alias("lp"), F.length("ref").alias("lr"))
-    w = sampling.Window
-    own = rows.withColumn("rn", F.row_number().over(w.orderBy("id")))
-    drawn = rows.select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k"), "id", "lr").withColumn("rn", F.row_number().over(w.partitionBy("k").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "k", "id")), "id")))
-    ratio = lambda a, b: F.least(a, b) / F.greatest(a, b, F.lit(1)).cast("double")
-    obs = own.agg(F.avg(ratio(F.col("lp"), F.col("lr"))).alias("m"))
-    sim = own.select("rn", "lp").join(drawn, "rn").groupBy("k").agg(F.avg(ratio(F.col("lp"), F.col("lr"))).alias("s")).agg(F.avg("s").alias("a"), F.stddev_samp("s").alias("d"))
-    return obs.join(F.broadcast(sim)).select(F.round("m", 6).alias("observed"), F.round("a", 6).alias("shuffled"), F.round((F.col("m") - F.col("a")) / F.col("d"), 4).alias("z"))
+    """Observed token overlap against 100 seeded shuffles of the predictions, as a z score."""
+    return metrics.shuffle_test(pairs(spark, sf_dir))
 
 
 @query("""

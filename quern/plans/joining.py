@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import curate
+from quern.operators import curate, nearest
 from quern.sources.io import table
 
 from .registry import query
@@ -57,45 +57,28 @@ def jn_positional(spark, sf_dir):
           FROM q JOIN e ON q.label <> e.label)
     SELECT vec_id, arg_max(nn, (sim, -nn)) AS nearest, round(max(sim), 6) AS similarity FROM s GROUP BY vec_id""")
 def jn_knn_cosine(spark, sf_dir):
-    """Nearest vector of another label for a stated query set, against all rows. Queries go out in blocks: each task
-    multiplies its rows with a block's matrix and keeps one best row per query, so no pairs are shuffled."""
-    import numpy as np
-    import pandas as pd
-
+    """Nearest vector of another label for a stated query set, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    queries = rows.filter("vec_id % 50 = 0").withColumn("_block", F.floor(F.col("vec_id") / (50 * 512)).cast("int"))
-    packed = queries.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "embedding"))).alias("q"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int"))
-    plan = packed.select("q", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_part"))  # each block to each slice
-
-    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            m = np.array(left["embedding"].tolist(), dtype=float)
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            ids, labels = left["vec_id"].to_numpy(), left["label"].to_numpy()
-            for block in right["q"]:
-                q = np.array([x["embedding"] for x in block], dtype=float)
-                sims = np.round(q @ m.T / np.linalg.norm(q, axis=1, keepdims=True), 9)
-                sims[np.array([x["label"] for x in block])[:, None] == labels[None, :]] = -2
-                for x, s in zip(block, sims, strict=True):
-                    at = np.flatnonzero(s == s.max())
-                    at = at[np.argmin(ids[at])]
-                    if s[at] > -2:
-                        out.append((x["vec_id"], ids[at], s[at]))
-        return pd.DataFrame(out, columns=["vec_id", "nearest", "sim"])
-
-    found = salted.groupBy("_salt").cogroup(plan.groupBy("_part")).applyInPandas(best, "vec_id long, nearest long, sim double")
-    top = found.groupBy("vec_id").agg(F.max_by("nearest", F.struct("sim", -F.col("nearest"))).alias("nearest"), F.max("sim").alias("sim"))
-    return top.select("vec_id", "nearest", F.round("sim", 6).alias("similarity"))
+    return nearest.nearest(rows.filter("vec_id % 50 = 0"), rows, "vec_id", "label", "embedding").select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    q AS (SELECT * FROM e WHERE vec_id % 50 = 0), r AS (SELECT * FROM e WHERE label = 0),
+    s AS (SELECT q.vec_id, q.label AS own, r.vec_id AS nn, round(list_dot_product(q.v, r.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v))), 9) AS sim FROM q JOIN r ON r.vec_id <> q.vec_id)
+    SELECT vec_id, arg_max(nn, (sim, -nn)) AS nearest, round(max(sim), 6) AS similarity, own = 0 AS masked FROM s GROUP BY vec_id, own""")
+def jn_knn_fallback(spark, sf_dir):
+    """Queries whose label all rows share find their nearest among these all the same, and are marked."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("label"), "embedding")
+    found = nearest.nearest(rows.filter("vec_id % 50 = 0"), rows.filter("label = 0"), "vec_id", "label", "embedding", fallback=True)
+    return found.select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"), "masked")
 
 
 @query("""
-    SELECT 'row' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS custom_id, count(l_orderkey) AS n_results, count(*) FILTER (l_orderkey IS NULL) AS n_missing
-    FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey WHERE o_orderkey < 100000 GROUP BY o_orderkey""")
+    SELECT printf('row%05d', o_orderkey) AS custom_id, count(l_orderkey) AS n_results, count(*) FILTER (l_orderkey IS NULL) AS n_missing
+    FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def jn_correlate(spark, sf_dir):
-    """Results brought to their requests by id; requests without a result are counted. The SQL stops below key 100000, the
-    query does not."""
+    """Results brought to their requests by id; requests without a result are counted."""
     o, li = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey")
     n = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     out = o.join(n, o.o_orderkey == n.l_orderkey, "left")

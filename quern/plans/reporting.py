@@ -126,9 +126,8 @@ def fn_sample_id(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.sample_id(F.col("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd"), slot, F.lit(None)).alias("sample_id"))
 
 
-@query("SELECT p_partkey, replace(p_type, ' ', '_') AS slug, replace(p_name || '/' || p_brand, '/', '__') AS flat_name, 'row' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS custom_id, CAST(replace(replace(CAST(p_retailprice AS VARCHAR), '.', ','), ',', '.') AS DOUBLE) AS price FROM part WHERE p_partkey < 100000")
+@query("SELECT p_partkey, replace(p_type, ' ', '_') AS slug, replace(p_name || '/' || p_brand, '/', '__') AS flat_name, printf('row%05d', p_partkey) AS custom_id, CAST(replace(replace(CAST(p_retailprice AS VARCHAR), '.', ','), ',', '.') AS DOUBLE) AS price FROM part")
 def fn_names(spark, sf_dir):
-    """The SQL stops below key 100000, the query does not."""
     p = table(spark, sf_dir, "part")
     written = F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(","))
     return p.select("p_partkey", text.slug(F.col("p_type")).alias("slug"), text.flat_name(F.concat_ws("/", "p_name", "p_brand")).alias("flat_name"), text.custom_id(F.col("p_partkey")).alias("custom_id"), text.decimal_comma(written).alias("price"))

@@ -1,8 +1,13 @@
 """Pieces of SQL that several oracles share."""
 
-NORM = r"""trim(trim(regexp_replace(replace(replace(nfc_normalize(coalesce({}, '')), chr(160), ' '), chr(8203), ''), '[\t\n\x0B\f\r ]+', ' ', 'g')), ' ' || chr(9) || '"''`')"""
-META = r"(?i)(?:^\s*n[/.]?a\s*$)|(?:non\s+penaliz)|(?:non\s+valuto)|(?:^\s*-+\s*$)|(?:^\s*[\.\,;:\*]+\s*$)"
-FOLD = r"""trim(regexp_replace(regexp_replace(lower({}), '[.,;:!?\-]+', ' ', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ')"""
+from quern.functions import fixed
+
+from .notes import alternation
+
+_SPACES = fixed.SPACE.replace("{", "{{").replace("}", "}}")
+NORM = r"""trim(trim(regexp_replace(replace(nfc_normalize(coalesce({}, '')), chr(8203), ''), '""" + _SPACES + r"""+', ' ', 'g')), ' ' || chr(9) || '"''`')"""
+META = alternation(fixed.META_NOTES)
+FOLD = r"""trim(regexp_replace(regexp_replace(lower({}), '[.,;:!?\-]+', ' ', 'g'), '""" + _SPACES + r"""+', ' ', 'g'), ' ')"""
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+')"
 #: documents with norm, reason and key
 PREPARED = rf"""

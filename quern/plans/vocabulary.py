@@ -14,11 +14,11 @@ from .sql import WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.STOP)
 _UNITS = ", ".join(f"'{w}'" for w in fixed.UNITS)
-_FIX = {**fixed.TYPOS, **fixed.ABBREVIATIONS}
+_FIX = text.EXPANSIONS
 _MAP = "MAP {" + ", ".join("'{}': '{}'".format(a.replace("'", "''"), b) for a, b in _FIX.items()) + "}"
 _VOCAB = rf"""
     v AS (
-        SELECT doc_id, lang, list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-zàèéìòù'']+'),
+        SELECT doc_id, lang, list_filter(list_transform(regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[a-zàèéìòù'']+'),
             lambda t: coalesce({_MAP}[trim(t, '''')], trim(t, ''''))), lambda t: length(t) > 2 AND NOT regexp_matches(t, '[0-9]') AND t NOT IN ({_UNITS})) AS w
         FROM documents
     ), tok AS (SELECT lang, unnest(w) AS token FROM v), counts AS (SELECT lang, token, count(*) AS n FROM tok GROUP BY lang, token)"""
@@ -144,8 +144,8 @@ def flt_audit_short(spark, sf_dir):
 def vocab_merge_inflections(spark, sf_dir):
     """Greedy merging depends on first-seen order and is held by a plain restatement in the tests."""
     seen = table(spark, sf_dir, "documents").select("lang", "doc_id", F.posexplode(text.vocabulary_tokens(F.col("text"))).alias("pos", "token"))
-    counts = seen.withColumn("token", vocab.stem(F.col("token"))).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id") * 1_000_000 + F.col("pos")).alias("first_at"))
-    return vocab.inflections(counts, "lang")
+    counts = seen.groupBy("lang", vocab.stem(F.col("token")).alias("token")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first_at"))
+    return vocab.inflections(counts, "lang", ["first_at"])
 
 
 @query(f"""
@@ -157,19 +157,30 @@ def fn_restore_accent(spark, sf_dir):
 
 @query(f"""
     WITH {_VOCAB}, top AS (SELECT lang, token FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS r FROM counts) WHERE r <= 60)
-    SELECT v.doc_id, count(*) AS n_matches, count(DISTINCT u.token) AS n_lemmas
-    FROM (SELECT doc_id, lang, unnest(w) AS token FROM v) u JOIN top ON top.lang = u.lang AND top.token = u.token JOIN v USING (doc_id) GROUP BY v.doc_id""")
+    SELECT lang, doc_id, n_matches, n_lemmas, row_number() OVER (PARTITION BY lang ORDER BY n_matches DESC, doc_id) AS rank FROM (
+        SELECT v.lang, v.doc_id, count(top.token) AS n_matches, count(DISTINCT top.token) AS n_lemmas
+        FROM v LEFT JOIN (SELECT doc_id, lang, unnest(w) AS token FROM v) u USING (doc_id) LEFT JOIN top ON top.lang = u.lang AND top.token = u.token GROUP BY v.lang, v.doc_id)""")
 def jn_vocab_matches(spark, sf_dir):
-    """Rows ranked by their matches with the group's vocabulary, at least one."""
+    """Rows ranked by their matches with the group's vocabulary; those without any come last and are the residual list."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(text.vocabulary_tokens(F.col("text"))).alias("token"))
     top = curate.rank_within(words(spark, sf_dir), ["lang"], [F.desc("n"), F.col("token")]).filter("rank <= 60").select("lang", "token")
-    return rows.join(F.broadcast(top), ["lang", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct("token").alias("n_lemmas"))
+    found = rows.join(F.broadcast(top), ["lang", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct("token").alias("n_lemmas"))
+    every = table(spark, sf_dir, "documents").select("lang", "doc_id").join(found, "doc_id", "left").na.fill(0, ["n_matches", "n_lemmas"])
+    at = curate.numbered(every, ["lang", F.desc("n_matches"), "doc_id"], by="lang")
+    return at.select("lang", "doc_id", "n_matches", "n_lemmas", (F.col("row_id") + 1).alias("rank"))
 
 
 @query(f"""
-    WITH {_VOCAB}, top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS r FROM counts)
-    SELECT lang, 'Attribute: ' || lang || chr(10) || 'Vocabulary: ' || string_agg(token, ', ' ORDER BY r) AS prompt FROM top WHERE r <= 60 GROUP BY lang""")
+    WITH {_VOCAB}, top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS r FROM counts), listed AS (SELECT lang, string_agg(token, ', ' ORDER BY r) AS v FROM top WHERE r <= 60 GROUP BY lang)
+    SELECT lang, 'Attribute: ' || lang || '. Notes in ' || lang || chr(10) || 'Style: short' || chr(10) || chr(10) || '1. Keep all.' || chr(10) || '2. Invent nothing.' || chr(10) || chr(10) || 'Vocabulary: ' || v || chr(10) || chr(10)
+        || 'Phrases: panna cotta, burro fuso' || chr(10) || chr(10) || 'Examples (1):' || chr(10) || '  Given: "legg ' || lang || '"' || chr(10) || '  Wanted: "leggermente ' || lang || '."' AS prompt FROM listed""")
 def fn_prompt(spark, sf_dir):
-    top = curate.rank_within(words(spark, sf_dir), ["lang"], [F.desc("n"), F.col("token")], "r").filter("r <= 60")
-    listed = top.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), ", ").alias("v"))
-    return listed.select("lang", F.format_string("Attribute: %s\nVocabulary: %s", "lang", "v").alias("prompt"))
+    top = curate.rank_within(words(spark, sf_dir), ["lang"], [F.desc("n"), F.col("token")]).filter("rank <= 60")
+    example = F.array(F.struct(F.concat(F.lit("legg "), "lang").alias("given"), F.concat(F.lit("leggermente "), "lang", F.lit(".")).alias("wanted")))
+    config = table(spark, sf_dir, "documents").select("lang").distinct().select("lang", F.concat(F.lit("Notes in "), "lang").alias("intro"), F.lit("short").alias("style"), F.array(F.lit("1. Keep all."), F.lit("2. Invent nothing.")).alias("rules"), F.array(F.lit("panna cotta"), F.lit("burro fuso")).alias("phrases"), example.alias("examples"))
+    return vocab.system_prompts(top, "lang", config)
+
+
+@query("""SELECT doc_id, 'Rewrite this note for "' || lang || '" by the rules.' || chr(10) || 'Note: "' || source || '"' || chr(10) || 'Caption:' AS prompt FROM documents""")
+def fn_user_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", vocab.user_prompt(F.col("lang"), F.col("source")).alias("prompt"))

@@ -79,7 +79,7 @@ def test_path(spark):
 
 def test_merged_inflections():
     counts = {"rotondo": 5, "rotonda": 3, "rotondi": 1, "spessa": 2, "spessi": 4, "occhi": 9}
-    head = vocab.merged_inflections(counts, list(counts))
+    head = vocab.leaders(list(counts.items()))
     assert head == {"rotondo": "rotondo", "rotonda": "rotondo", "rotondi": "rotondo", "spessa": "spessi", "spessi": "spessi", "occhi": "occhi"}
 
 
