@@ -5,9 +5,10 @@ together and sorted by their content, and every block takes the smallest block i
 paired and the pairs named the same way, level by level, until each document has a single name. Names come from
 comparing contents, never from a hash, so two documents share (levels, name) exactly when their texts are equal.
 
-Blocks that more than one in HOT_SHARE rows has, fewer than HOT_SHARE of them, are named apart: their contents are
-listed, sorted and named -1, -2, .. on the driver, and broadcast; their rows are dealt evenly, so that a third of all
-rows may be one text. Hashes only decide which contents are listed. Every other block has at most one in HOT_SHARE rows.
+The HOT_KEYS most frequent contents are dealt over SALTS tasks first; the smallest block of each content and task,
+HOT_KEYS * SALTS at most, is then named by its content in a second step. Any other content has less than one in
+HOT_KEYS of the rows. So a third of all rows may be one text. Hashes only decide where rows are sent, not what they
+are called.
 
 Null text counts as empty. Repeated rows are members of one group like any other copies and one of them is kept.
 Rows with a null id are members too, and are kept only where a group has no other. An empty table gives an empty
@@ -22,49 +23,43 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, SPREAD, ascii_lower, checkpointed, joined_back, read_table
+from .common import ascii_lower, checkpointed, joined_back, read_table
 
-BLOCK_CHARS = 1024
+BLOCK_CHARS = 2048
+HOT_KEYS, HOT_ROWS = 999, 64
+SALTS = 256
 
 
 def _named(rows: DataFrame, key: Column, keep: list[str]) -> DataFrame:
-    """keep and _name: one number for rows with an equal key, the smallest _id among them or a negative one."""
-    spark, keyed = rows.sparkSession, rows.withColumn("_key", key)
-    counted = checkpointed(keyed.groupBy(F.xxhash64("_key").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")))
-    total = counted.agg(F.sum("_n").alias("t")).first()["t"] or 0
-    often = [r["_hash"] for r in counted.filter(F.col("_n") * HOT_SHARE > total).filter("_n > 1").collect()]
-    if often:
-        listed = keyed.filter(F.xxhash64("_key").isin(often)).select("_key").distinct().orderBy("_key").collect()
-        hot = spark.createDataFrame([(r["_key"], -1 - i) for i, r in enumerate(listed)], keyed.select(F.col("_key").alias("_hot_key"), F.lit(0).cast("long").alias("_hot_name")).schema)
-        keyed = keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left").drop("_hot_key")
-    else:
-        keyed = keyed.withColumn("_hot_name", F.lit(None).cast("long"))
-    rest = F.col("_hot_name").isNull()
-    apart = keyed.select(*keep, "_hot_name", F.when(rest, F.col("_key")).alias("_key"), F.when(rest, F.lit(-1)).otherwise(F.pmod(F.xxhash64("_id"), F.lit(SPREAD))).alias("_to"))
-    together = Window.partitionBy("_key", "_to")
-    return apart.select(*keep, F.coalesce("_hot_name", F.min("_id").over(together)).alias("_name"))
+    """keep and _name: the smallest _id among the rows with an equal key."""
+    keyed = rows.withColumn("_key", key)
+    often = keyed.groupBy(F.xxhash64("_key").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= HOT_ROWS)
+    hot = [r["_hash"] for r in often.orderBy(F.desc("_n"), "_hash").limit(HOT_KEYS).collect()]
+    salt = F.when(F.xxhash64("_key").isin(hot), F.pmod(F.xxhash64("_id"), F.lit(SALTS))) if hot else F.lit(None).cast("long")
+    salted = keyed.withColumn("_salt", salt)
+    local = salted.withColumn("_local", F.min("_id").over(Window.partitionBy("_key", "_salt")))
+    stands = F.when(F.col("_salt").isNotNull() & (F.col("_id") == F.col("_local")), F.col("_key"))
+    named = checkpointed(local.select(*keep, F.col("_local").alias("_name"), stands.alias("_stands")))
+    if not hot:
+        return named.drop("_stands")
+    apart = named.filter(F.col("_stands").isNotNull()).select(F.col("_name").alias("_from"), "_stands")
+    first = apart.groupBy("_stands").agg(F.min("_from").alias("_to"))
+    again = apart.join(first, "_stands").filter("_from <> _to").select("_from", "_to")  # HOT_KEYS * SALTS rows at most
+    return named.join(F.broadcast(again), F.col("_name") == F.col("_from"), "left").select(*keep, F.coalesce("_to", "_name").alias("_name"))
 
 
 def name_documents(docs: DataFrame, text: Column, carry: list[Column], block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per input row: _row (unique long), carry, _levels and _name; equal (_levels, _name) means equal texts."""
-    size = F.greatest(F.ceil(F.length("_text") / F.lit(block_chars)), F.lit(1)).cast("int")
     wide = docs.select(*carry, text.alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    names = [c for c in wide.columns if c != "_text"]
-    blocks = (
-        wide.withColumn("_n", size)
-        .select(*names, "_n", "_text", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_pos"))
-        .select(
-            *names,
-            "_n",
-            "_pos",
-            F.substring(F.col("_text"), F.col("_pos") * block_chars + 1, F.lit(block_chars)).alias("_block"),
-            F.monotonically_increasing_id().alias("_id"),
-        )
-    )
-    rest = [*names, "_n", "_pos", "_id"]
-    named = checkpointed(_named(blocks, F.col("_block"), rest))
+    carried = [c for c in wide.columns if c not in ("_text", "_row")]
+    cut = F.when(F.length("_text") <= block_chars, F.array("_text")).otherwise(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
+    blocks = wide.select(*carried, "_row", cut.alias("_cut")).select(*carried, "_row", F.size("_cut").alias("_n"), F.posexplode("_cut").alias("_pos", "_block"))
+    # a document's first block carries what goes with the document
+    blocks = blocks.select(*(F.when(F.col("_pos") == 0, F.col(c)).alias(c) for c in carried), "_row", "_n", "_pos", "_block", F.monotonically_increasing_id().alias("_id"))
+    rest = [*carried, "_row", "_n", "_pos", "_id"]
+    named = _named(blocks, F.col("_block"), rest)
     most = named.agg(F.max("_n").alias("m")).first()["m"] or 1
-    pick = lambda level: named.filter("_n = 1").select(*names, F.lit(level).alias("_levels"), "_name")
+    pick = lambda level: named.filter("_n = 1").select("_row", *carried, F.lit(level).alias("_levels"), "_name")
     done, level = pick(0), 0
     while most > 1:
         level, most = level + 1, -(-most // 2)
@@ -73,14 +68,14 @@ def name_documents(docs: DataFrame, text: Column, carry: list[Column], block_cha
             named.filter("_n > 1")
             .groupBy("_row", F.floor(F.col("_pos") / 2).cast("int").alias("_pos"))
             .agg(
-                *(F.first(c).alias(c) for c in names if c != "_row"),
+                *(F.max(c).alias(c) for c in carried),
                 F.ceil(F.first("_n") / 2).cast("int").alias("_n"),
                 F.min("_id").alias("_id"),
-                F.max(F.when(~odd, F.struct("_name"))).alias("_a"),
-                F.max(F.when(odd, F.struct("_name"))).alias("_b"),
+                F.max(F.when(~odd, F.col("_name"))).alias("_a"),
+                F.coalesce(F.max(F.when(odd, F.col("_name"))), F.lit(-1)).alias("_b"),
             )
         )
-        named = checkpointed(_named(pairs, F.struct("_a", "_b"), rest))
+        named = _named(pairs, F.struct("_a", "_b"), rest)
         done = done.unionByName(pick(level))
     return done
 
