@@ -9,9 +9,10 @@ Equal sets form a class first, and classes stand for their members. Candidates a
 1. Star rounds: each bucket (band and value) has a pivot; each text is compared with one pivot of its buckets, on the
    full sets; confirmed links are united; other pivots follow in the next round for buckets still in several
    components. A pivot's members are compared in slices, in a stream that holds one set besides the pivot's.
-2. The rest, exactly: texts joined by buckets still in several components form clusters. Within a cluster all members
-   of different components are compared on their full sets in blocks of BLOCK by BLOCK, as bit sets. Only confirmed
-   links leave a task, at most one for each component.
+2. The rest, exactly: texts joined by buckets still in several components form clusters. All members of a cluster that
+   are in different components are compared on their full sets in blocks of BLOCK by BLOCK, as bit sets; or, where that
+   makes fewer pairs (a chain of many small buckets), those of each of its buckets. Only confirmed links leave a task,
+   at most one for each component.
    So a link is lost only where its two texts are already in one component.
 
 Joins that a large class, bucket or cluster would draw into one task are made by joined_back, which deals its rows evenly.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined_back, read_table
+from .common import checkpointed, joined_back, read_table, stored
 
 SHINGLE, COORDS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
@@ -111,24 +112,24 @@ def similar(a: np.ndarray, b: np.ndarray, numerator: int = NUMERATOR, denominato
     return denominator * both >= numerator * (a.size + b.size - both)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int, coords: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Per text the size of its set, a digest that names it, and its band keys (the signature itself is not kept)."""
     import xxhash
 
     for batch in batches:
-        sizes, digests, sigs = [], [], []
+        sizes, digests, bands = [], [], []
         for text in batch.column("_text").to_pylist():
             s = shingles(text, shingle)
             sizes.append(s.size)
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if s.size else None)
-            sigs.append(signature(s, coords).tobytes() if s.size else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n", "digest", "sig"])
+            bands.append(band_keys(signature(s, coords)[None, :], rows).tobytes() if s.size else None)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())], ["id", "n", "digest", "bands"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-            keys = band_keys(sigs, rows)
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64).reshape(batch.num_rows, -1)
             ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(ids, pa.int64())], ["band", "id"])
 
@@ -203,17 +204,17 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = VOCAB
 
 
 def _cross_links(rows: DataFrame, block: int, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    """rows (cluster, n, id, comp, _text), n the cluster's rows: confirmed links (id, head) that unite its components.
+    """rows (kind, group, n, id, comp, _text), n the group's rows: confirmed links (id, head) that unite its components.
 
-    A cluster of k blocks goes to its block pairs (i, j), i <= j, so every pair of its members meets once; all pairs
+    A group of k blocks goes to its block pairs (i, j), i <= j, so every pair of its members meets once; all pairs
     of a block pair are measured on their full sets, and only links that unite something leave the task.
     """
     cut = rows.withColumn("_k", F.ceil(F.col("n") / block).cast("int")).withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     others = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    placed = others.select("cluster", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "id", "comp", "_text")
+    placed = others.select("kind", "group", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "id", "comp", "_text")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j = key[2].as_py(), key[3].as_py()
         own, ids, comps = (table[c].to_numpy() for c in ("_c", "id", "comp"))
         sets = [shingles(t, shingle) for t in table["_text"].to_pylist()]
         sizes, lead = np.array([x.size for x in sets]), {}
@@ -237,7 +238,7 @@ def _cross_links(rows: DataFrame, block: int, shingle: int, numerator: int, deno
                 b.append(min(ids[x], ids[y]))
         return pa.table({"id": pa.array(a, pa.int64()), "head": pa.array(b, pa.int64())})
 
-    return placed.groupBy("cluster", "i", "j").applyInArrow(compare, "id long, head long")
+    return placed.groupBy("kind", "group", "i", "j").applyInArrow(compare, "id long, head long")
 
 
 def near_groups(
@@ -253,18 +254,18 @@ def near_groups(
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    every = checkpointed(texts.mapInArrow(lambda it: _sets(it, shingle, coords), "id long, n long, digest binary, sig binary"))
+    every = stored(texts.mapInArrow(lambda it: _sets(it, shingle, coords, rows), "id long, n long, digest binary, bands binary"))
     sets = every.filter("n > 0 AND id IS NOT NULL")
     classes = checkpointed(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")))
     member = checkpointed(joined_back(sets.select("id", "digest"), classes, ["digest"], "k", "id").select("id", "rep").distinct())
     # sets of one id that fall in different classes are united through the id
     same_id = member.groupBy("id").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    nodes = sets.join(classes, (sets.digest == classes.digest) & (sets.id == classes.rep)).select(sets.id, "sig").dropDuplicates(["id", "sig"])
-    bands = nodes.mapInArrow(lambda it: _bands(it, rows), "band long, id long")
+    nodes = sets.join(classes, (sets.digest == classes.digest) & (sets.id == classes.rep)).select(sets.id, "bands").dropDuplicates(["id", "bands"])
+    bands = nodes.mapInArrow(_bands, "band long, id long")
     full = checkpointed(bands.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("k")).filter("head <> _last"))
     buckets = checkpointed(joined_back(bands, full, ["band"], "k", "id").filter("head IS NOT NULL").select("band", "id", "head"))
     involved = buckets.select("id").distinct()
-    held = checkpointed(texts.join(involved, "id", "left_semi"))
+    held = stored(texts.join(involved, "id", "left_semi"))
     # one candidate per text and round: the smallest pivot among its buckets
     pairs = buckets.filter("id <> head").groupBy("id").agg(F.min("head").alias("head"))
     links = checkpointed(_verified(held, pairs, shingle, numerator, denominator))
@@ -283,12 +284,16 @@ def near_groups(
         links = checkpointed(links.unionByName(_verified(held, pairs, shingle, numerator, denominator)))
         tried += 1
     if still.limit(1).count():
-        # texts joined by open buckets form clusters; each text is sent once to each block pair of its cluster
+        # texts joined by open buckets form clusters; each text is sent once to each block pair of its groups
         heads = still.groupBy("band").agg(F.min("id").alias("head"))
         cluster = components(checkpointed(still.select("band", "id").join(heads, "band").select("id", "head").distinct())).withColumnRenamed("comp", "cluster")
-        placed = checkpointed(still.select("id", "comp").distinct().join(cluster, "id"))
-        sizes = checkpointed(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
-        members = joined_back(placed, sizes, ["cluster"], "n", "id").join(held, "id")
+        placed = checkpointed(still.select("band", "id", "comp").distinct().join(cluster, "id"))
+        together = placed.select("cluster", "id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        apart = placed.groupBy("cluster", "band").agg(F.count(F.lit(1)).cast("double").alias("b")).groupBy("cluster").agg(F.sum(F.col("b") * F.col("b")).alias("pairs"))
+        fewer = checkpointed(together.join(apart, "cluster").select("cluster", "n", (F.col("pairs") < F.col("n").cast("double") * F.col("n")).alias("kind")))
+        told = joined_back(placed, fewer, ["cluster"], "n", "id").select("kind", F.when(F.col("kind"), F.col("band")).otherwise(F.col("cluster")).alias("group"), "id", "comp").distinct()
+        sizes = checkpointed(told.groupBy("kind", "group").agg(F.count(F.lit(1)).alias("n")))
+        members = joined_back(told, sizes, ["kind", "group"], "n", "id").join(held, "id")
         more = _cross_links(members, BLOCK, shingle, numerator, denominator)
         label = components(checkpointed(links.unionByName(more)))
     united = checkpointed(same_id.select("id", "head"))
