@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a time-varying curriculum; DataFrame functions only.
 
 Each source has a weight and a weight schedule over training time t in [0, 1]: a straight line from begin to end with
-mean 1. Sizes are word counts. A source's target is its weight's share of all words; a target stops at max_epochs
+mean 1 (sources are ordered in one task: a row for each, so some millions of them at most). Sizes are word counts. A source's target is its weight's share of all words; a target stops at max_epochs
 times the source's size and the excess goes to the others by weight until none is above (solved in closed form: in
 the order of max_epochs * size / weight the capped sources come first).
 
