@@ -114,9 +114,9 @@ def jn_edit_distance(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_VOCAB}, c AS (SELECT lang, token FROM counts WHERE n >= 3),
-    x AS (SELECT lang, token, left(token, length(token) - 1) || v AS other FROM c, (VALUES ('a'), ('e'), ('i'), ('o')) t(v) WHERE length(token) >= 4 AND regexp_matches(token, '[aeio]$'))
-    SELECT DISTINCT x.lang, least(x.token, other) AS token_a, greatest(x.token, other) AS token_b FROM x JOIN c ON c.lang = x.lang AND c.token = other WHERE x.token <> other""")
+    WITH {_VOCAB}, c AS (SELECT lang, token, n FROM counts WHERE n >= 3), vowel AS (SELECT unnest(['a', 'e', 'i', 'o']) AS v),
+    x AS (SELECT lang, token, n, token || v AS other FROM c, vowel UNION ALL SELECT lang, token, n, left(token, length(token) - 1) || v FROM c, vowel WHERE regexp_matches(token, '[aeio]$'))
+    SELECT DISTINCT x.lang, least(x.token, other) AS token_a, greatest(x.token, other) AS token_b, x.n + c.n AS n FROM x JOIN c ON c.lang = x.lang AND c.token = other WHERE x.token <> other""")
 def jn_variant_pairs(spark, sf_dir):
     return vocab.variant_pairs(words(spark, sf_dir).filter("n >= 3"), "lang")
 
