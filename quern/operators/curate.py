@@ -12,10 +12,15 @@ from quern.operators.joins import joined_back, small
 from quern.session import checkpointed
 
 
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """withColumn for a costly expression that several others use: a generator of one row, through which the optimizer
+    neither repeats the expression for each use nor moves filters that would."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def prepared(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds norm and drop_reason (empty, meta, short or null)."""
-    norm = df.withColumn("norm", text.normalize(F.col(text_col)))
-    return norm.withColumn("drop_reason", text.drop_reason(F.col("norm")))
+    return once(once(df, "norm", text.normalize(F.col(text_col))), "drop_reason", text.drop_reason(F.col("norm")))
 
 
 def numbered(df: DataFrame, order: list[str | Column], by: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from .sql import META, NORM, PREPARED, WORDS
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = curate.prepared(table(spark, sf_dir, "documents"))
-    return docs.withColumn("dedup_key", text.dedup_key(F.col("norm"), F.col("lang")))
+    return curate.once(docs, "dedup_key", text.dedup_key(F.col("norm"), F.col("lang")))
 
 
 @query(f"""
@@ -330,8 +330,8 @@ def agg_unmatched_captions(spark, sf_dir):
 @query()
 def fn_sentence_frames(spark, sf_dir):
     """The sentences polished; the articles need lookaheads, which the SQL lacks, and golden tests hold them."""
-    made = framed(spark, sf_dir).withColumn("sentence", text.polish(F.col("sentence")))
-    return made.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.count("sentence").alias("n_matched"), F.count_distinct("sentence").alias("n_sentences"))
+    made = framed(spark, sf_dir).groupBy("attribute", F.md5(text.polish(F.col("sentence"))).alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    return made.groupBy("attribute").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("c"))), F.lit(0)).alias("n_matched"), F.count("h").alias("n_sentences"))
 
 
 @query(f"""

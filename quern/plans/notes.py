@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
+from quern.functions.text import SPACES
 from quern.sources.io import table
 
 #: {} stands for the document's source.
@@ -46,6 +47,6 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.lower(F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), fixed.SPACE + "+", " ")))
+    words = F.lower(F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")))
     stop = F.when(F.col("doc_id") % 3 == 0, ".").otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", pick(ATTRIBUTES).alias("attribute"), F.concat(F.coalesce(F.nullif(pick(OTHERS), F.lit("")), pick(OPENINGS)), words, stop).alias("caption"))
