@@ -4,10 +4,11 @@ Every byte covered by a string of LENGTH bytes that also starts in a document wi
 
 A string of LENGTH bytes is filed under the least hash of the GRAM-byte strings in it, so equal strings are filed
 under one key. A document's consecutive strings with one key form a segment (MOST_STRINGS strings at most). Keys that
-occur in one document only are left out: they are counted over all documents and held in bitmaps; a false hit only
-costs work. The key space is worked off in slices, one for each 2**BITMAP_LOG2 bits that the text asks for (a bit for
-BYTES_PER_BIT bytes) up to SLICES_MOST, so a broadcast has a fixed bound; beyond SLICES_MOST the bitmaps fill and more
-segments are filed for nothing, at most one for each string, with the same result.
+occur in one document only are left out. Up to SLICES_MOST * 2**BITMAP_LOG2 * BYTES_PER_BIT bytes of text, keys are
+counted over all documents and held in bitmaps; a false hit only costs work. The key space is worked off in slices, one
+for each 2**BITMAP_LOG2 bits that the text asks for (a bit for BYTES_PER_BIT bytes), so a broadcast has a fixed bound.
+Larger collections of documents have no bitmaps: a row for each segment meets the counts of its key by joins, and the
+shared ones return to their documents, which moves more but has no bound to reach. Both give the same result.
 
 A segment is filed with its places (document and offset), so that what it loses needs no join. Keys found in HOT
 documents or more (a passage that a share of all rows holds) are worked apart: their strings are filed one by one under
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import checkpointed, joined_back, read_table, stored
 
 LENGTH, GRAM, MOST_STRINGS = 50, 32, 64
 #: A bitmap has as many bits as its expected entries ask for, and 2**BITMAP_LOG2 at most.
@@ -331,26 +332,62 @@ _RANGE = struct.Struct("<ii")
 LOST = "id long, _hash long, lost binary"  # lost: pairs of 32-bit start and end
 
 
-def _hits(batch: pa.RecordBatch, bits: tuple[np.ndarray, np.ndarray], log2: int, hot: bool, length: int, gram: int, part: int, parts_log2: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, key, start, end) of the shared segments, hot ones or others; positions in the column's bytes."""
-    data, at = bytes_of(batch.column("_text"))
-    for keys, starts, stops in runs_in(data, at, length, gram):
-        here, keys = in_slice(keys, part, parts_log2)
-        keep = _probe(bits[0], keys, log2)
-        keep[keep] = _probe(bits[1], keys[keep], hot_bits(log2)) == hot
-        starts, stops = starts[here][keep], stops[here][keep]
-        yield from zip((np.searchsorted(at, starts, "right") - 1).tolist(), keys[keep].view(np.int64).tolist(), starts.tolist(), stops.tolist(), strict=True)
+#: (row, key, start, end) of a batch's shared segments, hot ones or others; positions in the bytes of its texts.
+Hits = Callable[[pa.RecordBatch, bool], Iterator[tuple[int, int, int, int]]]
 
 
-def _file(batches: Iterator[pa.RecordBatch], searched: np.ndarray, id_log2: int, length: int, **how) -> Iterator[pa.RecordBatch]:
+def hits_by_bitmap(bits: Callable[[], tuple[np.ndarray, np.ndarray]], log2: int, length: int, gram: int, part: int, parts_log2: int) -> Hits:
+    def hits(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple[int, int, int, int]]:
+        shared, many = bits()
+        data, at = bytes_of(batch.column("_text"))
+        for keys, starts, stops in runs_in(data, at, length, gram):
+            here, keys = in_slice(keys, part, parts_log2)
+            keep = _probe(shared, keys, log2)
+            keep[keep] = _probe(many, keys[keep], hot_bits(log2)) == hot
+            starts, stops = starts[here][keep], stops[here][keep]
+            yield from zip((np.searchsorted(at, starts, "right") - 1).tolist(), keys[keep].view(np.int64).tolist(), starts.tolist(), stops.tolist(), strict=True)
+
+    return hits
+
+
+def hits_by_column(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple[int, int, int, int]]:
+    """From column found: the shared segments of each text."""
+    begins = bytes_of(batch.column("_text"))[1].tolist()
+    for row, found in enumerate(batch.column("found").to_pylist()):
+        for x in found:
+            if x["hot"] == hot:
+                yield row, x["key"], begins[row] + x["at"], begins[row] + x["at"] + x["strings"]
+
+
+def _listed(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """A row (key, id, _hash, at, strings) for each segment."""
+    for whole in batches:
+        for batch in _parts(whole, FILED_BYTES):
+            data, at = bytes_of(batch.column("_text"))
+            for keys, starts, stops in runs_in(data, at, length, gram):
+                rows = np.searchsorted(at, starts, "right") - 1
+                cols = (keys.view(np.int64), batch.column("id").to_numpy()[rows], batch.column("_hash").to_numpy()[rows], (starts - at[rows]).astype(np.int32), (stops - starts).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "_hash", "at", "strings"])
+
+
+def with_shared_segments(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """docs (id, _text, _hash) with a column found, its segments whose key another document has; docs without are left out."""
+    listed = docs.mapInArrow(lambda it: _listed(it, length, gram), "key long, id long, _hash long, at int, strings int")
+    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi")
+    counts = checkpointed(counts.select("key", "n", (F.col("n") >= hot).alias("hot")))
+    shared = joined_back(listed, counts, ["key"], "n", "id").filter(F.col("hot").isNotNull())
+    found = shared.groupBy("id", "_hash").agg(F.collect_list(F.struct("key", "at", "strings", "hot")).alias("found"))
+    return stored(docs.join(found, ["id", "_hash"]).select("id", "_text", "_hash", "found"))
+
+
+def _file(batches: Iterator[pa.RecordBatch], hits: Hits, length: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, piece, places) of the segments whose key is shared and not hot, equal ones of a batch put together."""
     for whole in batches:
-        whole = whole.filter(_among(whole, searched, id_log2))
         for batch in _parts(whole, FILED_BYTES):
             ids, hashes = batch.column("id").to_pylist(), batch.column("_hash").to_pylist()
             data, at = bytes_of(batch.column("_text"))
             view, begins, filed = memoryview(data), at.tolist(), {}
-            for row, key, a, b in _hits(batch, hot=False, length=length, **how):
+            for row, key, a, b in hits(batch, False):
                 place = _PLACE.pack(ids[row], hashes[row], a - begins[row])
                 at_key = (key, bytes(view[a:b + length - 1]))
                 if at_key in filed:
@@ -426,20 +463,19 @@ def _lost(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     yield flush()
 
 
-def _hot_lost(docs: DataFrame, searched, id_log2: int, length: int, how: Callable[[], dict]) -> DataFrame:
+def _hot_lost(docs: DataFrame, hits: Hits, only: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], length: int) -> DataFrame:
     """What documents lose by the strings of hot keys: each string is filed under its own hash, without places."""
 
     def cut(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            batch = batch.filter(_among(batch, np.frombuffer(searched.value, np.uint8), id_log2))
+        for batch in only(batches):
             ids, hashes = batch.column("id").to_pylist(), batch.column("_hash").to_pylist()
             data, at = bytes_of(batch.column("_text"))
             view, begins = memoryview(data), at.tolist()
             rows: list[tuple] = []
             best: dict[bytes, int] = {}
-            for row, _, a, b in _hits(batch, hot=True, length=length, **how()):
+            for row, _, a, b in hits(batch, True):
                 for i in range(a, b):
                     piece = bytes(view[i:i + length])
                     if places:
@@ -486,35 +522,53 @@ def _hot_lost(docs: DataFrame, searched, id_log2: int, length: int, how: Callabl
     return places.join(least, ["key", "seg"]).filter("least < id").select("id", "_hash", "at").mapInArrow(pack, LOST)
 
 
-def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int, id_log2: int, parts_log2: int = 0) -> DataFrame:
-    """docs (id, _text, _hash, _place) -> (id, _hash, ranges): merged byte ranges to remove, end exclusive.
+def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int, id_log2: int, parts_log2: int | None = 0) -> DataFrame:
+    """docs (id, _text, _hash, _place) -> (id, _hash, ranges): merged byte ranges to remove, end exclusive. Without
+    parts_log2 shared keys are found by joins, else by bitmaps.
 
     Of equal texts only the one with the smallest id is searched, as the others lose all of their bytes to it and
-    never decide what a third text loses. Which ids those are is held in a bitmap; a false hit searches a copy too.
+    never decide what a third text loses.
     """
     spark = docs.sparkSession
     whole = checkpointed(docs.filter(F.octet_length("_text") >= length).select("id", "_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"), F.octet_length("_text").alias("n")))
-    groups = whole.groupBy("sha").agg(F.min("id").alias("first"))
-    first = spark.sparkContext.broadcast(id_bitmap(groups.select(F.col("first").alias("id")), id_log2))
+    groups = whole.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k"))
 
     def all_of_it(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_hash"), pa.array([np.array([0, n], "<i4").tobytes() for n in batch.column("n").to_pylist()], pa.binary())], ["id", "_hash", "lost"])
 
-    found = [whole.join(groups, "sha").filter("id > first").select("id", "_hash", "n").mapInArrow(all_of_it, LOST)]
-    for part in range(1 << parts_log2):
-        bitmaps = key_bitmaps(docs, first, length, gram, hot, log2, id_log2, part, parts_log2)
-        any_hot = any(bitmaps[1])
-        shared, many = (spark.sparkContext.broadcast(b) for b in bitmaps)
-
-        def how(shared=shared, many=many, part=part) -> dict:
-            return {"bits": (np.frombuffer(shared.value, np.uint8), np.frombuffer(many.value, np.uint8)), "log2": log2, "gram": gram, "part": part, "parts_log2": parts_log2}
-
-        filed = docs.mapInArrow(lambda it, how=how: _file(it, np.frombuffer(first.value, np.uint8), id_log2, length, **how()), "key long, piece binary, places binary")
-        hits = filed.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(lambda it: _lost(it, length), LOST)
-        if any_hot:
-            hits = hits.unionByName(_hot_lost(docs, first, id_log2, length, how))
-        found.append(checkpointed(hits) if parts_log2 else hits)
+    groups = checkpointed(groups)
+    copies = joined_back(whole, groups, ["sha"], "k", "id").filter("id > first").select("id", "_hash", "n")
+    found = [copies.mapInArrow(all_of_it, LOST)]
+    plain = lambda batches: batches
+
+    def searched(docs: DataFrame, hits: Hits, only: Callable, any_hot: bool) -> DataFrame:
+        filed = docs.mapInArrow(lambda it: _file(only(it), hits, length), "key long, piece binary, places binary")
+        out = filed.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(lambda it: _lost(it, length), LOST)
+        return out.unionByName(_hot_lost(docs, hits, only, length)) if any_hot else out
+
+    if parts_log2 is None:
+        firsts = groups.select(F.col("first").alias("id")).distinct()
+        segments = with_shared_segments(docs.join(firsts, "id", "left_semi"), length, gram, hot)
+        any_hot = bool(segments.filter(F.exists("found", lambda x: x["hot"])).limit(1).count())
+        found.append(searched(segments, hits_by_column, plain, any_hot))
+    else:
+        # which ids those are is held in a bitmap; a false hit searches a copy too
+        first = spark.sparkContext.broadcast(id_bitmap(groups.select(F.col("first").alias("id")), id_log2))
+
+        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(_among(batch, np.frombuffer(first.value, np.uint8), id_log2))
+
+        for part in range(1 << parts_log2):
+            bitmaps = key_bitmaps(docs, first, length, gram, hot, log2, id_log2, part, parts_log2)
+            shared, many = (spark.sparkContext.broadcast(b) for b in bitmaps)
+
+            def bits(shared=shared, many=many) -> tuple[np.ndarray, np.ndarray]:
+                return np.frombuffer(shared.value, np.uint8), np.frombuffer(many.value, np.uint8)
+
+            hits = searched(docs, hits_by_bitmap(bits, log2, length, gram, part, parts_log2), only, any(bitmaps[1]))
+            found.append(checkpointed(hits) if parts_log2 else hits)
     lost = functools.reduce(DataFrame.unionByName, found).groupBy("id", "_hash").agg(F.collect_list("lost").alias("lost"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -544,7 +598,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     volume = slim.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
     id_log2, wanted = bits_for(BITS_PER_ID * volume["rows"], bitmap_log2), bits_for(volume["bytes"] / BYTES_PER_BIT, 64)
     key_log2 = min(wanted, bitmap_log2)
-    parts_log2 = min(wanted - key_log2, SLICES_MOST.bit_length() - 1)
+    parts_log2 = wanted - key_log2 if wanted - key_log2 < SLICES_MOST.bit_length() else None
     ranges = checkpointed(removed_ranges(slim.filter("id IS NOT NULL"), length, gram, hot, key_log2, id_log2, parts_log2))
     # only texts that may lose something are shuffled to meet their ranges
     losing = spark.sparkContext.broadcast(id_bitmap(ranges.select("id"), id_log2))

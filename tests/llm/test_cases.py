@@ -270,3 +270,20 @@ def test_known_probability_of_score(spark):
     end = lm.LEVEL_MEAN[2]  # two ends: level 2 stands for 2 and 3
     want = math.log10(0.2 * 1 / end + 0.8 * p1(1)) + math.log10(0.2 * 1 / 1 + 0.8 * p1(1)) + math.log10(0.2 * 1 / 1 + 0.8 * p1(end))
     assert all(r.score == pytest.approx(want) for r in lm.score(docs).collect())
+
+
+@pytest.mark.parametrize("how", [{"bitmap_log2": 16}, {"bitmap_log2": 13}, {"bitmap_log2": 13, "hot": 3}, {"hot": 3}])
+def test_suffix_dedup_in_slices_by_joins_and_hot(spark, how):
+    """Bitmaps in slices, joins in their place, and strings of hot keys: each against brute force."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, **how).collect()}
+    first, total = {}, 0
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        b = (r.text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k : k + 50], r.doc_id) < r.doc_id:
+                gone[k : k + 50] = b"\1" * 50
+        assert bytes(got[r.doc_id].kept) == bytes(x for x, g in zip(b, gone) if not g) and got[r.doc_id].n_removed == sum(gone)
+        total += sum(gone)
+    assert total > 0
