@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, joined_back, read_table, stored
 
-LENGTH, GRAM, MOST_STRINGS = 50, 32, 64
+LENGTH, GRAM, MOST_STRINGS = 50, 28, 64
 #: A bitmap has as many bits as its expected entries ask for, and 2**BITMAP_LOG2 at most.
 BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT, SLICES_MOST = 28, 16, 8, 16
 SEGMENT_BITS = 10
@@ -530,7 +530,7 @@ def removed_ranges(docs: DataFrame, length: int, gram: int, hot: int, log2: int,
     never decide what a third text loses.
     """
     spark = docs.sparkSession
-    whole = checkpointed(docs.filter(F.octet_length("_text") >= length).select("id", "_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"), F.octet_length("_text").alias("n")))
+    whole = checkpointed(docs.filter(F.octet_length("_text") >= length).select("id", "_hash", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("sha"), F.octet_length("_text").alias("n")))
     groups = whole.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k"))
 
     def all_of_it(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

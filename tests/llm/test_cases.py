@@ -272,7 +272,7 @@ def test_known_probability_of_score(spark):
     assert all(r.score == pytest.approx(want) for r in lm.score(docs).collect())
 
 
-@pytest.mark.parametrize("how", [{"bitmap_log2": 16}, {"bitmap_log2": 13}, {"bitmap_log2": 13, "hot": 3}, {"hot": 3}])
+@pytest.mark.parametrize("how", [{"bitmap_log2": 14}, {"bitmap_log2": 11}, {"bitmap_log2": 11, "hot": 3}, {"hot": 3}])
 def test_suffix_dedup_in_slices_by_joins_and_hot(spark, how):
     """Bitmaps in slices, joins in their place, and strings of hot keys: each against brute force."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
