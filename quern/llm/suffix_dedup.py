@@ -593,6 +593,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs as byte ranges), kept (the remaining bytes)."""
     if not gram <= length <= 250 - MOST_STRINGS:
         raise ValueError(f"length must be from {gram} to {250 - MOST_STRINGS}")  # prefixes are held in columns of one byte
+    if bitmap_log2 < SEGMENT_BITS + 3:
+        raise ValueError(f"bitmap_log2 must be at least {SEGMENT_BITS + 3}: a byte for each segment")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).withColumn("_place", F.xxhash64("id"))
     volume = slim.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()

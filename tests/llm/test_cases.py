@@ -272,10 +272,10 @@ def test_known_probability_of_score(spark):
     assert all(r.score == pytest.approx(want) for r in lm.score(docs).collect())
 
 
-@pytest.mark.parametrize("how", [{"bitmap_log2": 14}, {"bitmap_log2": 11}, {"bitmap_log2": 11, "hot": 3}, {"hot": 3}])
+@pytest.mark.parametrize("how", [{"bitmap_log2": 16}, {"bitmap_log2": 14}, {"bitmap_log2": 13, "hot": 4}, {"hot": 4}])
 def test_suffix_dedup_in_slices_by_joins_and_hot(spark, how):
     """Bitmaps in slices, joins in their place, and strings of hot keys: each against brute force."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")  # 2.5 MB ask for 2**19 bits
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, **how).collect()}
     first, total = {}, 0
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
@@ -287,3 +287,8 @@ def test_suffix_dedup_in_slices_by_joins_and_hot(spark, how):
         assert bytes(got[r.doc_id].kept) == bytes(x for x, g in zip(b, gone) if not g) and got[r.doc_id].n_removed == sum(gone)
         total += sum(gone)
     assert total > 0
+
+
+def test_suffix_dedup_refuses_bitmaps_without_room(spark):
+    with pytest.raises(ValueError, match="bitmap_log2"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), bitmap_log2=12)
