@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fixed, text
-from quern.operators import curate, vocab
+from quern.operators import curate, lexicon, vocab
 from quern.sources.io import table
 
 from .registry import query
@@ -140,6 +140,63 @@ def flt_audit_short(spark, sf_dir):
     return top.select("lang", "token", "n", text.lookup(_FIX, F.col("token")).alias("expansion"), F.col("rank").cast("long").alias("rank"))
 
 
+_STEMS = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in fixed.STEMS.items()) + "}"
+#: Words with the place where each first appears, as forms and stems.
+_FORMS = f"""{_VOCAB}, ps AS (SELECT lang, doc_id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM v),
+    wd AS (SELECT lang, token, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first_at FROM ps GROUP BY ALL),
+    fm AS (
+        SELECT x.lang, x.token, x.n, x.first_at, coalesce(y.token, x.token) AS form FROM wd x LEFT JOIN wd y ON x.lang IS NOT DISTINCT FROM y.lang
+        AND y.token = CASE WHEN suffix(x.token, 'ita') THEN left(x.token, length(x.token) - 3) || 'ità' WHEN suffix(x.token, 'it') THEN x.token || 'à' END
+    ), st AS (SELECT *, coalesce({_STEMS}[form], form) AS stem FROM fm)"""
+
+
+def entries(spark: SparkSession, sf_dir: str, by: str = "lang") -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return lexicon.dictionary(lexicon.word_table(rows, text.vocabulary_tokens(F.col("text")), by, "doc_id"), by)
+
+
+def _first(df: DataFrame, most: int, by: str = "lang") -> DataFrame:
+    """The most frequent of each group with 3 occurrences or more, then the first seen."""
+    ranked = curate.rank_within(df.filter("n >= 3"), [by], [F.desc("n"), F.col("first_at")]).filter(F.col("rank") <= most)
+    return ranked.withColumn("rank", F.col("rank").cast("long")).drop("first_at")
+
+
+@query(f"""
+    WITH {_FORMS}, g AS (SELECT lang, stem, form, sum(n) AS n, min(first_at) AS first_at FROM st WHERE form NOT IN ({_STOP}) AND stem NOT IN ({_STOP}) GROUP BY ALL)
+    SELECT lang, stem, CAST(sum(n) AS BIGINT) AS n, string_agg(form, ', ' ORDER BY n DESC, first_at) AS surfaces FROM g GROUP BY lang, stem""")
+def agg_stem_surfaces(spark, sf_dir):
+    """Accents restored, stop words out: each stem's count and forms."""
+    return lexicon.surfaces(entries(spark, sf_dir), "lang", "stem").select("lang", "stem", "n", F.array_join("surfaces", ", ").alias("surfaces"))
+
+
+@query(f"""
+    WITH {_FORMS}, p AS (SELECT lang, doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT lang, doc_id, w, unnest(range(len(w) - 1)) AS i FROM v)),
+    g AS (
+        SELECT p.lang, x.stem || ' ' || y.stem AS bigram, count(*) AS n, min({{'d': doc_id, 'i': i}}) AS first_at
+        FROM p JOIN st x ON p.lang IS NOT DISTINCT FROM x.lang AND a = x.token JOIN st y ON p.lang IS NOT DISTINCT FROM y.lang AND b = y.token
+        WHERE x.stem NOT IN ({_STOP}) AND y.stem NOT IN ({_STOP}) GROUP BY ALL
+    )
+    SELECT lang, bigram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first_at) AS rank FROM g WHERE n >= 3) WHERE rank <= 80""")
+def win_topn_stem_bigrams(spark, sf_dir):
+    pairs = lexicon.stem_bigrams(table(spark, sf_dir, "documents"), text.vocabulary_tokens(F.col("text")), "lang", "doc_id", entries(spark, sf_dir))
+    return _first(pairs, 80)
+
+
+@query()
+def win_topn_lemmas(spark, sf_dir):
+    """The 200 first lemmas of each lang with their forms. Merging depends on the order of first appearance; a plain
+    restatement in the tests holds it."""
+    return _first(lexicon.surfaces(entries(spark, sf_dir), "lang", "lemma").withColumn("surfaces", F.array_join("surfaces", ", ")), 200)
+
+
+@query()
+def win_lemmas_in_four(spark, sf_dir):
+    """Lemmas that four sources or more have among their first 200; no SQL, as win_topn_lemmas has none."""
+    listed = _first(lexicon.surfaces(entries(spark, sf_dir, "source"), "source", "lemma"), 200, "source")
+    held = listed.groupBy("lemma").agg(F.count(F.lit(1)).alias("n_sources"), F.array_join(F.array_sort(F.collect_list(F.coalesce("source", F.lit("")))), ",").alias("sources"))
+    return held.filter("n_sources >= 4").orderBy(F.desc("n_sources"), F.desc("lemma")).limit(40)
+
+
 @query()
 def vocab_merge_inflections(spark, sf_dir):
     """Greedy merging depends on first-seen order and is held by a plain restatement in the tests."""
