@@ -170,3 +170,44 @@ def test_evaluated(spark):
 
 def test_fixed_values():
     assert len(fixed.STEMS) == 141 and fixed.STEMS["cotte"] == "cotto" and all(v in fixed.STEMS for v in fixed.STEMS.values())
+
+
+def brute_nearest(queries, rows, fallback):
+    def unit(v):
+        size = sum(x * x for x in v) ** 0.5
+        return [x / size if size else 0.0 for x in v]
+
+    rows = [(i, label, unit(v)) for i, label, v in rows if v is not None and i is not None]
+    out = {}
+    for q, label, v in queries:
+        v, found = unit(v), {False: [], True: []}
+        for i, other, w in rows:
+            if i != q:
+                found[label is not None and label == other].append((-round(sum(a * b for a, b in zip(v, w, strict=True)), 9), i))
+        for masked in (False, True) if fallback else (False,):
+            if found[masked]:
+                out[q] = (min(found[masked])[1], masked)
+                break
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_nearest_against_all_pairs(spark, spread, monkeypatch):
+    rng = random.Random(int(spread * 100))
+    monkeypatch.setattr(nearest, "PIVOTS", 24)
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 6 * 40)  # several blocks of queries
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(30)]
+    rows = [(i, rng.choice(["a", "b", "b", None]), [x + rng.gauss(0, spread) for x in centres[i % 30]]) for i in range(900)]
+    rows += [(900 + i, "a", rows[3][2]) for i in range(300)] + [(1200, "b", [0.0] * 6), (1201, "a", [0.0] * 6), (1202, "c", None)]
+    df = spark.createDataFrame(rows, "id long, label string, v array<double>").repartition(6)
+    asked = [r for r in rows if r[0] % 10 == 0 and r[2]]
+    index = nearest.build(df, "id", "label", "v")
+    got = {r.id: (r.nearest, r.masked) for r in nearest.nearest(df.filter("id % 10 = 0"), df, "id", "label", "v", index=index).collect()}
+    assert got == brute_nearest(asked, rows, False)
+    if spread < 0.1:  # rows have neighbourhoods: most rings are passed over
+        assert 0 < index.compared.value < 0.35 * len(asked) * len(rows)
+    only = df.filter("label = 'a'")
+    got = {r.id: (r.nearest, r.masked) for r in nearest.nearest(df.filter("id % 10 = 0"), only, "id", "label", "v", fallback=True).collect()}
+    want = brute_nearest(asked, [r for r in rows if r[1] == "a"], True)
+    assert got == want and {m for _, m in want.values()} == {True, False}
+    assert nearest.nearest(df.limit(0), df, "id", "label", "v").count() == nearest.nearest(df, df.limit(0), "id", "label", "v", fallback=True).count() == 0
