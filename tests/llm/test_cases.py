@@ -176,22 +176,57 @@ def test_leaks_against_brute_force(spark):
     assert any(h for _, h, _ in want.values())
 
 
-def test_toxicity_on_held_out_rows(spark):
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    return toxicity.fit(*(spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")))
+
+
+def test_toxicity_on_held_out_rows(spark, toxic_model):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    scored = toxicity.score_texts(docs, toxicity.fit(docs, labels))
+    scored = toxicity.score_texts(docs, toxic_model)
     held = scored.join(labels, "doc_id").filter("crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1").select("predicted", "toxic").collect()
     caught = Counter((r.toxic, r.predicted) for r in held)
-    # 10,000 documents: about 450 toxic ones to learn from; with 51,282 documents 708 of 718 are found
-    assert caught[1, 1] / (caught[1, 1] + caught[1, 0]) > 0.8 and caught[0, 1] / (caught[0, 0] + caught[0, 1]) < 0.01
+    # of the 144 toxic rows eight hold nothing but ordinary words
+    assert caught[1, 1] / (caught[1, 1] + caught[1, 0]) >= 0.9 and caught[0, 1] / (caught[0, 0] + caught[0, 1]) < 0.01
 
 
 def test_transducers_by_hand():
-    lexicon = toxicity.Lexicon({"idiot": 2.0, "=fool": 1.0})
+    lexicon = toxicity.Lexicon({"idiot": ("i", 2.0), "=fool": ("i", 1.0), "=kill": ("h", 3.0)})
     machine = toxicity.grammar()
-    said = lambda t: [{k: round(v, 3) for k, v in c.items()} for c in toxicity.clauses(t, lexicon, machine)]
-    assert said("An idiot. You idiot!") == [{"i": 2.0}, {"a": 2.0}]
+    said = lambda t: [{s: round(v, 3) for s, v in zip(toxicity.SCORED, c, strict=True) if v} for c in toxicity.clauses(t, lexicon, machine)]
+    assert said("An idiot. You idiot!") == [{"i": 2.0}, {"a": 2.0}] and said("idiot that you are, idiot, you") == [{"a": 4.0}]
     assert said("You are not an idiot") == [{"I": 2.0}] and said("They said you idiot. A fool") == [{"j": 2.0}, {"i": 1.0}]
-    assert said("I will kill you") == [{"h": 1.0}] and said("you, I kill") == [{"b": 1.0}] and said("a quiet walk") == []
+    assert said("He said you are not an idiot") == [{"I": 2.0}] and said("I will not kill you") == [{"H": 3.0}]
+    assert said("I will kill you") == [{"b": 3.0}] and said("you, I kill") == [{"b": 3.0}] and said("kill it") == [{"h": 3.0}] and said("a quiet walk") == []
+
+
+def test_the_grammar_decides(toxic_model):
+    """A target adds, report and negation take away, and without its transducer a text is predicted otherwise."""
+    m, whole = toxic_model, toxicity.grammar()
+    lexicon = toxicity.Lexicon(m.lexicon)
+    score = lambda t, machine=whole: m.score(t, lexicon, machine)
+    words = [w.strip("=") for w, (s, _) in m.lexicon.items() if s == toxicity.INSULT]
+    assert len(words) > 50
+    for w in words:
+        assert score(f"you {w}") >= score(w) >= score(f"they said {w}") >= score(f"not {w}") >= score("")
+        assert score(f"{w} you") == score(f"you {w}")
+    assert score("I will kill you") > score("kill it") and score("I will kill you") > score("they said I will kill you") > score("I will not kill you")
+    without = {"negation": (toxicity.reported(), toxicity.target()), "report": (toxicity.negation(), toxicity.target()), "target": (toxicity.negation(), toxicity.reported())}
+    texts = {"negation": "you are not a {}", "report": "she said you are a {}", "target": "you are a {}"}
+    for name, parts in without.items():
+        other = toxicity.grammar(parts)
+        assert any((score(texts[name].format(w)) >= toxicity.THRESHOLD) != (score(texts[name].format(w), other) >= toxicity.THRESHOLD) for w in words), name
+
+
+def test_threats_are_learnt(spark):
+    """A word that toxic texts have before a second person is a threat; copies of one text are one witness."""
+    rows = [(i, (f"w{i} v{i * 7} grobble you q{i}" if i % 4 == 0 else f"w{i} v{i * 7} snarf q{i}" if i % 4 == 1 else f"w{i} v{i * 7} kill q{i}"), int(i % 4 < 2)) for i in range(400)]
+    rows += [(1000 + i, "one curious sentence that is here many times over", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(df.drop("toxic"), df.drop("text"))
+    assert m.lexicon["=grobble"][0] == toxicity.THREAT and m.lexicon["=snarf"][0] == toxicity.INSULT
+    assert m.lexicon["=kill"][1] < 0.5 * m.lexicon["=murder"][1]  # clean texts have it
+    assert m.lexicon["=snarf"][1] > m.lexicon.get("=curious", ("", 0.0))[1]
 
 
 def mixed_targets(sizes):
@@ -216,7 +251,7 @@ def test_pipeline_against_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     lexicon, machine = toxicity.Lexicon(model.lexicon), toxicity.grammar()
-    rows = {r.doc_id: r for r in docs.collect() if model.score(toxicity.features(r.text, lexicon, machine)) < toxicity.THRESHOLD}
+    rows = {r.doc_id: r for r in docs.collect() if model.score(r.text, lexicon, machine) < toxicity.THRESHOLD}
     best = {}
     for i, r in rows.items():
         best[lower(r.text)] = max(i, best.get(lower(r.text), i))

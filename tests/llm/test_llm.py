@@ -260,7 +260,7 @@ def test_toxicity(spark, empty):
     docs = spark.createDataFrame(rows, SCHEMA)
     model = toxicity.fit(docs, labels)
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in toxicity.score_texts(docs, model).collect())
-    assert model.score(toxicity.features(None, toxicity.Lexicon(model.lexicon), toxicity.grammar())) < 0.7
+    assert model.score(None, toxicity.Lexicon(model.lexicon), toxicity.grammar()) < 0.7
     assert toxicity.score_texts(docs, toxicity.fit(empty, labels)).filter("predicted = 1").count() == 0
 
 
