@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import curate
+from quern.session import checkpointed
 from quern.operators.joins import small
 
 
@@ -59,12 +60,13 @@ def weighted_draw(test: DataFrame, id_col: str, values: DataFrame, value: str, c
 
 
 def run_named(baselines: dict[str, Callable[[], DataFrame]], id_col: str, value: str) -> tuple[DataFrame | None, dict[str, str]]:
-    """Predictions (baseline, id, value) of all baselines that can be planned; the others with their errors."""
+    """Predictions (baseline, id, value) of all baselines that succeed; the others with their errors. Each is run and
+    written to the checkpoint folder by itself, so that one that fails while it runs takes no other with it."""
     made, failed = None, {}
     for name, predict in baselines.items():
         try:
-            rows = predict().select(F.lit(name).alias("baseline"), id_col, value)
-        except Exception as error:  # one baseline must not take the others with it
+            rows = checkpointed(predict().select(F.lit(name).alias("baseline"), id_col, value))
+        except Exception as error:
             failed[name] = str(error)
             continue
         made = rows if made is None else made.unionByName(rows)

@@ -148,9 +148,11 @@ def agg_len_stats(spark, sf_dir):
     return run.groupBy("lang", "n").agg(F.min("n_chars").alias("min_len"), at(F.expr("n div 4"), "p25"), at(F.expr("n div 2"), "med"), at(F.expr("3 * n div 4"), "p75"), F.max("n_chars").alias("max_len"), F.round(F.sum(F.col("n_chars") * F.col("c")) / F.max(n), 4).alias("mean_len"))
 
 
-@query("SELECT coalesce(lang, 'TOTAL') AS lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ROLLUP (lang)")
+@query("SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE lang END AS lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ROLLUP (lang)")
 def agg_rollup_total(spark, sf_dir):
-    return table(spark, sf_dir, "documents").rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")).select(F.coalesce("lang", F.lit("TOTAL")).alias("lang"), "n", "n_chars")
+    """A null lang stays null beside the grand total."""
+    sums = table(spark, sf_dir, "documents").rollup("lang").agg(F.grouping("lang").alias("total"), F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+    return sums.select(F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("lang")).alias("lang"), "n", "n_chars")
 
 
 @query("""
@@ -247,22 +249,22 @@ def srt_limit_then_sort(spark, sf_dir):
 
 
 @query(r"""
-    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: length(regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g')) > 3) AS w, left(coalesce(text, ''), length(coalesce(text, '')) // 2) AS half FROM documents)
+    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '""" + fixed.SPACE + r"""+'), lambda x: length(regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g')) > 3) AS w, left(coalesce(text, ''), length(coalesce(text, '')) // 2) AS half FROM documents)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(w, lambda x: NOT contains(lower(half), x))) AS BIGINT) AS n_missing,
            coalesce(len(list_filter(w, lambda x: NOT contains(lower(half), x))) > 0.5 * len(w), false) AS flagged FROM t""")
 def fn_missing_ratio(spark, sf_dir):
     """Share of longer words of the text that its first half lacks as substrings."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}_]", "")) > 3)
+    words = F.filter(F.split(F.lower("text"), text.SPACES), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}_]", "")) > 3)
     told = docs.withColumn("w", words).withColumn("half", F.lower(F.left("text", F.expr("length(text) div 2"))))
     missing = F.size(F.filter("w", lambda x: ~F.contains(F.col("half"), x)))
     return told.select("doc_id", F.size("w").cast("long").alias("n_words"), missing.cast("long").alias("n_missing"), (missing > F.size("w") * 0.5).alias("flagged"))
 
 
 @query(r"""
-    SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}_\s,.;:''\-()"]'))), '') AS odd_chars FROM documents""")
+    SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}_""" + fixed.SPACE[1:-1] + r""",.;:''\-()"]'))), '') AS odd_chars FROM documents""")
 def fn_suspicious_chars(spark, sf_dir):
-    odd = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([^\\p{L}\\p{N}_\\s,.;:'\\-()\"])"), F.lit(1))
+    odd = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)([^\\p{L}\\p{N}_\\s\\x1c-\\x1f,.;:'\\-()\"])"), F.lit(1))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(odd)), "").alias("odd_chars"))
 
 
@@ -282,6 +284,19 @@ def fn_preprocess(spark, sf_dir):
     return rows.select("doc_id", F.md5(text.preprocess(F.col("text"), F.col("lang"))).alias("pre_md5"))
 
 
+@query(rf"""
+    WITH b AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'circa ' WHEN 1 THEN '' ELSE 'sopra i ' END AS opening, CAST(l_quantity AS BIGINT) AS mm FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 AND l_linenumber % 3 < 2 THEN
+        CASE WHEN mm < 8 THEN 'Molto sottile' WHEN mm < 10 THEN 'Sottile' WHEN mm < 14 THEN 'Media' WHEN mm < 18 THEN 'Spessa' ELSE 'Molto spessa' END
+        ELSE opening || mm || ' mm' END AS pre FROM b""")
+def fn_preprocess_crust(spark, sf_dir):
+    """Bare measurements become words where the attribute is the crust's thickness, and stay elsewhere."""
+    opening = F.element_at(F.array(F.lit("circa "), F.lit(""), F.lit("sopra i ")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    attribute = F.when(F.col("l_linenumber") % 2 == 0, "Spessore della Crosta").otherwise("Colore della Pasta")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(opening, F.col("l_quantity").cast("long").cast("string"), F.lit(" mm")).alias("text"), attribute.alias("attribute"))
+    return rows.select("l_orderkey", "l_linenumber", text.preprocess(F.col("text"), F.col("attribute")).alias("pre"))
+
+
 def _canonical_sql() -> str:
     cases = []
     for name, pattern, to in fixed.CANONICAL_OPENINGS:

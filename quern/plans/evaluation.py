@@ -17,7 +17,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     a = c.filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("pred"))
     u = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.coalesce("text", F.lit("")).alias("ref"))
-    return a.join(u, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "pred", "ref")
+    return a.join(u, ["conv_id", "turn"]).select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("id"), "conv_id", "pred", "ref")
 
 
 _GRAMS = f"""

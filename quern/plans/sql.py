@@ -21,8 +21,8 @@ PREPARED = rf"""
 #: assistant turns as predictions, the user turn before as reference
 PAIRS = """
     pairs AS (
-        SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id, coalesce(a.text, '') AS pred, coalesce(u.text, '') AS ref
+        SELECT a.conv_id * 4294967296 + a.turn AS id, a.conv_id, coalesce(a.text, '') AS pred, coalesce(u.text, '') AS ref
         FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
         WHERE a.role = 'assistant' AND u.role = 'user'
     )"""
-METRIC_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda x: x <> '')"
+METRIC_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_" + _SPACES[1:-1] + r"]', '', 'g'), '" + _SPACES + r"+'), lambda x: x <> '')"

@@ -211,3 +211,16 @@ def test_nearest_against_all_pairs(spark, spread, monkeypatch):
     want = brute_nearest(asked, [r for r in rows if r[1] == "a"], True)
     assert got == want and {m for _, m in want.values()} == {True, False}
     assert nearest.nearest(df.limit(0), df, "id", "label", "v").count() == nearest.nearest(df, df.limit(0), "id", "label", "v", fallback=True).count() == 0
+
+
+def test_baselines_that_fail_while_they_run(spark):
+    from pyspark.sql import functions as F
+
+    breaks = lambda: spark.range(3).withColumn("p", F.raise_error(F.lit("too late")).cast("string"))
+    made, failed = sampling.run_named({"late": breaks, "one": lambda: spark.range(2).withColumn("p", F.lit("x")), "early": lambda: 1 / 0}, "id", "p")
+    assert made.count() == 2 and set(failed) == {"late", "early"} and "too late" in failed["late"]
+
+
+def test_unicode_white_space_parts_words(spark):
+    df = spark.createDataFrame([("a b c d-e f\x1cg",)], "t string")
+    assert df.select(text.metric_tokens(F.col("t"))).first()[0] == ["a", "b", "c", "de", "f", "g"]
