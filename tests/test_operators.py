@@ -222,5 +222,5 @@ def test_baselines_that_fail_while_they_run(spark):
 
 
 def test_unicode_white_space_parts_words(spark):
-    df = spark.createDataFrame([("a b c d-e f\x1cg",)], "t string")
-    assert df.select(text.metric_tokens(F.col("t"))).first()[0] == ["a", "b", "c", "de", "f", "g"]
+    df = spark.createDataFrame([("A\u00a0b\u2003c\u0085d-e f\x1cg\u3000h",)], "t string")
+    assert df.select(text.metric_tokens(F.col("t"))).first()[0] == ["a", "b", "c", "de", "f", "g", "h"]
