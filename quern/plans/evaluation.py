@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import metrics
+from quern.operators import alignment, metrics
 from quern.sources.io import table
 
 from .registry import query
@@ -129,3 +129,26 @@ def met_embedding_score(spark, sf_dir):
     both = e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id", "left")
     c = both.select(text.cosine(F.col("embedding"), F.col("other")).alias("c"))
     return c.agg(F.round(F.avg("c"), 6).alias("clip_score"), F.count("c").alias("n_scored"), (F.count(F.lit(1)) - F.count("c")).alias("n_missing"))
+
+
+@query()
+def met_meteor(spark, sf_dir):
+    """Matches, chunks and score of each pair. The alignment with the fewest chunks is a search that SQL has no form for;
+    tests hold it to all alignments of short rows."""
+    return alignment.meteor(pairs(spark, sf_dir)).select("id", "matches", "chunks", F.round("meteor", 6).alias("meteor"))
+
+
+@query("""
+    WITH t AS (SELECT vec_id // 10 AS id, vec_id % 10 >= 5 AS is_pred, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    g AS (SELECT DISTINCT id FROM t), df AS (SELECT label, count(DISTINCT id) AS df FROM t WHERE NOT is_pred GROUP BY label),
+    w AS (SELECT t.*, ln(((SELECT count(*) FROM g) + 1) / (coalesce(df, 0) + 1)::DOUBLE) AS w FROM t LEFT JOIN df USING (label)),
+    s AS (SELECT a.id, a.vec_id AS p, b.vec_id AS r, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS c FROM t a JOIN t b ON a.id = b.id AND a.is_pred AND NOT b.is_pred),
+    x AS (SELECT id, sum(w * c) / sum(w) AS x FROM (SELECT p AS vec_id, max(c) AS c FROM s GROUP BY p) JOIN w USING (vec_id) GROUP BY id),
+    y AS (SELECT id, sum(w * c) / sum(w) AS y FROM (SELECT r AS vec_id, max(c) AS c FROM s GROUP BY r) JOIN w USING (vec_id) GROUP BY id)
+    SELECT id, round(coalesce(x, 0), 6) AS precision, round(coalesce(y, 0), 6) AS recall, round(coalesce(2 * x * y / (x + y), 0), 6) AS f1 FROM g LEFT JOIN x USING (id) LEFT JOIN y USING (id)""")
+def met_token_match(spark, sf_dir):
+    """Vectors of ten ids are the tokens of a prediction and its reference; a token's name is its label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("id"), (F.col("vec_id") % 10 >= 5).alias("is_pred"), F.struct("vec_id", F.col("label").cast("string").alias("token"), F.col("embedding").cast("array<double>").alias("vector")).alias("t"))
+    side = lambda mine: F.transform(F.array_sort(F.filter(F.collect_list(F.struct("is_pred", "t")), lambda x: x["is_pred"] == mine)), lambda x: F.struct(x["t"]["token"].alias("token"), x["t"]["vector"].alias("vector")))
+    made = rows.groupBy("id").agg(side(True).alias("pred"), side(False).alias("ref"))
+    return alignment.greedy_match(made).select("id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))

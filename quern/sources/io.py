@@ -32,6 +32,11 @@ def write_splits(splits: DataFrame, path: str) -> None:
     splits.groupBy("split").agg(F.array_sort(F.collect_list("sample_id")).alias("ids")).write.mode("overwrite").json(path)
 
 
+def write_split_document(splits: DataFrame, path: str) -> None:
+    """(split, sample_id) as the one JSON document {split: [ids]} that read_splits() reads, ids in order."""
+    splits.groupBy().pivot("split", ["train", "val", "test"]).agg(F.array_sort(F.collect_list("sample_id"))).write.mode("overwrite").json(path)
+
+
 def read_vocabulary(spark: SparkSession, path: str, blacklist: list[str], most: int = 60) -> DataFrame:
     """count TAB lemma TAB surfaces, as rows (at, count, lemma, surfaces): comments, blanks and blacklisted lemmas out, the
     first `most` in the order of the file. A vocabulary file is a short list and is read as one text."""
@@ -144,6 +149,15 @@ def assert_unique_names(df: DataFrame, path_col: str) -> None:
         raise ValueError(f"several paths take one name: {', '.join(clashes)}")
 
 
+def missing_uploads(local: DataFrame, target: DataFrame, name: str, size: str) -> DataFrame:
+    """(name, size, why) of the local files that the target listing does not have whole: absent, or of another size. Of
+    a name that the target lists twice any listing of the right size will do."""
+    there = target.groupBy(F.col(name).alias("_name")).agg(F.collect_set(size).alias("_sizes"))
+    met = local.join(there, F.col(name) == F.col("_name"), "left")
+    why = F.when(F.col("_sizes").isNull(), "absent").when(~F.array_contains("_sizes", F.col(size)), "size")
+    return met.select(name, size, why.alias("why")).filter("why IS NOT NULL")
+
+
 def report(title: str, tables: dict[str, DataFrame], most: int = 50) -> str:
     """A text report: each table's first `most` rows, aligned, and a line that says how many more there are. Tables are
     to be aggregates; no more than most + 1 of their rows come to the driver."""

@@ -34,7 +34,7 @@ def by_batch(sink: str, form: str = "parquet", **options: object) -> Callable[[D
 def first_seen(stream: DataFrame, key: str, time: str, keep: list[str], late: str = LATE, period: str = PERIOD) -> DataFrame:
     """(period, key, frequency, first): first is a struct of time and keep, the least one. Rows without a key are one
     key; rows without a time belong to no period and are left out."""
-    timed = stream.withWatermark(time, late)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     first = F.min(F.struct(F.col(time).alias("time"), *(F.col(c) for c in keep))).alias("first")
     return timed.groupBy(F.window(time, period).alias("period"), F.col(key).alias("dedup_key")).agg(F.count(F.lit(1)).alias("frequency"), first)
 

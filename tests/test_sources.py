@@ -95,3 +95,12 @@ def test_report_and_prompts(spark, tmp_path):
     assert text.splitlines()[0] == "Run" and "... and 2 more" in text
     io.write_texts(spark, spark.createDataFrame([("Aroma", "# Aroma\ntext")], "n string, t string"), str(tmp_path / "p"), "n", "t")
     assert next((tmp_path / "p" / "name=Aroma").glob("*.txt")).read_text() == "# Aroma\ntext\n"
+
+
+def test_missing_uploads(spark):
+    from quern.sources import io
+
+    local = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, size long")
+    there = spark.createDataFrame([("a", 1), ("b", 9), ("b", 8), ("d", 4), ("a", 7)], "name string, size long")
+    assert sorted((r.name, r.why) for r in io.missing_uploads(local, there, "name", "size").collect()) == [("b", "size"), ("c", "absent")]
+    assert io.missing_uploads(local, there.limit(0), "name", "size").count() == 3
