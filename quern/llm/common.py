@@ -8,17 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.joins import joined_back  # noqa: F401
+from quern.session import shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder named by spark.checkpoint.dir. Where that is unset, a folder of the warehouse, which
-    driver and executors share too; nothing is ever kept in a machine's own temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quern-checkpoints")
+    """Take the folder that driver and executors share; nothing is ever kept in a machine's own temporary folder."""
+    shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ but the last find is stored, and the last one unites it. So neither the driver n
 items and one automaton, however large the benchmark; a benchmark of one block is one pass without a shuffle.
 
 Null text has no words; an item or document without words matches nothing. Repeated rows give repeated rows. Item
-ids repeated in the benchmark count once. Extra columns are ignored unless named in carry, which may name any column.
+ids repeated in the benchmark count once; the words of an item with a null id are hit, but it is not among the items. A
+very long text is scanned once, whole. Extra columns, of either table and of any name, are ignored unless named in carry.
 """
 
 from __future__ import annotations
@@ -42,6 +43,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_AND_SPLIT).split()
 
 
+def named(items: set) -> list[str]:
+    """Item ids as text, sorted; a null id has no name."""
+    return sorted(str(i) for i in items if i is not None)
+
+
 def item_windows(text: str | None, window: int) -> list[str]:
     words = [w.decode("latin-1") for w in words_of(text)]
     if not words:
@@ -145,7 +151,7 @@ def leak_hits(
     def hits(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(shared, window)
         for batch in batches:
-            rows = [(h, n, [{"start": a, "end": b} for a, b in ranges], sorted(map(str, ids))) for h, (_, n, ranges, ids) in zip(batch.column("_hash").to_pylist(), scanner(batch.column("_text")), strict=True) if ranges]
+            rows = [(h, n, [{"start": a, "end": b} for a, b in ranges], named(ids)) for h, (_, n, ranges, ids) in zip(batch.column("_hash").to_pylist(), scanner(batch.column("_text")), strict=True) if ranges]
             types = [pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, types, strict=True)], ["_hash", "_n", "_ranges", "_items"])
 
@@ -176,7 +182,7 @@ def leak_hits(
                 merged = united_ranges(ranges + [(r["start"], r["end"]) for r in more or []])
                 counts.append(n)
                 all_hits.append(sum(b - a for a, b in merged))
-                items.append(sorted({*map(str, ids), *(others or [])}))
+                items.append(sorted({*named(ids), *(others or [])}))
                 spans.append([{"start": a, "end": b} for a, b in _char_spans(text, merged)] if merged else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(counts, pa.int64()), pa.array(all_hits, pa.int64()), pa.array(items, arrow.field("items").type), pa.array(spans, arrow.field("spans").type), batch.column("carry").cast(arrow.field("carry").type)],
@@ -217,7 +223,7 @@ ORACLE_SQL = {
         ),
         hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM occ, unnest(range(n)) AS u(k) GROUP BY doc_id),
         its AS (
-            SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+            SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS items
             FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id
         )
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,

@@ -19,7 +19,9 @@ words and its end, base_score the same with P1 of exact counts.
 A word that every chunk holds is one entry of each chunk in its segment, never a row of each occurrence.
 
 Null or empty text is the end alone. A null id counts as empty text when rows are held out. Repeated rows are scored
-and counted each. With no training rows all counts are 0. Extra columns are ignored.
+and counted each, and dealt evenly like others. With no training rows all counts are 0. Extra columns are ignored. A very
+long text is scored whole, in a chunk that is as much larger. The input should be a table, or another plan whose rows
+come in one order, as rows are dealt by their places.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ SEGMENT_BITS = 6  # log2 of the least number of segments
 SEGMENT_BYTES = 8 << 20  # text of a segment
 PROBES = 4
 CHUNK_BYTES = 8 << 20
+MOST_PARTITIONS = 20_000
 _U = np.uint64
 
 
@@ -181,9 +184,9 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _cuts(segments: np.ndarray, segment_bits: int) -> np.ndarray:
-    """Where each segment begins in sorted segment numbers, and the end."""
-    return np.searchsorted(segments, np.arange((1 << segment_bits) + 1, dtype=np.uint64))
+def _cuts(segments: np.ndarray, present: np.ndarray) -> list[slice]:
+    """Where each present segment lies in sorted segment numbers."""
+    return [slice(a, b) for a, b in zip(np.searchsorted(segments, present).tolist(), np.searchsorted(segments, present, "right").tolist(), strict=True)]
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
@@ -214,10 +217,10 @@ def _send(table: pa.Table, segment_bits: int) -> pa.Table:
     h, more, times = h[order], more[order], times[order]
     rests = np.concatenate([(h & _U(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4), more.astype("<u2").view(np.uint8).reshape(-1, 2)], axis=1)
     tops, lows = h >> _U(32), pairs & _U(0xFFFFFFFF)
-    words_at, pairs_at = _cuts(h >> _U(64 - segment_bits), segment_bits), _cuts(pairs >> _U(32), segment_bits)
+    of_words, of_pairs = h >> _U(64 - segment_bits), pairs >> _U(32)
+    present = np.union1d(of_words, of_pairs)
     chunk, rows = table["_chunk"][0].as_py(), []
-    for s in np.flatnonzero(np.diff(words_at) + np.diff(pairs_at)).tolist():
-        w, p = slice(words_at[s], words_at[s + 1]), slice(pairs_at[s], pairs_at[s + 1])
+    for s, w, p in zip(present.tolist(), _cuts(of_words, present), _cuts(of_pairs, present), strict=True):
         rows.append((chunk, s, pack_sorted(tops[w]), rests[w].tobytes(), pack_counts(times[w]), pack_sorted(lows[p]), pack_counts(counts[p])))
     return _batch(rows, _arrow_schema(SENT))
 
@@ -282,10 +285,12 @@ def score(
     volume = int(base.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0)
     segment_bits = segment_bits_for(volume)
     chunks = max(spark.sparkContext.defaultParallelism, -(-volume // chunk_bytes))
-    dealt = base.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
+    # by row, so that rows that repeat are dealt evenly too; beyond MOST_PARTITIONS a partition has several chunks
+    row = F.monotonically_increasing_id()
+    dealt = base.withColumn("_chunk", F.pmod(F.xxhash64(row), F.lit(chunks)).cast("int")).repartition(min(chunks, MOST_PARTITIONS), "_chunk")
     # all columns of dealt, so that its exchange is used again
     sent = dealt.groupBy("_chunk").applyInArrow(lambda table: _send(table, segment_bits), SENT)
-    answers = sent.groupBy("segment").applyInArrow(lambda table: _solve(table, min_pair), TOLD).repartition(chunks, "_chunk")
+    answers = sent.groupBy("segment").applyInArrow(lambda table: _solve(table, min_pair), TOLD).repartition(min(chunks, MOST_PARTITIONS), "_chunk")
     # one row, from the exchange of the answers; both sides read all columns, so that the exchange is used again. The
     # key is false for all rows
     every = sum((F.count(c) for c in answers.columns[1:]), F.count(answers.columns[0]))
