@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir), works on all of docs, and returns what
 documents, whatever their names; the last one returns the mix. run() writes each stage as Parquet below the shared
 checkpoint folder, reads it again for the next, and removes what is no longer read. A null text counts as empty. Rows
 with a null id pass toxicity, exact dedup and decontamination like others, and near dedup untouched. Repeated rows are
-one after exact dedup. Empty tables give empty tables.
+one after exact dedup. Very long texts go through every stage whole. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, and all rows with a null id, which are linked with nothing."""
-    kept = near_dedup.near_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_dedup.near_groups(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.col("doc_id").alias("row_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carry"))
-    return rows.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi").select("carry.*")
+    without_id = rows.filter("row_id IS NULL").select("carry.*")  # stay where they are: they would meet under one key
+    return rows.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").select("carry.*").unionByName(without_id)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
