@@ -327,3 +327,50 @@ def test_suffix_dedup_in_slices_by_joins_and_hot(spark, how):
 def test_suffix_dedup_refuses_bitmaps_without_room(spark):
     with pytest.raises(ValueError, match="bitmap_log2"):
         suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), bitmap_log2=12)
+
+
+def test_pages_against_a_plain_extraction(spark):
+    from plain_html import plain_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = Counter((r.page_id, r.text, r.n_chars) for r in wrapper.extract(pages).collect())
+    assert got == Counter((r.page_id, t, len(t)) for r in pages.collect() for t in [plain_text(r.html)]) and len(got) == 250
+
+
+def test_no_block_of_the_given_pages_is_constant(spark):
+    """Why the template half leaves nothing out there: no node has one text on even a half of a host's pages."""
+    hosts = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url", "html").collect():
+        hosts[re.sub(r"^[a-z]+://([^/?#]*).*", r"\1", r.url)].append(r.html)
+    large = [pages for pages in hosts.values() if len(set(pages)) >= wrapper.TEMPLATE_PAGES]
+    assert len(large) > 50
+    for pages in sorted(large, key=len)[:12]:
+        skeleton = wrapper.parse(pages[0])
+        wrapper.number(skeleton)
+        texts, holding = defaultdict(Counter), Counter()
+        for html in set(pages):
+            tree = wrapper.parse(html)
+            wrapper.align(tree, skeleton)
+            found = {(b[0], b[1]) for b in wrapper.Cut(tree, False).blocks}
+            holding.update({node for node, _ in found})
+            for node, text in found:
+                texts[node][text] += 1
+        assert max(max(c.values()) / holding[node] for node, c in texts.items() if holding[node] >= wrapper.TEMPLATE_PAGES) < 0.5
+
+
+def test_decontamination_of_nameless_items_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "one two three"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "ALPHA beta gamma delta epsilon zeta eta theta iota kappa", "x", 1), (7, "two three", "y", 2), (7, "two three", "y", 2), (8, None, None, None)], "item_id long, text string, _text string, doc_id long")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in leaks.leak_hits(docs, bench).collect()}
+    assert got == {1: (11, 10, []), 2: (3, 2, ["7"]), 3: (0, 0, [])}
+    blocks = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in leaks.leak_hits(docs, bench, automaton_bytes=1).collect()}
+    assert blocks == got
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    rows = [(5, "the same row again and again")] * 600 + [(None, "no id and the same text")] * 600 + [(i, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lm.score(df, chunk_bytes=500).collect()
+    whole = lm.score(df).collect()
+    told = lambda rs: Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in rs)
+    assert told(got) == told(whole) and sum(told(got).values()) == 1300
