@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import text
-from quern.operators import curate
+from quern.operators import alignment, curate
 from quern.operators.joins import joined_back, small
 from quern.session import checkpointed
 
@@ -21,11 +21,17 @@ def _grams(pairs: DataFrame, column: str, most: int, keys: list[str]) -> DataFra
     return exploded.groupBy(*keys, "id", "n", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def cider(pairs: DataFrame, by: str | None = None, most: int = 4) -> DataFrame:
+def both_grams(pairs: DataFrame, by: str | None = None, most: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of predictions and of references, written once for the metrics that share them."""
+    keys = [by] if by else []
+    return checkpointed(_grams(pairs, "pred", most, keys)), checkpointed(_grams(pairs, "ref", most, keys))
+
+
+def cider(pairs: DataFrame, by: str | None = None, most: int = 4, grams: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per id: mean over 1..most of the tf-idf cosine, times 10; idf = ln((N + 1) / (df + 1)), df over the references of
     the group. Rows of a gram that a large share of all references has are dealt evenly when they meet its idf."""
     keys = [by] if by else []
-    pred, ref = _grams(pairs, "pred", most, keys), _grams(pairs, "ref", most, keys)
+    pred, ref = grams or (_grams(pairs, "pred", most, keys), _grams(pairs, "ref", most, keys))
     df = ref.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("df"))
     total = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N"))
     both = pred.withColumnRenamed("tf", "p").join(ref.withColumnRenamed("tf", "r"), [*keys, "id", "n", "gram"], "full")
@@ -38,10 +44,10 @@ def cider(pairs: DataFrame, by: str | None = None, most: int = 4) -> DataFrame:
     return pairs.select("id", *keys).join(score, "id", "left").select("id", *keys, F.coalesce("cider", F.lit(0.0)).alias("cider"))
 
 
-def bleu(pairs: DataFrame, by: str | None = None, most: int = 4, digits: int = 6) -> DataFrame:
+def bleu(pairs: DataFrame, by: str | None = None, most: int = 4, digits: int = 6, grams: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Corpus BLEU by group: bleu1 is the clipped unigram precision without brevity penalty, bleu4 the usual score."""
     keys = [by] if by else []
-    pred, ref = _grams(pairs, "pred", most, keys), _grams(pairs, "ref", most, keys)
+    pred, ref = grams or (_grams(pairs, "pred", most, keys), _grams(pairs, "ref", most, keys))
     hits = pred.withColumnRenamed("tf", "p").join(ref.withColumnRenamed("tf", "r"), [*keys, "id", "n", "gram"], "left")
     per_n = hits.groupBy(*keys, "n").agg(F.sum(F.least("p", F.coalesce("r", F.lit(0)))).alias("hit"), F.sum("p").alias("tf"))
     lens = pairs.select(*keys, F.size(text.metric_tokens(F.col("pred"))).alias("lp"), F.size(text.metric_tokens(F.col("ref"))).alias("lr")).groupBy(*keys).agg(F.sum("lp").alias("lp"), F.sum("lr").alias("lr"), F.count(F.lit(1)).alias("n_samples"))
@@ -55,9 +61,10 @@ def bleu(pairs: DataFrame, by: str | None = None, most: int = 4, digits: int = 6
 
 
 def evaluated(pairs: DataFrame, by: str, surfaces: DataFrame | None = None, digits: int = 4) -> DataFrame:
-    """One row per group (file) with rows: n_samples, bleu1, bleu4, rouge_l, cider and, with surfaces, vocab_conf."""
+    """One row per group (file) with rows: n_samples, bleu1, bleu4, meteor, rouge_l, cider and, with surfaces, vocab_conf."""
     mean = lambda rows, name: rows.groupBy(by).agg(F.round(F.avg(name), digits).alias(name))
-    out = bleu(pairs, by, digits=digits).join(mean(rouge_l(pairs, by), "rouge_l"), by).join(mean(cider(pairs, by), "cider"), by)
+    grams = both_grams(pairs, by)
+    out = bleu(pairs, by, digits=digits, grams=grams).join(mean(alignment.meteor(pairs, by), "meteor"), by).join(mean(rouge_l(pairs, by), "rouge_l"), by).join(mean(cider(pairs, by, grams=grams), "cider"), by)
     if surfaces is not None:
         share = conformity(pairs, surfaces, [by])
         out = out.join(mean(share, "share").withColumnRenamed("share", "vocab_conf"), by, "left")

@@ -44,10 +44,11 @@ def jn_dim_lookup(spark, sf_dir):
     SELECT r.doc_id, CAST(p.i AS BIGINT) AS position, left(lower(trim(pred, ' ')), 25) = left(lower(trim(ref, ' ')), 25) AS agrees FROM p JOIN r USING (i), g WHERE i < n""")
 def jn_positional(spark, sf_dir):
     """Rows paired by position; the agreement of their beginnings tells whether the order can be trusted."""
-    p = curate.numbered(table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("pred")), ["conv_id", "turn"])
-    r = curate.numbered(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("ref")), ["doc_id"])
-    begins = lambda c: F.left(F.lower(F.btrim(c)), F.lit(25))
-    return p.join(r, "row_id").select("doc_id", F.col("row_id").alias("position"), (begins(F.col("pred")) == begins(F.col("ref"))).alias("agrees"))
+    # only what is compared goes through the range sort
+    begins = lambda c: F.left(F.lower(F.btrim(F.coalesce(c, F.lit("")))), F.lit(25))
+    p = curate.numbered(table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", begins(F.col("text")).alias("pred")), ["conv_id", "turn"])
+    r = curate.numbered(table(spark, sf_dir, "documents").select("doc_id", begins(F.col("text")).alias("ref")), ["doc_id"])
+    return p.join(r, "row_id").select("doc_id", F.col("row_id").alias("position"), (F.col("pred") == F.col("ref")).alias("agrees"))
 
 
 @query("""
