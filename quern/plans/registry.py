@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import curation, evaluation, joining, listing, reporting, sampling, training, vocabulary  # noqa: E402, F401
+from . import curation, evaluation, joining, listing, reporting, reports, sampling, training, vocabulary  # noqa: E402, F401

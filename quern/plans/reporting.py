@@ -144,6 +144,31 @@ def fn_path_parse(spark, sf_dir):
     return rows.select("doc_id", "image_path", *(got[c].alias(c) for c in ("session_date", "session_num_img", "panel_slot", "panel_replicate", "dairy_id", "view")))
 
 
+_ROMAN = "I II III IV V VI".split()
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, doc_id % 4 AS kind, lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS day, lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS month, {_ROMAN}[doc_id % 6 + 1] AS bimester, 300 + doc_id % 50 AS dairy FROM documents)
+    SELECT doc_id, CASE kind WHEN 3 THEN NULL ELSE '2021-' || month || '-' || day END AS session_date, CASE WHEN kind = 2 THEN CAST(doc_id % 28 + 1 AS INTEGER) END AS session_num_img,
+           CASE WHEN kind IN (0, 2) THEN bimester END AS bimester_img, CASE WHEN kind = 1 THEN 7 END AS panel_slot, CASE WHEN kind = 1 THEN 'b' END AS panel_replicate,
+           CASE WHEN kind < 3 THEN 'TN_' || dairy END AS dairy_id, CASE kind WHEN 0 THEN 'Grana' WHEN 1 THEN 'Fetta' WHEN 2 THEN 'Grana' END AS view FROM d""")
+def fn_path_layouts(spark, sf_dir):
+    """Paths of several layouts: dates year or day first, by dashes or underscores, bimesters, grana views, and none of it."""
+    d = F.col("doc_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day, month, dairy = two(d % 28 + 1), two(d % 12 + 1), (d % 50 + 300).cast("string")
+    bimester = F.element_at(F.array(*map(F.lit, _ROMAN)), (d % 6 + 1).cast("int"))
+    kinds = [
+        F.concat(F.lit("2021/"), bimester, F.lit(" Bimestre/2021_"), month, F.lit("_"), day, F.lit("/"), dairy, F.lit(" grana.bmp")),
+        F.concat(F.lit("2021/prove/2021-"), month, F.lit("-"), day, F.lit("/P7B_TN"), dairy, F.lit("_fetta.BMP")),
+        F.concat(F.lit("2021/"), (d % 28 + 1).cast("string"), F.lit(" seduta "), F.lower(bimester), F.lit(" bimestre/"), day, F.lit("_"), month, F.lit("_2021/x_TN_"), dairy, F.lit("_GRANA.bmp")),
+        F.concat(F.lit("varie/foto"), d.cast("string"), F.lit("x.bmp")),
+    ]
+    path = F.element_at(F.array(*kinds), (d % 4 + 1).cast("int"))
+    got = text.parse_image_path(F.col("image_path"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("image_path")).select("doc_id", *(got[c].alias(c) for c in ("session_date", "session_num_img", "bimester_img", "panel_slot", "panel_replicate", "dairy_id", "view")))
+
+
 @query("""
     SELECT lang, n, round(100.0::DOUBLE * n_bad / n, 4) AS bad_pct, CASE WHEN 100.0::DOUBLE * n_bad / n <= 20 THEN 'ok' ELSE 'warn' END AS status
     FROM (SELECT lang, count(*) AS n, count(*) FILTER (quality = 0) AS n_bad FROM documents JOIN labels USING (doc_id) GROUP BY lang)""")

@@ -37,6 +37,14 @@ def agg_token_freq(spark, sf_dir):
     return tokens(spark, sf_dir)
 
 
+@query(r"""
+    SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '""" + fixed.SPACE + r"""+'), lambda t: regexp_replace(t, '[^\p{L}\p{N}_]', '', 'g')), lambda t: t <> '')) AS token FROM documents)
+    GROUP BY lang, token""")
+def agg_split_token_freq(spark, sf_dir):
+    """Tokens as parts between white space, with what is no word character taken out of them."""
+    return vocab.token_counts(table(spark, sf_dir, "documents"), text.split_tokens(F.coalesce("text", F.lit(""))), ["lang"])
+
+
 @query(f"WITH {_VOCAB} SELECT lang, token, n FROM counts WHERE n >= 3")
 def agg_vocabulary_floor(spark, sf_dir):
     return words(spark, sf_dir).filter("n >= 3")

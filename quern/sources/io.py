@@ -172,6 +172,13 @@ def report(title: str, tables: dict[str, DataFrame], most: int = 50) -> str:
     return "\n".join(out) + "\n"
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """(section, at, line) of a report as one text file below path: each section's name, then its lines in order. A
+    report is aggregates; its lines are few."""
+    sections = lines.select("section", F.lit(-1).cast("long").alias("at"), F.concat(F.lit("\n## "), "section").alias("line")).distinct()
+    lines.unionByName(sections).coalesce(1).sortWithinPartitions("section", "at").select("line").write.mode("overwrite").text(path)
+
+
 def write_texts(spark: SparkSession, texts: DataFrame, path: str, name_col: str, text_col: str) -> None:
     """One folder for each name with its text as a single file, such as prompts in Markdown."""
     texts.select(F.col(name_col).alias("name"), F.col(text_col).alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)

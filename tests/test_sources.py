@@ -104,3 +104,15 @@ def test_missing_uploads(spark):
     there = spark.createDataFrame([("a", 1), ("b", 9), ("b", 8), ("d", 4), ("a", 7)], "name string, size long")
     assert sorted((r.name, r.why) for r in io.missing_uploads(local, there, "name", "size").collect()) == [("b", "size"), ("c", "absent")]
     assert io.missing_uploads(local, there.limit(0), "name", "size").count() == 3
+
+
+def test_report_in_one_file(spark, tmp_path):
+    from quern.plans import registry
+    from quern.sources import io
+
+    lines = registry.QUERIES["rpt_preparation"](spark, "/root/testdata/sf0.001")
+    io.write_lines(lines, str(tmp_path / "report"))
+    (part,) = (tmp_path / "report").glob("part-*")
+    text = part.read_text().split("\n")
+    assert text[1] == "## 1 rows" and text[2] == "input rows  : 200" and [x for x in text if x.startswith("## ")] == sorted(x for x in text if x.startswith("## "))
+    assert len(text) == lines.count() + 5 * 2 + 1  # a blank and a name for each section, and the end
