@@ -6,8 +6,9 @@ segment for SEGMENT_BYTES of text, so a segment has the same size at every size
 
 Training: a segment adds up the counts of all chunks and stores each n-gram with count c in its filter under the levels
 1 .. 1 + floor(log2 c), pairs seen once as well. The filter has BITS_PER_ENTRY bits for each of its measured entries,
-so that a probe of an absent entry hits with probability 0.012. The n-grams meet the filter in the segment; it is not
-broadcast, as it grows with the text. The exact counts of words, told apart by 80 bits of hash, serve base_score.
+so that a probe of an absent entry hits with probability 0.012. The model is a table with a row for each segment: the
+filter's bits, which are all that is left of the pairs, and the exact counts of its words, told apart by 80 bits of
+hash, which serve base_score. It grows with the text, so the n-grams meet it in the segments and it is not broadcast.
 
 Scoring: each n-gram of a chunk is looked up by probing level after level until a probe misses or the segment's highest
 level is reached; the count is read back as the mean count of its level under a 1/c^2 law, and the levels return to the chunk.
@@ -200,7 +201,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 SENT = "_chunk int, segment int, words binary, rests binary, times binary, pairs binary, counts binary"
-TOLD = "_chunk int, segment int, times binary, word_levels binary, pair_levels binary, n long, v long"
+MODEL = "segment int, bits binary, top int, words binary, rests binary, times binary, n long, v long"
+TOLD = "_chunk int, segment int, times binary, word_levels binary, pair_levels binary"
 
 
 def _send(table: pa.Table, segment_bits: int) -> pa.Table:
@@ -225,50 +227,90 @@ def _send(table: pa.Table, segment_bits: int) -> pa.Table:
     return _batch(rows, _arrow_schema(SENT))
 
 
-def _grouped(order: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted entries: the first of each run (new marks it), the sum of n in it, and the run of each entry."""
-    first = np.flatnonzero(new)
-    run = np.empty(order.size, np.int64)
-    run[order] = np.cumsum(new) - 1
-    return order[first], np.add.reduceat(n[order], first) if first.size else n[:0], run
-
-
-def _solve(table: pa.Table, min_pair: int) -> pa.Table:
-    """A segment's filter, built from all chunks' counts and probed for all their n-grams."""
-    chunks, tops, lows = table["_chunk"].to_pylist(), [], []
-    times, counts = [], []
-    for words, of_words, pairs, of_pairs in zip(*(table[c].to_pylist() for c in ("words", "times", "pairs", "counts")), strict=True):
-        tops.append(unpack_sorted(words))
-        lows.append(unpack_sorted(pairs))
-        times.append(unpack_counts(of_words, tops[-1].size))
-        counts.append(unpack_counts(of_pairs, lows[-1].size))
-    words_at, pairs_at = (np.cumsum([0, *(x.size for x in parts)]) for parts in (tops, lows))
+def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks' words (64 bits and 16 more) and pairs in a segment, and where each chunk's begin."""
+    tops, lows = ([unpack_sorted(x) for x in table[c].to_pylist()] for c in ("words", "pairs"))
     rests = np.frombuffer(b"".join(table["rests"].to_pylist()), np.uint8).reshape(-1, 6)
     h = np.concatenate(tops) << _U(32) | np.ascontiguousarray(rests[:, :4]).view("<u4").ravel()
     more = np.ascontiguousarray(rests[:, 4:]).view("<u2").ravel()
+    return h, more, np.concatenate(lows), *(np.cumsum([0, *(x.size for x in parts)]) for parts in (tops, lows))
+
+
+def _word_keys(h: np.ndarray) -> np.ndarray:
+    return _mix(h + _U(0xA0761D6478BD642F))
+
+
+def _train(table: pa.Table, min_pair: int) -> pa.Table:
+    """A segment of the model, from all chunks' counts in training rows."""
+    h, more, pairs, words_at, pairs_at = _keys(table)
+    times, counts = (np.concatenate([unpack_counts(x, int(n)) for x, n in zip(table[c].to_pylist(), np.diff(at), strict=True)]) for c, at in (("times", words_at), ("counts", pairs_at)))
+    h, more, times = h[times > 0], more[times > 0], times[times > 0]
     order = np.lexsort((more, h))
     new = np.ones(order.size, bool)
     new[1:] = (h[order[1:]] != h[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
-    first, exact, word_of = _grouped(order, new, np.concatenate(times))
-    words = _mix(h[first] + _U(0xA0761D6478BD642F))
-    pairs = np.concatenate(lows)
+    first, exact = _summed(order, new, times)
+    h, more = h[first], more[first]
+    pairs, counts = pairs[counts > 0], counts[counts > 0]
     order = np.argsort(pairs, kind="stable")
     new = np.ones(order.size, bool)
     new[1:] = pairs[order[1:]] != pairs[order[:-1]]
-    first, n, pair_of = _grouped(order, new, np.concatenate(counts))
-    pairs = pairs[first]
-    stored = np.concatenate([exact > 0, n >= max(1, min_pair)])
-    keys = np.concatenate([words, pairs])
-    found = LogFrequencyFilter.build(keys[stored], np.concatenate([exact, n])[stored]).level(keys)
-    of_words, of_pairs, told = found[:words.size][word_of], found[words.size:][pair_of], exact[word_of]
-    total, distinct, segment = int(exact.sum()), int((exact > 0).sum()), table["segment"][0].as_py()
+    first, n = _summed(order, new, counts)
+    often = n >= max(1, min_pair)
+    model = LogFrequencyFilter.build(np.concatenate([_word_keys(h), pairs[first][often]]), np.concatenate([exact, n[often]]))
+    rests = np.concatenate([(h & _U(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4), more.astype("<u2").view(np.uint8).reshape(-1, 2)], axis=1)
+    row = (table["segment"][0].as_py(), model.bits.tobytes(), model.top, pack_sorted(h >> _U(32)), rests.tobytes(), pack_counts(exact), int(exact.sum()), int(exact.size))
+    return _batch([row], _arrow_schema(MODEL))
+
+
+def _summed(order: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted entries: the first of each run (new marks it), and the sum of n in it."""
+    first = np.flatnonzero(new)
+    return order[first], np.add.reduceat(n[order], first) if first.size else n[:0]
+
+
+def _known(h: np.ndarray, more: np.ndarray, words: np.ndarray, rest: np.ndarray, exact: np.ndarray) -> np.ndarray:
+    """Exact counts of the words (h, more); words and rest are the model's, sorted."""
+    out, left = np.zeros(h.size, np.int64), np.arange(h.size)
+    at = np.searchsorted(words, h)
+    while left.size:  # once, unless several words have the same 64 bits
+        left = left[at[left] < words.size]
+        left = left[words[at[left]] == h[left]]
+        hit = rest[at[left]] == more[left]
+        out[left[hit]] = exact[at[left[hit]]]
+        left = left[~hit]
+        at[left] += 1
+    return out
+
+
+def _probe(table: pa.Table, model: pa.Table) -> pa.Table:
+    """The levels of all chunks' n-grams in a segment, by probing the model's filter, and exact counts of words."""
+    if not table.num_rows or not model.num_rows:
+        return _batch([], _arrow_schema(TOLD))
+    h, more, pairs, words_at, pairs_at = _keys(table)
+    (row,) = model.to_pylist()
+    of = LogFrequencyFilter(np.frombuffer(row["bits"], np.uint8), row["top"])
+    rests = np.frombuffer(row["rests"], np.uint8).reshape(-1, 6)
+    words = unpack_sorted(row["words"]) << _U(32) | np.ascontiguousarray(rests[:, :4]).view("<u4").ravel()
+    told = _known(h, more, words, np.ascontiguousarray(rests[:, 4:]).view("<u2").ravel(), unpack_counts(row["times"], words.size))
+    of_words, of_pairs = of.level(_word_keys(h)), of.level(pairs)
     rows = []
-    for i, c in enumerate(chunks):
+    for i, c in enumerate(table["_chunk"].to_pylist()):
         w, p = slice(words_at[i], words_at[i + 1]), slice(pairs_at[i], pairs_at[i + 1])
-        rows.append((c, segment, pack_counts(told[w]), of_words[w].tobytes(), of_pairs[p].tobytes(), 0 if i else total, 0 if i else distinct))
+        rows.append((c, row["segment"], pack_counts(told[w]), of_words[w].tobytes(), of_pairs[p].tobytes()))
     return _batch(rows, _arrow_schema(TOLD))
 
 
+def n_grams(docs: DataFrame, segment_bits: int) -> DataFrame:
+    """Dealt rows (_chunk, _text, held_out) -> their distinct n-grams by segment, dealt by segment."""
+    sent = docs.groupBy("_chunk").applyInArrow(lambda table: _send(table, segment_bits), SENT)
+    return sent.repartition(min(1 << segment_bits, MOST_PARTITIONS), "segment")
+
+
+def train(sent: DataFrame, segment_bits: int, min_pair: int = MIN_PAIR) -> DataFrame:
+    """The model: a row for each segment, with the filter's bits, the exact counts of its words, and their sums."""
+    return sent.groupBy("segment").applyInArrow(lambda table: _train(table, min_pair), MODEL).repartition(min(1 << segment_bits, MOST_PARTITIONS), "segment")
+
+
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -288,13 +330,13 @@ def score(
     # by row, so that rows that repeat are dealt evenly too; beyond MOST_PARTITIONS a partition has several chunks
     row = F.monotonically_increasing_id()
     dealt = base.withColumn("_chunk", F.pmod(F.xxhash64(row), F.lit(chunks)).cast("int")).repartition(min(chunks, MOST_PARTITIONS), "_chunk")
-    # all columns of dealt, so that its exchange is used again
-    sent = dealt.groupBy("_chunk").applyInArrow(lambda table: _send(table, segment_bits), SENT)
-    answers = sent.groupBy("segment").applyInArrow(lambda table: _solve(table, min_pair), TOLD).repartition(min(chunks, MOST_PARTITIONS), "_chunk")
-    # one row, from the exchange of the answers; both sides read all columns, so that the exchange is used again. The
-    # key is false for all rows
-    every = sum((F.count(c) for c in answers.columns[1:]), F.count(answers.columns[0]))
-    totals = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("v"), F.lit(0)).alias("v_all"), (every < 0).alias("_one"))
+    # all columns of dealt, of sent and of the model, so that their exchanges are used again
+    sent = n_grams(dealt, segment_bits)
+    model = train(sent, segment_bits, min_pair)
+    answers = sent.groupBy("segment").cogroup(model.groupBy("segment")).applyInArrow(_probe, TOLD).repartition(min(chunks, MOST_PARTITIONS), "_chunk")
+    # one row; the key is false for all rows
+    every = sum((F.count(c) for c in model.columns[1:]), F.count(model.columns[0]))
+    totals = model.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("v"), F.lit(0)).alias("v_all"), (every < 0).alias("_one"))
     told = answers.join(F.broadcast(totals), F.isnull("_chunk") == F.col("_one")).drop("_one")
     schema = dealt.select("doc_id", "held_out").withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
 
