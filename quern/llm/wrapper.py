@@ -20,7 +20,8 @@ Blocks: block elements begin a new block; inline markup and <br> do not. Charact
 space becomes one space, blocks are trimmed and joined by one newline in page order; empty blocks go.
 
 Parsing takes time in proportion to the page, whatever is left unclosed; nothing recurses, so pages may be nested to any
-depth. Sibling lists of more than GREEDY pairs of runs are aligned in order of their labels instead of best.
+depth. Sibling lists of any length are aligned best: what a pair is worth depends on the shapes of its two trees alone and
+is found once for each pair of shapes, and of long lists' tables a few rows are kept, from which the way back is found.
 
 Null or empty html gives an empty text. A null url is a host of its own. Repeated rows give repeated rows. Extra
 columns are ignored. Pages of one host are never gathered in one task: skeletons and what induction found are broadcast
@@ -30,7 +31,6 @@ partial sums. Each page is parsed once; its blocks are written to the checkpoint
 
 from __future__ import annotations
 
-import bisect
 import html as html_lib
 import re
 from collections import Counter
@@ -47,7 +47,7 @@ from .common import checkpointed, read_table, stored
 TEMPLATE_SHARE = 0.9
 TEMPLATE_PAGES = 8
 BROADCAST_BYTES = 32 << 20
-GREEDY = 250_000
+TABLE = 4_096  # pairs of runs whose table is held whole
 
 #: Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,13 +73,14 @@ _NO_WORDS: frozenset[str] = frozenset()
 
 
 class Node:
-    __slots__ = ("children", "classes", "ids", "kids", "label", "name", "runs", "tag")
+    __slots__ = ("children", "classes", "ids", "kids", "label", "name", "runs", "shape", "shapes", "tag")
 
     def __init__(self, tag: str, label: str = "", classes: frozenset = _NO_WORDS, ids: frozenset = _NO_WORDS):
         self.tag, self.label, self.classes, self.ids = tag, label or tag, classes, ids  # whole words of class and role, and of id
         self.children: list[Node | str] = []
         self.kids: list[Node] = []  # block elements below it, through inline ones
         self.name, self.runs = -1, None
+        self.shape, self.shapes = -1, None
 
     def excluded(self, words: bool, in_article: bool) -> bool:
         tag = self.tag
@@ -186,60 +187,109 @@ def folded(node: Node) -> list[list[Node]]:
     return node.runs
 
 
-def _in_order(x: list[list[Node]], y: list[list[Node]]) -> list[tuple[int, int]]:
-    """Each run of x with the next run of y that has its label."""
-    where: dict[str, list[int]] = {}
+def shaped(root: Node, known: dict[tuple, int]) -> dict[tuple, int]:
+    """Number the shapes of root's block nodes: label and shapes of the runs below, as matching sees them. Returns those
+    that are not known."""
+    new: dict[tuple, int] = {}
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(node.kids)
+    for node in reversed(order):
+        key = (node.label, *(r[0].shape for r in folded(node)))
+        node.shape = known[key] if key in known else new.setdefault(key, len(known) + len(new))
+    return new
+
+
+def _held_mapping(x: list, y: list, worth: Callable[[Node, Node], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The order-keeping pairs of runs that are worth most, by a table held whole."""
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, r in enumerate(x):
+        for j, s in enumerate(y):
+            here = worth(r[0], s[0]) if r[0].label == s[0].label else 0
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + here)
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return table[-1][-1], pairs
+
+
+def _long_mapping(x: list, y: list, worth: Callable[[Node, Node], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The same pairs with whole rows at a time; rows are kept at distances of sqrt(len(x)), and those between two of
+    them are made again when the way back comes there."""
+    places: dict[str, dict[int, tuple[Node, list[int]]]] = {}
     for j, s in enumerate(y):
-        where.setdefault(s[0].label, []).append(j)
-    out, at = [], 0
+        places.setdefault(s[0].label, {}).setdefault(s[0].shape, (s[0], []))[1].append(j)
+    rows: dict[int, np.ndarray] = {}  # worth of a shape of x with all of y
+
+    def step(before: np.ndarray, node: Node) -> np.ndarray:
+        if node.shape not in rows:
+            if len(rows) >= 64:
+                rows.clear()
+            rows[node.shape] = np.zeros(len(y), np.int64)
+            for other, at in places.get(node.label, {}).values():
+                rows[node.shape][at] = worth(node, other)
+        out = np.zeros(len(y) + 1, np.int64)
+        np.maximum.accumulate(np.maximum(before[1:], before[:-1] + rows[node.shape]), out=out[1:])
+        return out
+
+    apart = int(len(x) ** 0.5) + 1
+    row, kept = np.zeros(len(y) + 1, np.int64), []
     for i, r in enumerate(x):
-        places = where.get(r[0].label, [])
-        k = bisect.bisect_left(places, at)
-        if k < len(places):
-            out.append((i, places[k]))
-            at = places[k] + 1
-    return out
+        if i % apart == 0:
+            kept.append(row)
+        row = step(row, r[0])
+    most, pairs, j = int(row[-1]), [], len(y)
+    for k in reversed(range(len(kept))):
+        table = [kept.pop()]
+        for r in x[k * apart:(k + 1) * apart]:
+            table.append(step(table[-1], r[0]))
+        i = len(table) - 1
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j = int(np.searchsorted(table[i], table[i][j]))  # rows never fall
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((k * apart + i, j))
+    return most, pairs
 
 
 def match(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, list]]) -> list[tuple[int, int]]:
     """Simple tree matching of two nodes with one label: the most node pairs of an order-keeping, top-down mapping.
 
-    memo: (id, id) -> (pairs of nodes, pairs of the nodes' runs). Own stack, children first.
+    memo: (shape, shape) -> (pairs of nodes, pairs of the nodes' runs). Own stack, children first.
     """
+    worth = lambda m, n: memo[m.shape, n.shape][0] if m.kids and n.kids else 1
     todo = [(a, b)]
     while todo:
         p, q = todo[-1]
-        key = (id(p), id(q))
+        key = (p.shape, q.shape)
         if key in memo:
             todo.pop()
             continue
         x, y = folded(p), folded(q)
-        if len(x) * len(y) > GREEDY:
-            memo[key] = (1, _in_order(x, y))
-            continue
-        like = [(i, j) for i, r in enumerate(x) for j, s in enumerate(y) if r[0].label == s[0].label]
-        inner = {(i, j): (x[i][0], y[j][0]) for i, j in like if x[i][0].kids and y[j][0].kids}
-        missing = [pair for pair in inner.values() if (id(pair[0]), id(pair[1])) not in memo]
+        kinds: dict[str, dict[int, Node]] = {}
+        for s in y:
+            if s[0].kids:
+                kinds.setdefault(s[0].label, {})[s[0].shape] = s[0]
+        mine = {r[0].shape: r[0] for r in x if r[0].kids}
+        missing = [(m, n) for m in mine.values() for n in kinds.get(m.label, {}).values() if (m.shape, n.shape) not in memo]
         if missing:
             todo.extend(missing)
             continue
-        worth = {ij: memo[id(inner[ij][0]), id(inner[ij][1])][0] if ij in inner else 1 for ij in like}
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x)):
-            for j in range(len(y)):
-                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + worth.get((i, j), 0))
-        pairs, i, j = [], len(x), len(y)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-        memo[key] = (table[-1][-1] + 1, pairs)
+        most, pairs = (_held_mapping if len(x) * len(y) <= TABLE else _long_mapping)(x, y, worth)
+        memo[key] = (most + 1, pairs)
         todo.pop()
-    return memo[id(a), id(b)][1]
+    return memo[a.shape, b.shape][1]
 
 
 def align(page: Node, skeleton: Node) -> None:
@@ -247,6 +297,9 @@ def align(page: Node, skeleton: Node) -> None:
     the last one. What the skeleton lacks is named by its parent's name and its label."""
     import xxhash
 
+    if skeleton.shapes is None:
+        skeleton.shapes = shaped(skeleton, {})
+    shaped(page, skeleton.shapes)
     memo: dict = {}
     todo = [(page, skeleton)]
     page.name = skeleton.name

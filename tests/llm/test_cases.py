@@ -337,6 +337,29 @@ def test_pages_against_a_plain_extraction(spark):
     assert got == Counter((r.page_id, t, len(t)) for r in pages.collect() for t in [plain_text(r.html)]) and len(got) == 250
 
 
+def test_long_sibling_lists_are_aligned_best():
+    """A section at the front of the page that the skeleton has at its end must not drag all others behind it."""
+    n = 400
+    pairs = "".join(f"<p class='a{i}'>x</p><div class='b{i}'><ul><li>y</li></ul></div>" for i in range(n))
+    page, skeleton = wrapper.parse(f"<body><p class='late'>z</p>{pairs}</body>"), wrapper.parse(f"<body>{pairs}<p class='late'>z</p></body>")
+    wrapper.number(skeleton)
+    wrapper.align(page, skeleton)
+    assert [k.name for k in page.kids[0].kids[1:]] == [k.name for k in skeleton.kids[0].kids[:-1]] and page.kids[0].kids[0].name < -1
+
+
+def test_long_lists_give_what_held_tables_give():
+    rng = random.Random(4)
+    for _ in range(60):
+        kinds = ["<p>t</p>", "<div><p>t</p></div>", "<div><p>t</p><ul><li>u</li></ul></div>", "<div><ul><li>u</li></ul><p>v</p><ol><li>w</li></ol></div>", "<table><tr><td>c</td></tr></table>", "<h2>h</h2>", "<section><div><p>t</p></div><p>q</p></section>"]
+        a, b = (wrapper.parse("<body>" + "".join(rng.choices(kinds, k=rng.randrange(1, 60))) + "</body>").kids[0] for _ in range(2))
+        known = wrapper.shaped(a, {})
+        wrapper.shaped(b, known)
+        memo = {}
+        wrapper.match(a, b, memo)
+        worth = lambda m, n: memo[m.shape, n.shape][0] if m.kids and n.kids else 1  # noqa: E731, B023
+        assert wrapper._long_mapping(a.runs, b.runs, worth) == wrapper._held_mapping(a.runs, b.runs, worth)
+
+
 def test_no_block_of_the_given_pages_is_constant(spark):
     """Why the template half leaves nothing out there: no node has one text on even a half of a host's pages."""
     hosts = defaultdict(list)
