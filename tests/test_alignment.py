@@ -38,6 +38,28 @@ def test_alignment_against_all(spark):
         assert alignment.align(pred, ref, [stem(w) for w in pred], [stem(w) for w in ref]) == (matches, chunks), (pred, ref)
 
 
+def test_repeated_words_ask_for_few_alignments(monkeypatch):
+    """Many words that occur several times on both sides, apart from each other: all their alignments are alike, and one
+    set of places at a time is enough. Before, hundreds were followed, and 512 were not enough for the last case."""
+    words = [f"w{chr(97 + k)}" for k in range(8)]
+    pred = [x for n in range(6) for k, w in enumerate(words) for x in (w, f"p{n}k{k}q")]
+    ref = [x for n in range(3) for k, w in enumerate(words) for x in (w, f"r{n}k{k}t")]
+    monkeypatch.setattr(alignment, "STATES", 1)
+    assert alignment.align(pred, ref, pred, ref) == (24, 24)
+    # w0..w7 are adjacent once on either side, after repetitions that are not
+    monkeypatch.setattr(alignment, "STATES", 512)
+    assert alignment.align(pred + words, [*ref[:16], "t", *words, *ref[32:]], [*pred, *words], [*ref[:16], "t", *words, *ref[32:]]) == (24, 17)
+
+
+def test_alignment_of_repetitions_against_all():
+    rng = random.Random(31)
+    for _ in range(60):
+        words = ["a", "b", "casa", "case", "x", "y", "z"]
+        pred, ref = ([rng.choice(words) for _ in range(rng.randint(4, 6))] for _ in range(2))
+        _, matches, chunks = every_alignment(pred, ref)
+        assert alignment.align(pred, ref, [stem(w) for w in pred], [stem(w) for w in ref]) == (matches, chunks), (pred, ref)
+
+
 def test_meteor_by_hand(spark):
     rows = [(1, "the cat sat on the mat", "the cat sat on the mat"), (2, "on the mat sat the cat", "the cat sat on the mat"), (3, "the cat was sat on the mat", "the cat sat on the mat"), (4, "x y", "z"), (5, "", "z"), (6, "case rosse", "casa rossa"), (7, "a " * 400, "a " * 300)]
     got = {r.id: r for r in alignment.meteor(spark.createDataFrame(rows, "id int, pred string, ref string")).collect()}
