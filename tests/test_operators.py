@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import fixed, text
-from quern.operators import curate, joins, metrics, nearest, sampling, vocab
+from quern.operators import curate, grams, joins, metrics, nearest, sampling, vocab
 
 
 def test_numbered_keeps_all_rows_of_wide_tables(spark):
@@ -46,6 +46,27 @@ def test_joined_back(spark):
     assert len(got) == 3000 and all((r.n, r.top) == (want[r.k] if r.k != "k2" else (None, None)) for r in got)
 
 
+def test_grams_of_chunks_and_segments(spark):
+    """Many chunks and segments give what one gives, and no n-gram becomes a row of its own."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices(["uno", "due", "tre", "Quattro!", "", "\u00e8", "sei-sette"], k=n))
+    rows = [(i, f"f{i % 3}", say(rng.randrange(0, 30)), say(rng.randrange(0, 12))) for i in range(200)] + [(200, "f0", "", ""), (201, "f3", "x", ""), (202, "f3", "", "x")]
+    pairs = spark.createDataFrame(rows, "id long, file string, pred string, ref string")
+    told = lambda df: sorted((r.id, r.file, round(r.cider, 9), r.lp, r.lr, tuple(r.hit), tuple(r.tf)) for r in df.collect())
+    got = grams.scored(pairs, "file", 4, chunk_bytes=1000, segment_bytes=500)
+    assert told(got) == told(grams.scored(pairs, "file", 4)) and len(told(got)) == 203
+    assert "Generate" not in grams.scored(pairs, "file", 4)._jdf.queryExecution().optimizedPlan().toString()
+    by_sums = {r.file: (r.bleu1, r.bleu4) for r in metrics.evaluated(pairs, "file", digits=6, aligned=False).collect()}
+    assert by_sums == {r.file: (r.bleu1, r.bleu4) for r in metrics.bleu(pairs, "file").collect()}
+
+
+def test_keys_are_packed(spark):
+    import numpy as np
+
+    for keys in ([], [0], [2**64 - 1], [3, 7, 900, 2**63, 2**64 - 2]):
+        assert grams.unpacked(grams.packed(np.array(keys, np.uint64))).tolist() == keys
+
+
 def test_stratified(spark):
     rows = spark.createDataFrame([(i, "big" if i % 10 else "small", i) for i in range(500)], "id long, s string, w long")
     split = sampling.stratified_split(rows, "id", "s").groupBy("s", "split").count().collect()
