@@ -44,7 +44,8 @@ from .common import checkpointed, joined_back, read_table, stored
 
 LENGTH, GRAM, MOST_STRINGS = 50, 28, 64
 #: A bitmap has as many bits as its expected entries ask for, and 2**BITMAP_LOG2 at most.
-BITMAP_LOG2, BITS_PER_ID, BYTES_PER_BIT, SLICES_MOST = 28, 16, 8, 16
+#: Every slice reads all text twice, so there are as few as broadcasts of 128 MiB allow: one up to 8 GiB of text.
+BITMAP_LOG2, IDS_LOG2, BITS_PER_ID, BYTES_PER_BIT, SLICES_MOST = 30, 28, 16, 8, 4
 SEGMENT_BITS = 10
 HOT = 1 << 16
 FLUSH = 1_000_000
@@ -200,7 +201,7 @@ def id_bitmap(ids: DataFrame, log2: int) -> bytes:
     return out.tobytes()
 
 
-def key_bitmaps(docs: DataFrame, first, length: int, gram: int, hot: int, log2: int, id_log2: int, part: int, parts_log2: int) -> tuple[bytes, bytes]:
+def key_bitmaps(docs: DataFrame, first, length: int, gram: int, hot: int, log2: int, id_log2: int, part: int, parts_log2: int) -> tuple[bytearray, bytearray]:
     """Bitmaps over the top bits of a slice's keys: found in two documents or more; found in hot documents or more."""
     hot_log2 = hot_bits(log2)
     counted = docs.select("_text", "_place").mapInArrow(lambda it: _count_keys(it, np.frombuffer(first.value, np.uint8), length, gram, id_log2, part, parts_log2), "segment int, once binary, more binary, counts binary")
@@ -218,11 +219,12 @@ def key_bitmaps(docs: DataFrame, first, length: int, gram: int, hot: int, log2:
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "shared": pa.array(out[:1], pa.binary()), "hot": pa.array(out[1:], pa.binary())})
 
-    shared, many = (np.zeros((1 << width) // 8, np.uint8) for width in (log2, hot_log2))
+    bitmaps = [bytearray((1 << width) // 8) for width in (log2, hot_log2)]
+    shared, many = (np.frombuffer(b, np.uint8) for b in bitmaps)  # no second copy of them in the driver
     for row in counted.groupBy("segment").applyInArrow(build, "segment int, shared binary, hot binary").toLocalIterator():
         for whole, part in ((shared, row["shared"]), (many, row["hot"])):
             whole[row["segment"] * len(part):(row["segment"] + 1) * len(part)] = np.frombuffer(part, np.uint8)
-    return shared.tobytes(), many.tobytes()
+    return tuple(bitmaps)
 
 
 def hot_bits(log2: int) -> int:
@@ -589,6 +591,13 @@ def merged_ranges(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[begins, 0], reach[np.append(begins[1:], len(ranges)) - 1]], axis=1).astype("<i4")
 
 
+def bitmap_bits(text_bytes: int, bitmap_log2: int) -> tuple[int, int | None]:
+    """log2 of a key bitmap's bits, and of the slices of the key space: None where they are too many for bitmaps."""
+    wanted = bits_for(text_bytes / BYTES_PER_BIT, 64)
+    log2 = min(wanted, bitmap_log2)
+    return log2, wanted - log2 if wanted - log2 < SLICES_MOST.bit_length() else None
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bitmap_log2: int = BITMAP_LOG2) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs as byte ranges), kept (the remaining bytes)."""
     if not gram <= length <= 250 - MOST_STRINGS:
@@ -598,9 +607,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).withColumn("_place", F.xxhash64("id"))
     volume = slim.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
-    id_log2, wanted = bits_for(BITS_PER_ID * volume["rows"], bitmap_log2), bits_for(volume["bytes"] / BYTES_PER_BIT, 64)
-    key_log2 = min(wanted, bitmap_log2)
-    parts_log2 = wanted - key_log2 if wanted - key_log2 < SLICES_MOST.bit_length() else None
+    id_log2 = bits_for(BITS_PER_ID * volume["rows"], min(bitmap_log2, IDS_LOG2))
+    key_log2, parts_log2 = bitmap_bits(volume["bytes"], bitmap_log2)
     ranges = checkpointed(removed_ranges(slim.filter("id IS NOT NULL"), length, gram, hot, key_log2, id_log2, parts_log2))
     # only texts that may lose something are shuffled to meet their ranges
     losing = spark.sparkContext.broadcast(id_bitmap(ranges.select("id"), id_log2))

@@ -337,6 +337,12 @@ def test_pages_against_a_plain_extraction(spark):
     assert got == Counter((r.page_id, t, len(t)) for r in pages.collect() for t in [plain_text(r.html)]) and len(got) == 250
 
 
+def test_texts_of_several_gigabytes_are_read_in_one_slice():
+    """A slice of the key space costs two more passes over all text."""
+    bits = lambda gib: suffix_dedup.bitmap_bits(gib << 30, suffix_dedup.BITMAP_LOG2)
+    assert bits(6)[1] == bits(8)[1] == 0 and bits(32)[1] == 2 and bits(33)[1] is None
+
+
 def test_long_sibling_lists_are_aligned_best():
     """A section at the front of the page that the skeleton has at its end must not drag all others behind it."""
     n = 400
