@@ -1,5 +1,6 @@
 """Operators whose plans have to hold on wide, skewed or broken input."""
 
+import hashlib
 import random
 import unicodedata
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import fixed, text
-from quern.operators import curate, grams, joins, metrics, nearest, sampling, vocab
+from quern.operators import curate, grams, joins, metrics, nearest, sampling, shuffles, vocab
 
 
 def test_numbered_keeps_all_rows_of_wide_tables(spark):
@@ -60,6 +61,30 @@ def test_grams_of_chunks_and_segments(spark):
     assert by_sums == {r.file: (r.bleu1, r.bleu4) for r in metrics.bleu(pairs, "file").collect()}
 
 
+def test_shuffles_in_small_chunks_against_a_plain_version(spark):
+    rng = random.Random(8)
+    data = [(rng.randrange(-(10**12), 10**12), *(" ".join(sorted(rng.sample("a b c d e f g h".split(), rng.randrange(0, 5)))) for _ in range(2))) for _ in range(90)]
+    ordered = sorted(data)
+    rows = spark.createDataFrame([(*x, i) for i, x in enumerate(ordered)], "id long, p string, r string, row_id long").repartition(3)
+    want = {}
+    for k in range(1, 8):
+        drawn = sorted(ordered, key=lambda x: (hashlib.md5(f"42|{k}|{x[0]}".encode()).hexdigest(), x[0]))
+        want[k] = sum(len(set(a[1].split()) & set(b[2].split())) / len(a[1].split()) for a, b in zip(drawn, ordered) if a[1]) / len(data)
+    for sizes in ({}, {"chunk_bytes": 60, "block_bytes": 90, "bucket_rows": 40}):
+        got = {r.k: r.s for r in shuffles.mean_overlaps(rows, 7, 42, **sizes).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
+    assert shuffles.mean_overlaps(rows.limit(0), 7, 42).count() == 0
+
+
+def test_shuffle_test_moves_no_text_for_each_shuffle(spark):
+    """Before, rows of each shuffle were joined with their texts, twice."""
+    words = [f"w{i}" for i in range(40)]
+    pairs = spark.createDataFrame([(i, " ".join(random.Random(i).sample(words, 9)), " ".join(random.Random(-i).sample(words, 9))) for i in range(300)], "id long, pred string, ref string")
+    r = metrics.shuffle_test(pairs)
+    assert r.count() == 1 and r.first().observed is not None
+    assert "Join" not in r._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_keys_are_packed(spark):
     import numpy as np
 
