@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -45,6 +45,8 @@ THRESHOLD = 0.7
 #: A toxic row counts so often in the logistic fit: missing it is worse than rejecting a clean one.
 MISS_COST = 2.0
 PREFIXES = range(3, 11)
+#: Python holds so many counts, remembered words and rows at once, whatever a batch has; beyond that it hands on or begins anew.
+HELD_COUNTS, HELD_WORDS, HELD_ROWS = 100_000, 60_000, 64
 #: The least bound of an entry's log odds, and the toxic documents that have it.
 LEAST_BOUND, LEAST_TOXIC = 2.5, 3
 #: Toxic documents a lexicon entry must have for each clean one.
@@ -113,6 +115,7 @@ def target() -> Transducer:
 
 ALPHABET = OTHER + INSULT + THREAT + TARGET + NEGATION + REPORT + STOP
 AIMED = {INSULT: "a", THREAT: "b"}
+UNKNOWN = (OTHER, 0.0)
 #: Output symbols that score: targeted, plain, reported and negated insults, then threats.
 SCORED = "aijIbhkH"
 #: Between which values the weight of a targeted, reported and negated pattern is fitted; a plain one has 1.
@@ -136,11 +139,12 @@ def grammar(parts: tuple[Transducer, ...] | None = None) -> Transducer:
 
 
 class Lexicon(dict):
-    """word -> (symbol, weight), from the learned beginnings (key 'abc') and words (key '=abc'); remembers what it met."""
+    """word -> (symbol, weight), from the learned beginnings (key 'abc') and words (key '=abc'); remembers the last words
+    it met, held of them at most."""
 
-    def __init__(self, entries: dict[str, tuple[str, float]]):
+    def __init__(self, entries: dict[str, tuple[str, float]], held: int = HELD_WORDS):
         super().__init__()
-        self.entries = entries
+        self.entries, self.held = entries, held
         self.fixed = {w: (s, 1.0) for s, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS)) for w in ws}
         self.fixed |= {c: (STOP, 0.0) for c in ".!?;\n"}
 
@@ -148,8 +152,8 @@ class Lexicon(dict):
         out = self.entries.get("=" + word) or self.fixed.get(word)
         if not out:
             found = [x for n in PREFIXES if n <= len(word) and (x := self.entries.get(word[:n]))]
-            out = max(found, key=lambda x: x[1], default=(OTHER, 0.0))
-        if len(self) > 400_000:
+            out = max(found, key=lambda x: x[1], default=UNKNOWN)
+        if len(self) >= self.held:
             self.clear()
         self[word] = out
         return out
@@ -182,28 +186,63 @@ def features(total: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(total), *steps])
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weights of the documents per beginning, fold and label, and of toxic ones that have it before a second person."""
-    aims = set(TARGETS)
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows' values, of which HELD_ROWS are Python's at a time."""
     for batch in batches:
-        seen: Counter = Counter()
-        for text, label, fold, weight in zip(*(batch.column(c).to_pylist() for c in ("_text", "_label", "_fold", "_weight")), strict=True):
-            tokens = _TOKEN.findall((text or "").lower())
-            words = {w for w in tokens if w.isalpha()}
-            before = {w for w, *rest in zip(tokens, tokens[1:] + [""], tokens[2:] + ["", ""], strict=False) if label and w in words and aims.intersection(rest)}
-            for kind, some in ((label, words), (2, before)):
-                for part in {w[:n] for w in some for n in PREFIXES if n <= len(w)} | {"=" + w for w in some}:
-                    seen[part, fold, kind] += weight
-        keys = list(dict.fromkeys((part, fold) for part, fold, _ in seen))
-        told = {"part": [k[0] for k in keys], "fold": [k[1] for k in keys]} | {name: [seen[(*k, kind)] for k in keys] for name, kind in (("clean", 0), ("toxic", 1), ("aimed", 2))}
-        yield pa.RecordBatch.from_pydict({c: pa.array(v, {"part": pa.string(), "fold": pa.int64()}.get(c, pa.float64())) for c, v in told.items()})
+        for at in range(0, batch.num_rows, HELD_ROWS):
+            some = batch.slice(at, HELD_ROWS)
+            yield from zip(*(some.column(c).to_pylist() for c in columns), strict=True)
+
+
+def _parts(words: set[str]) -> Iterator[str]:
+    """Each word and each beginning once: of sorted words, those that share a beginning follow each other."""
+    before = ""
+    for word in sorted(words):
+        yield "=" + word
+        for n in PREFIXES:
+            if n > len(word):
+                break
+            if (part := word[:n]) != before[:n]:
+                yield part
+        before = word
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of the documents per beginning, fold and label, and of toxic ones that have it before a second person.
+    Whenever HELD_COUNTS are held they are handed on, in the middle of a text too; Spark sums them up."""
+    aims, kinds = set(TARGETS), ("clean", "toxic", "aimed")
+    seen: dict[tuple[int, int], dict[str, float]] = defaultdict(dict)
+    held = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for (fold, kind), counts in seen.items():
+            told = {c: np.zeros(len(counts)) for c in kinds} | {kinds[kind]: np.fromiter(counts.values(), float, len(counts))}
+            yield pa.RecordBatch.from_pydict({"part": pa.array(counts, pa.string()), "fold": np.full(len(counts), fold, np.int64)} | told)
+        seen.clear()
+
+    for text, label, fold, weight in _rows(batches, "_text", "_label", "_fold", "_weight"):
+        tokens = _TOKEN.findall((text or "").lower())
+        words = {w for w in tokens if w.isalpha()}
+        before = {w for w, *rest in zip(tokens, tokens[1:] + [""], tokens[2:] + ["", ""], strict=False) if w in words and aims.intersection(rest)} if label else set()
+        for kind, some in ((label, words), (2, before)):
+            counts = seen[fold, kind]
+            for part in _parts(some):
+                if part in counts:
+                    counts[part] += weight
+                    continue
+                counts[part] = weight
+                held += 1
+                if held >= HELD_COUNTS:
+                    yield from counted()
+                    counts, held = seen[fold, kind], 0
+    yield from counted()
 
 
 def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least hash of a text's runs of five words, which near copies mostly share and other texts do not."""
     for batch in batches:
         least = []
-        for text in batch.column("_text").to_pylist():
+        for (text,) in _rows([batch], "_text"):
             words = (text or "").lower().encode().split()
             least.append(min(int.from_bytes(hashlib.blake2b(b" ".join(words[i : i + 5]), digest_size=7).digest()) for i in range(max(1, len(words) - 4))))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_draw", "_label", "_text")), pa.array(least, pa.int64())], ["_draw", "_label", "_text", "_least"])
@@ -334,9 +373,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         shared = sample.sparkSession.sparkContext.broadcast(lexicons)
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine, known = grammar(), [Lexicon(x) for x in shared.value]
+            machine, known = grammar(), [Lexicon(x, HELD_WORDS // (FOLDS + 1)) for x in shared.value]
             for batch in batches:
-                x = [clauses(t, known[f], machine) for t, f in zip(batch.column("_text").to_pylist(), batch.column("_fold").to_pylist(), strict=True)]
+                x = [clauses(t, known[f], machine) for t, f in _rows([batch], "_text", "_fold")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.list_(pa.float64()))), batch.column("_label"), batch.column("_weight")], ["x", "y", "w"])
 
         rows = sample.select("_text", "_label", "_fold", "_weight").mapInArrow(measured, "x array<array<double>>, y int, w double").collect()
@@ -350,7 +389,9 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """Per row: doc_id, score, predicted (score >= threshold), carry (a struct of the columns it names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), carried.alias("carry"))
+    inside = bool(carry) and text_col in carry  # then the text goes through Python once
+    text = F.lit(None).cast("string") if inside else F.col(text_col)
+    slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), carried.alias("carry"))
     schema = slim.select("doc_id", F.lit(0.0).alias("score"), "carry").schema
     arrow = to_arrow_schema(schema, timestamp_utc=True)
 
@@ -358,7 +399,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         m = shared.value
         lexicon, machine = Lexicon(m.lexicon), grammar()
         for batch in batches:
-            scores = [m.score(t, lexicon, machine) for t in batch.column("_text").to_pylist()]
+            texts = batch.column("carry").field(text_col) if inside else batch.column("_text")
+            scores = [m.score(t, lexicon, machine) for (t,) in _rows([pa.RecordBatch.from_arrays([texts], ["_text"])], "_text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(scores, pa.float64()), batch.column("carry").cast(arrow.field("carry").type)], schema=arrow)
 
     scored = slim.mapInArrow(run, schema)

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quern.llm import chat, exact_dedup, leaks, lm, mixing, near_dedup, secrets, suffix_dedup, toxicity, wrapper
@@ -229,6 +231,40 @@ def test_threats_are_learnt(spark):
     assert m.lexicon["=snarf"][1] > m.lexicon.get("=curious", ("", 0.0))[1]
 
 
+def test_toxicity_counts_in_bounded_memory():
+    """Counts are handed on as they grow, in the middle of a long text too, and sum up to those of a plain count."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i * 7919 % 10**6).zfill(6))
+    texts = [" ".join(word(k) for k in range(250 * i, 250 * i + 300)) + " snarf you. Shared SHARED sha" for i in range(160)]
+    texts += [None, "", " ".join(word(k) for k in range(10**5, 10**5 + 20_000))]
+    rows = [(t, i % 2, i % 3, 1.0 + i % 4) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_pydict({"_text": [r[0] for r in rows], "_label": [r[1] for r in rows], "_fold": [r[2] for r in rows], "_weight": [r[3] for r in rows]})
+    tracemalloc.start()
+    try:
+        largest = max(b.num_rows for b in toxicity._beginnings(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50e6
+    assert largest <= toxicity.HELD_COUNTS
+    plain = Counter()
+    for text, label, fold, weight in rows:
+        tokens = re.findall(r"[a-z]+|[.]", (text or "").lower())
+        words = {w for w in tokens if w != "."}
+        before = {w for i, w in enumerate(tokens) if label and w != "." and "you" in tokens[i + 1 : i + 3]}
+        for kind, some in (("toxic" if label else "clean", words), ("aimed", before)):
+            for part in {"=" + w for w in some} | {w[:n] for w in some for n in range(3, 11) if len(w) >= n}:
+                plain[part, fold, kind] += weight
+    told = Counter()
+    for b in toxicity._beginnings(iter([batch])):
+        for r in b.to_pylist():
+            for kind in ("clean", "toxic", "aimed"):
+                told[r["part"], r["fold"], kind] += r[kind]
+    assert {k: v for k, v in told.items() if v} == dict(plain)
+    lexicon = toxicity.Lexicon({"snar": ("i", 2.0)}, held=100)
+    machine = toxicity.grammar()
+    assert len(toxicity.clauses(texts[0], lexicon, machine)) == 1 and len(lexicon) <= 100
+
+
 def mixed_targets(sizes):
     """source -> target by the contract, with plain numbers."""
     total = sum(sizes.values())
